@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addresses, components, near_dup, set_join, vptree
+from . import addresses, components, near_dup, set_join, toxicity, vptree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,5 +50,13 @@ def p6_every_twentieth(spark: SparkSession, d: str) -> DataFrame:
     return vptree.nearest(tabs, vptree.stated_query_set(tabs)).select("query_id", "neighbor_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.harmful_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
