@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addresses, components, near_dup, set_join, toxicity, vptree
+from . import addresses, components, mixing, near_dup, packing, set_join, toxicity, vptree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,23 @@ def p6_every_twentieth(spark: SparkSession, d: str) -> DataFrame:
     return vptree.nearest(tabs, vptree.stated_query_set(tabs)).select("query_id", "neighbor_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plans")
+    return packing.containers(packing.packed_pieces(table(spark, d, "documents"), plans), plans)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.harmful_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
