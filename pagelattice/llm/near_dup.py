@@ -6,7 +6,7 @@ sum of the minima with the box's upper corner does, so whole subtrees are ruled
 
 One R-tree over all records would have to sit in one task, so the points are sharded first, exactly: with tokens ordered from rare to common, two sets at or above
 the threshold t share one of their first n - ceil(t * n) + 1 tokens, so each class is sent to the shards of just those tokens and each shard
-holds an R-tree. The order comes from a table of token counts in ``CELLS`` hash cells: its size is fixed (4 MB), whatever the corpus, it is
+holds an R-tree. The tokens a set has left from the shard's token on bound the overlap as well: they are one more coordinate of points and boxes. The order comes from a table of token counts in ``CELLS`` hash cells: its size is fixed (4 MB), whatever the corpus, it is
 built from all records, and any order gives the same result. Shards larger than ``block`` are cut into blocks that meet pairwise. Surviving
 pairs are verified with the exact sets of 64-bit token hashes.
 
@@ -76,6 +76,7 @@ def _shard_rows(counts, threshold: Fraction, block: int):
             keep = (rank < np.repeat(length, sizes)) & (seen[order] > 1)
             picked = order[keep]
             r, key, many = row[picked], tokens[picked], seen[picked]
+            left = (np.repeat(sizes, sizes) - rank)[keep]
             blocks = -(-many.astype(np.int64) // block)
             mine = (mix64(ids[r].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
             copies = np.repeat(np.arange(len(picked)), blocks)
@@ -88,66 +89,89 @@ def _shard_rows(counts, threshold: Fraction, block: int):
             for i in range(0, len(at), 65_536):
                 s = slice(i, i + 65_536)
                 points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(at[s]), [None, pa.py_buffer(np.ascontiguousarray(vectors[at[s]]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard[s]), pa.array(side[s]), pa.array(ids[at[s]]), pa.array(sizes[at[s]].astype(np.int32)), points], names=["shard", "side", "class_id", "n", "point"])
+                columns = [pa.array(shard[s]), pa.array(side[s]), pa.array(ids[at[s]]), pa.array(sizes[at[s]].astype(np.int32)), pa.array(left[copies[s]].astype(np.int32)), points]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "side", "class_id", "n", "left", "point"])
 
     return emit
 
 
-class CountRTree:
-    """Bulk-loaded R-tree over group counts: leaves of LEAF points, boxes kept as their upper corners and the range of sizes."""
+def needed(m, n, t: float):
+    """Shared tokens that sets of sizes m and n need for the threshold."""
+    return np.ceil(t / (1 + t) * (m + n) - 1e-9)
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        by = [points[:, g] for g in range(min(4, points.shape[1]))]
-        self.order = np.lexsort((*by, sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        starts = np.arange(0, len(sizes), LEAF)
-        upper, small, large = (f.reduceat(x, starts, axis=0) for f, x in ((np.maximum, self.points), (np.minimum, self.sizes), (np.maximum, self.sizes)))
-        self.levels = [(upper, small, large)]
-        while len(self.levels[-1][0]) > FANOUT:
-            u, a, b = self.levels[-1]
-            starts = np.arange(0, len(u), FANOUT)
-            self.levels.append((np.maximum.reduceat(u, starts, axis=0), np.minimum.reduceat(a, starts), np.maximum.reduceat(b, starts)))
 
-    def search(self, point: np.ndarray, size: int, t: float, wide: bool) -> np.ndarray:
-        """Positions (in the order of loading) of all points whose bound admits the threshold."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            upper, small, large = self.levels[depth]
-            need = np.ceil(t / (1 + t) * (size + np.maximum(small[nodes], t * size)) - 1e-9)
-            bound = np.minimum(upper[nodes], point).sum(axis=1, dtype=np.int32)
-            nodes = nodes[(wide | (bound >= need)) & (large[nodes] >= t * size - 1e-9) & (small[nodes] * t <= size + 1e-9)]
-            width, total = (LEAF, len(self.sizes)) if depth == 0 else (FANOUT, len(self.levels[depth - 1][0]))
-            nodes = (nodes[:, None] * width + np.arange(width)).ravel()
-            nodes = nodes[nodes < total]
-        keep = admits(np.broadcast_to(point, (len(nodes), len(point))), self.points[nodes], size, self.sizes[nodes], t)
-        return self.order[nodes[keep]]
+def possible(m, n, left_m, left_n, t: float):
+    """Whether the sizes and the tokens left from the shard's token on allow the threshold (the first shared token names the shard that counts)."""
+    return (np.minimum(m, n) >= t * np.maximum(m, n) - 1e-9) & (np.minimum(left_m, left_n) >= needed(m, n, t))
 
 
 def admits(p: np.ndarray, q: np.ndarray, m, n, t: float) -> np.ndarray:
-    """Whether sets of sizes m and n with group counts p and q can reach the threshold."""
-    bound = np.minimum(p, q).sum(axis=1, dtype=np.int32)
-    both_wide = (p[:, 0] == _SATURATED) & (q[:, 0] == _SATURATED) if len(p) else np.zeros(0, bool)
-    fits = (np.minimum(m, n) >= t * np.maximum(m, n) - 1e-9)
-    return fits & (both_wide | (bound >= np.ceil(t / (1 + t) * (m + n) - 1e-9)))
+    """Whether the summed minima of the group counts reach the needed overlap; a saturated pair is always admitted."""
+    bound = np.minimum(p, q).sum(axis=1, dtype=np.uint16)
+    wide = (p[:, 0] == _SATURATED) & (q[:, 0] == _SATURATED)
+    return wide | (bound >= needed(m, n, t))
 
 
-def _search_shards(threshold: float):
-    t = threshold
+class CountRTree:
+    """Bulk-loaded R-tree over group counts: leaves of LEAF points; a box is its upper corner and the ranges of sizes and of tokens left."""
 
-    def pairs_out(a, b):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return np.unique(np.stack([low, high], axis=1), axis=0)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, left: np.ndarray):
+        self.order = np.lexsort((points[:, 1], points[:, 0], sizes, -left))
+        self.points, self.sizes, self.left = points[self.order], sizes[self.order], left[self.order]
+        starts = np.arange(0, len(sizes), LEAF)
+        level = [np.maximum.reduceat(self.points, starts, axis=0), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts), np.maximum.reduceat(self.left, starts)]
+        self.levels = [level]
+        while len(self.levels[-1][0]) > FANOUT:
+            starts = np.arange(0, len(self.levels[-1][0]), FANOUT)
+            self.levels.append([f.reduceat(x, starts, axis=0) for f, x in zip((np.maximum, np.minimum, np.maximum, np.maximum), self.levels[-1])])
 
+    def leaves_for(self, upper: np.ndarray, small: int, large: int, left: int, t: float) -> np.ndarray:
+        """Leaves whose box may hold partners of the points of a given box."""
+        nodes = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corner, low, high, most = (x[nodes] for x in self.levels[depth])
+            need = needed(small, np.maximum(low, np.ceil(t * small - 1e-9)), t)
+            wide = (corner == _SATURATED).any(axis=1) & (upper == _SATURATED).any()
+            bound = np.minimum(corner, upper).sum(axis=1, dtype=np.int32)
+            keep = (wide | (bound >= need)) & (np.minimum(most, left) >= need) & (high >= t * small - 1e-9) & (low * t <= large + 1e-9)
+            nodes = nodes[keep]
+            if depth:
+                nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
+        return nodes
+
+    def join(self, other: "CountRTree", t: float, itself: bool):
+        """(own, theirs) positions of all pairs that the bounds admit, leaf by leaf; of one tree with itself every pair once."""
+        for leaf in range(len(self.levels[0][0])):
+            upper, small, large, left = (x[leaf] for x in self.levels[0])
+            leaves = other.leaves_for(upper, small, large, left, t)
+            leaves = leaves[leaves >= leaf] if itself else leaves
+            if not len(leaves):
+                continue
+            mine = np.arange(leaf * LEAF, min((leaf + 1) * LEAF, len(self.sizes)))
+            theirs = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
+            theirs = theirs[theirs < len(other.sizes)]
+            ok = possible(self.sizes[mine][:, None], other.sizes[theirs][None, :], self.left[mine][:, None], other.left[theirs][None, :], t)
+            if itself:
+                ok &= theirs[None, :] > mine[:, None]
+            i, j = np.nonzero(ok)
+            for at in range(0, len(i), 131_072):
+                x, y = mine[i[at : at + 131_072]], theirs[j[at : at + 131_072]]
+                keep = admits(self.points[x], other.points[y], self.sizes[x], other.sizes[y], t)
+                yield self.order[x[keep]], other.order[y[keep]]
+
+
+def _search_shards(t: float):
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        shard, side, ids, sizes = (table.column(c).to_numpy() for c in ("shard", "side", "class_id", "n"))
+        shard, side, ids, sizes, left = (table.column(c).to_numpy() for c in ("shard", "side", "class_id", "n", "left"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
         del table, parts
         order = np.lexsort((side, shard))
-        shard, side, ids, sizes, points = shard[order], side[order], ids[order], sizes[order], points[order]
+        shard, side, ids, sizes, left, points = shard[order], side[order], ids[order], sizes[order], left[order], points[order]
         starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         ends = np.append(starts[1:], len(shard))
         span = ends - starts
@@ -155,34 +179,34 @@ def _search_shards(threshold: float):
         # Shards of a leaf or two: all their pairs at once, by distance within the sorted rows.
         rest = np.repeat(ends, span) - np.arange(len(shard))
         rest[np.repeat(span > 2 * LEAF, span)] = 0
+        i = np.flatnonzero(rest > 1)
         for d in range(1, 2 * LEAF):
-            i = np.flatnonzero(rest > d)
+            i = i[rest[i] > d]
             if not len(i):
                 break
-            for at in range(0, len(i), 262_144):
-                x = i[at : at + 262_144]
-                y = x + d
-                ok = admits(points[x], points[y], sizes[x], sizes[y], t) & (ids[x] != ids[y]) & ((side[x] == 0) | (side[x] != side[y]))
-                if ok.any():
-                    found.append(np.stack([ids[x[ok]], ids[y[ok]]], axis=1))
-        # Larger shards: a tree each.
+            x = i[possible(sizes[i], sizes[i + d], left[i], left[i + d], t) & ((side[i] == 0) | (side[i] != side[i + d]))]
+            for at in range(0, len(x), 131_072):
+                a = x[at : at + 131_072]
+                ok = admits(points[a], points[a + d], sizes[a], sizes[a + d], t)
+                found.append((ids[a[ok]], ids[a[ok] + d]))
+        # Larger shards: a tree each, or two where the shard is a pair of blocks.
         for k in np.flatnonzero(span > 2 * LEAF):
             own = np.arange(starts[k], ends[k])
-            left = own[side[own] <= 1]
-            right = own if side[own[0]] == 0 else own[side[own] == 2]
-            if not len(left) or not len(right):
+            if side[own[0]] == 0:
+                tree = CountRTree(points[own], sizes[own], left[own])
+                found.extend((ids[own[x]], ids[own[y]]) for x, y in tree.join(tree, t, True))
                 continue
-            tree = CountRTree(points[right], sizes[right])
-            for x in left:
-                y = right[tree.search(points[x], int(sizes[x]), t, points[x, 0] == _SATURATED)]
-                y = y[ids[y] > ids[x]] if side[x] == 0 else y[ids[y] != ids[x]]
-                if len(y):
-                    found.append(np.stack([np.full(len(y), ids[x]), ids[y]], axis=1))
+            low, high = own[side[own] == 1], own[side[own] == 2]
+            if len(low) and len(high):
+                a, b = CountRTree(points[low], sizes[low], left[low]), CountRTree(points[high], sizes[high], left[high])
+                found.extend((ids[low[x]], ids[high[y]]) for x, y in a.join(b, t, False))
         if found:
-            out = np.concatenate(found)
-            out = pairs_out(out[:, 0], out[:, 1])
-            for i in range(0, len(out), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[i : i + 100_000, 0])), pa.array(np.ascontiguousarray(out[i : i + 100_000, 1]))], names=["class_a", "class_b"])
+            a, b = (np.concatenate([f[side_] for f in found]) for side_ in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            for at in range(0, len(pairs), 100_000):
+                part = pairs[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], names=["class_a", "class_b"])
 
     return run
 
@@ -192,7 +216,7 @@ def similar_token_classes(classes: DataFrame, threshold: float = 0.7, block: int
     exact = Fraction(str(threshold))
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(cell_counts(classes))
-    sharded = classes.select("class_id", "hashes", "n").mapInArrow(_shard_rows(counts, exact, block), "shard long, side int, class_id long, n int, point binary")
+    sharded = classes.select("class_id", "hashes", "n").mapInArrow(_shard_rows(counts, exact, block), "shard long, side int, class_id long, n int, left int, point binary")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = sharded.repartition(width, "shard").mapInArrow(_search_shards(float(threshold)), "class_a long, class_b long").distinct()
     left = classes.select(F.col("class_id").alias("class_a"), F.col("hashes").alias("x"))
