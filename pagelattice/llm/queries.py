@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addresses, components, mixing, near_dup, packing, set_join, toxicity, vptree
+from . import addresses, components, mixing, near_dup, packing, residue, set_join, toxicity, vptree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.tab_components(table(spark, d, "edges"), table(spark, d, "tabs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_fields(table(spark, d, "tabs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_pairs(table(spark, d, "tabs"), threshold=0.7, min_tokens=10)
 
