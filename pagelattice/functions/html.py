@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Elements, classes and roles that hold no content, and places that hold the main content.
@@ -143,17 +144,17 @@ def _mapped(f, html: pd.Series, url: pd.Series) -> list:
     return [f(h, u or "") if h else None for h, u in zip(html, url)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_link_udf(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(_mapped(canonical_link, html, url), dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def readable_text_udf(html: pd.Series) -> pd.Series:
     return pd.Series([main_text(parse(h)) if h else None for h in html], dtype=object)
 
 
-@F.pandas_udf("struct<title: string, text: string, description: string, canonical: string>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "text", "description", "canonical")]))
 def page_content_udf(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     empty = {"title": None, "text": None, "description": None, "canonical": None}
     return pd.DataFrame([x or empty for x in _mapped(page_content, html, url)], columns=list(empty))
