@@ -34,6 +34,8 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int,
     where = np.full(n, -1, np.int64)
     if not n:
         return where
+    if tokens.max() > capacity or loss.max() > max_loss or max_segments < 1:
+        raise ValueError("a piece doesn't fit an empty container")
     order = np.lexsort((loss, tokens))
     sizes, first = np.unique(tokens[order], return_index=True)
     bounds = np.append(first, n)

@@ -203,7 +203,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float, usable: np.ndarray, steps: int = 80, rate: float = 0.25, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights of the logistic model that minimises the non-negative PU risk by full-batch Adam; chosen marks the rows taken as positive.
 
-    Only the usable features get a weight."""
+    Only the usable features get a weight, and the bias stays at the class prior: a passage of words the model doesn't know keeps the prior."""
     place = np.full(DIMS, -1)
     places = np.flatnonzero(usable)
     place[places] = np.arange(len(places))
@@ -217,7 +217,7 @@ def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float,
     s_u = unlabelled.scale
     k = len(places)
     weight, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
+    m, v = np.zeros(k), np.zeros(k)
     for step in range(1, steps + 1):
         p = _sigmoid(np.bincount(r_p, weight[f_p], len(take)) * s_p + bias)
         u = _sigmoid(np.bincount(r_u, weight[f_u], unlabelled.n) * s_u + bias)
@@ -228,12 +228,9 @@ def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float,
         else:
             rows_p, rows_u = -over_p, -over_u
         grad = np.bincount(f_p, (rows_p * s_p)[r_p], k) + np.bincount(f_u, (rows_u * s_u)[r_u], k) + decay * weight
-        gb = float(rows_p.sum() + rows_u.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         weight -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        bias -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
     out = np.zeros(DIMS)
     out[places] = weight
     return out, bias
@@ -246,8 +243,9 @@ class Model:
         self.weight, self.bias, self.threshold = weight.astype(np.float32), float(bias), float(threshold)
 
 
-def best_threshold(harmful: np.ndarray, fine: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts whose F1 on held-out documents is within one per cent of the best."""
+def best_threshold(harmful: np.ndarray, fine: np.ndarray, fine_weight: float = 1.0) -> float:
+    """The middle of the widest gap among the cuts whose F1 on held-out documents is within two per mille of the best;
+    fine_weight says how many reviewed documents each fine one stands for, per one that each harmful one does."""
     values = np.unique(np.concatenate([harmful, fine]))
     values = values[np.isfinite(values)]
     if len(values) < 2:
@@ -255,64 +253,71 @@ def best_threshold(harmful: np.ndarray, fine: np.ndarray) -> float:
     cuts = (values[1:] + values[:-1]) / 2
     hit = len(harmful) - np.searchsorted(np.sort(harmful), cuts)
     false = len(fine) - np.searchsorted(np.sort(fine), cuts)
-    f1 = 2 * hit / (hit + false + max(1, len(harmful)))
-    good = np.flatnonzero(f1 >= f1.max() - 0.01)
+    f1 = 2 * hit / (hit + fine_weight * false + max(1, len(harmful)))
+    good = np.flatnonzero(f1 >= f1.max() - 0.002)
     return float(cuts[good[np.diff(values)[good].argmax()]])
 
 
 def _choose(score: np.ndarray, bag: Bags, docs: np.ndarray, floor: float) -> np.ndarray:
-    """Rows of the given documents that stand out: above the floor and in the upper half between it and the document's best."""
+    """Rows of the given documents that stand out: above the floor and in the upper quarter between it and the document's best."""
     best = bag.best(score)[bag.doc]
-    return docs[bag.doc] & (score >= floor) & (score >= best - 0.5 * (best - floor))
+    return docs[bag.doc] & (score >= floor) & (score >= best - 0.25 * (best - floor))
 
 
 def _odds(P: Bags, in_fold: np.ndarray, in_u: np.ndarray, u_docs: int) -> np.ndarray:
-    """Log odds of features in the documents of a fold against unlabelled ones; features of fewer than two such documents have none."""
+    """Log odds of features in the documents of a fold against unlabelled ones, where they exceed three standard deviations of chance."""
     rows = in_fold[P.doc[P.row]]
     pairs = np.unique(P.doc[P.row][rows] * DIMS + P.feature[rows])
-    in_p = np.bincount(pairs % DIMS, minlength=DIMS)
-    odds = np.log((in_p + 0.1) / max(1, in_fold.sum()) * u_docs / (in_u + 1.0))
-    odds[(in_p < 2) | (odds < 1)] = 0
+    in_p, docs = np.bincount(pairs % DIMS, minlength=DIMS), max(1, int(in_fold.sum()))
+    chance = in_u / u_docs * docs
+    odds = np.log((in_p + 0.1) / docs * u_docs / (in_u + 1.0))
+    odds[(in_p < 2) | (odds < 1) | (in_p - chance < 3 * np.sqrt(chance + 0.1))] = 0
     return odds
 
 
-def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: float = 0.01, folds: int = 3, floor: float = 0.975) -> Model:
+def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: float = 0.01, folds: int = 3, floor: float = 0.95, rounds: int = 1, fine_weight: float = 1.0) -> Model:
     """Fit on confirmed harmful documents and unlabelled ones; fine (reviewed as ok) sets the threshold and is part of the unlabelled text.
 
     The positive passages of a document are always chosen by what the *other* folds of documents taught, so a wrongly labelled document or the names
-    that only one document uses can't confirm themselves; ``floor`` is the quantile of unlabelled documents that a positive passage must exceed.
+    that only one document uses can't confirm themselves; ``floor`` is the quantile of documents reviewed as ok (without any: of the unlabelled ones) that a positive passage
+    must exceed. The model is the mean of the folds' models, and a document is held out of the model that scores it for the threshold.
     """
+    nothing = Model(np.zeros(DIMS), -30.0, 0.0)
     if not harmful or not unlabelled:
-        return Model(np.zeros(DIMS), -30.0, 0.0)
+        return nothing
     P, U = Bags(harmful), Bags(list(unlabelled) + list(fine))
     in_u = U.document_counts()
     usable = (P.document_counts() >= 2) | (in_u >= 3)
-    fold = np.arange(P.docs) % folds if P.docs >= 2 * folds else np.arange(P.docs) % 2
+    calm = np.arange(U.docs) >= len(unlabelled) if fine else np.ones(U.docs, bool)
+
+    def level(score: np.ndarray) -> float:
+        best = U.best(score)[calm]
+        return float(np.quantile(np.where(np.isfinite(best), best, -1e9), floor))
+
+    fold = np.arange(P.docs) % (folds if P.docs >= 2 * folds else 2)
     parts = [fold == k for k in np.unique(fold)] if P.docs > 1 else [np.ones(1, bool)]
+    others = lambda mine: ~mine if len(parts) > 1 else mine
     chosen = np.zeros(P.n, bool)
     for mine in parts:
-        odds = _odds(P, ~mine if len(parts) > 1 else mine, in_u, U.docs)
-        level = np.quantile(U.best(U.margins(odds, 0.0)), floor)
-        chosen |= _choose(P.margins(odds, 0.0), P, mine, max(level, 1e-9))
-    held = np.full(P.n, -np.inf)
-    if len(parts) > 1 and chosen.any():
-        again = np.zeros(P.n, bool)
+        odds = _odds(P, others(mine), in_u, U.docs)
+        chosen |= _choose(P.margins(odds, 0.0), P, mine, max(level(U.margins(odds, 0.0)), 1e-9))
+    weight, bias, held = np.zeros(DIMS), 0.0, np.full(P.n, -np.inf)
+    for _ in range(rounds):
+        again, fitted, held = np.zeros(P.n, bool), [], np.full(P.n, -np.inf)
         for mine in parts:
-            given = chosen & ~mine[P.doc]
+            given = chosen & others(mine)[P.doc]
             if not given.any():
                 continue
-            weight, bias = fit_nnpu(P, given, U, prior, usable, steps=60)
-            level = np.quantile(U.best(U.margins(weight, bias)), floor)
-            score = P.margins(weight, bias)
-            again |= _choose(score, P, mine, level)
+            w, b = fit_nnpu(P, given, U, prior, usable)
+            score = P.margins(w, b)
+            again |= _choose(score, P, mine, level(U.margins(w, b)))
             held = np.where(mine[P.doc], score, held)
+            fitted.append((w, b))
+        if not fitted:
+            return nothing
+        weight, bias = np.mean([w for w, _ in fitted], axis=0), float(np.mean([b for _, b in fitted]))
         chosen = again if again.any() else chosen
-    if not chosen.any():
-        return Model(np.zeros(DIMS), -30.0, 0.0)
-    weight, bias = fit_nnpu(P, chosen, U, prior, usable)
-    harm = P.best(held) if np.isfinite(held).any() else P.best(P.margins(weight, bias))
-    fine_best = document_scores(fine, weight, bias)[0] if fine else U.best(U.margins(weight, bias))
-    return Model(weight, bias, best_threshold(harm, fine_best))
+    return Model(weight, bias, best_threshold(P.best(held), U.best(U.margins(weight, bias))[calm], fine_weight))
 
 
 def confirmed_documents(labels: DataFrame) -> DataFrame:
@@ -322,18 +327,20 @@ def confirmed_documents(labels: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.sum("vote").alias("sum")).where("sum <> 0").select("doc_id", (F.col("sum") > 0).alias("harmful"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_unlabelled: int = 5000, prior: float = 0.01) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_unlabelled: int = 4000, prior: float = 0.01) -> Model:
     """Train on the documents with the smallest id hashes of each kind: at most max_labelled of each outcome and max_unlabelled others."""
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     order = F.xxhash64(F.lit("fit"), "doc_id")
     known = confirmed_documents(labels)
     take = lambda harmful: known.where("harmful" if harmful else "not harmful").orderBy(order).limit(max_labelled)
     picked = take(True).unionByName(take(False))
+    reviewed = {r.harmful: r["count"] for r in known.groupBy("harmful").count().collect()}
     rows = texts.join(picked, "doc_id").select("doc_id", "text", "harmful").toArrow().sort_by("doc_id").to_pydict()
     harmful = [t for t, h in zip(rows["text"], rows["harmful"]) if h]
     fine = [t for t, h in zip(rows["text"], rows["harmful"]) if not h]
     others = texts.orderBy(order).limit(max_unlabelled).toArrow().column("text").to_pylist()
-    return train(harmful, fine, others, prior)
+    stands_for = lambda h, some: reviewed.get(h, 0) / max(1, len(some))
+    return train(harmful, fine, others, prior, fine_weight=stands_for(False, fine) / max(1e-9, stands_for(True, harmful)) if harmful and fine else 1.0)
 
 
 def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
