@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..options import BATCH, Options
 from . import similarity
 from .components import connected_components
+from .prefix import running_before
 
 
 def domain_counts(tabs: DataFrame, least: int = 1) -> DataFrame:
@@ -41,15 +42,9 @@ def assign_groups(tabs: DataFrame, options: Options = BATCH) -> DataFrame:
     return tabs.where("id is not null").select("id").join(roots.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def numbered(assigned: DataFrame, width: int = 64) -> DataFrame:
-    """(root, group_id): roots in ascending order numbered from 0. Ranks come from counts per range of roots, so the numbering isn't one sort in one task."""
-    roots = assigned.select("root").distinct()
-    span = roots.agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    part = F.least(F.lit(width - 1), F.floor((F.col("root") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * width)).cast("int")
-    cut = roots.crossJoin(F.broadcast(span)).select("root", part.alias("p"))  # one row on the right
-    before = cut.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("p")) - F.col("c")).select("p", "before")
-    within = F.row_number().over(Window.partitionBy("p").orderBy("root")) - 1
-    return cut.withColumn("w", within).join(F.broadcast(before), "p").select("root", (F.col("before") + F.col("w")).alias("group_id"))
+def numbered(assigned: DataFrame) -> DataFrame:
+    """(root, group_id): roots in ascending order numbered from 0, by counts per range of roots rather than one sort in one task."""
+    return running_before(assigned.select("root").distinct().withColumn("one", F.lit(1)), "root", "one", "group_id").select("root", "group_id")
 
 
 def group_members(assigned: DataFrame, numbers: DataFrame, primary: DataFrame) -> DataFrame:

@@ -91,11 +91,11 @@ def rekey_import(tabs: DataFrame, groups: DataFrame, edges: DataFrame) -> tuple[
     return t, g, e
 
 
-def positions(tabs: DataFrame, width: int = 64) -> DataFrame:
+def positions(tabs: DataFrame) -> DataFrame:
     """(id, position): ids in ascending order numbered from 0, by counts per range of ids."""
     from .grouping import numbered
 
-    return numbered(tabs.where("id is not null").select(F.col("id").alias("root")), width).select(F.col("root").alias("id"), F.col("group_id").alias("position"))
+    return numbered(tabs.where("id is not null").select(F.col("id").alias("root"))).select(F.col("root").alias("id"), F.col("group_id").alias("position"))
 
 
 def reindex_export(tabs: DataFrame, edges: DataFrame) -> DataFrame:

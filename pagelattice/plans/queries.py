@@ -435,3 +435,61 @@ def upsert_tabs(spark, d):
 @query
 def props_json(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# ---- sources
+
+
+def _windows(spark, d):
+    tabs = _t(spark, d, "tabs").where("id is not null")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", "title", "url"))), lambda t: F.struct(t["title"].alias("title"), t["url"].alias("url")))
+    return tabs.groupBy("browser", F.col("window_id").alias("windowId")).agg(F.min("id").alias("window_pos"), listed.alias("tabs"))
+
+
+@query
+def windows_flatten(spark, d):
+    from ..sources.readers import flatten_windows
+
+    return flatten_windows(_windows(spark, d)).select("id", "url", "title", "browser", "window_id", "domain")
+
+
+@query
+def tab_totals(spark, d):
+    return _windows(spark, d).groupBy("browser").agg(F.sum(F.size("tabs")).alias("tabs"), F.count("*").alias("windows"))
+
+
+@query
+def input_limit(spark, d):
+    return store.run_limit(_t(spark, d, "tabs").where("id is not null"), 100).select("id", "url")
+
+
+@query
+def lookup_by_address(spark, d):
+    rows = _t(spark, d, "tabs").where("id is not null and canonical_url is not null")
+    return rows.groupBy("canonical_url").agg(F.min_by(F.struct("id", "title"), "id").alias("t")).select("canonical_url", "t.id", "t.title")
+
+
+@query
+def update_groups(spark, d):
+    tabs = _t(spark, d, "tabs").select("id", "group_id")
+    return store.update_group(tabs, tabs.where("group_id = -1").select("id", F.col("id").alias("group_id"))).select("id", "group_id")
+
+
+@query
+def non_duplicates(spark, d):
+    rows = _t(spark, d, "tabs")
+    return rows.join(rows.where("duplicate_of is not null").select("id"), "id", "left_anti").select("id", "domain")
+
+
+@query
+def union_edges(spark, d):
+    stored = _t(spark, d, "edges").select("source", "target", "weight", "reason", "ts")
+    moves = navigation.navigation_edges(navigation.first_visits(_t(spark, d, "browser_events")), _t(spark, d, "tabs"))
+    return navigation.merge_edges(stored.where("reason <> 'navigation'").unionByName(moves.select(stored.columns))).select("source", "target", "weight", "reason")
+
+
+@query
+def tracking_parameters(spark, d):
+    rows = _t(spark, d, "tabs").select("id", F.explode(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&")).alias("p"))
+    name = F.lower(F.substring_index("p", "=", 1))
+    return rows.where(name.isin(urls.TRACKING_PARAMETERS) | name.startswith("utm_")).groupBy(name.alias("name")).agg(F.count("*").alias("times"))

@@ -226,4 +226,19 @@ ORACLE: dict[str, str] = {
         SELECT a.p::BIGINT AS source, b.p::BIGINT AS target, weight, reason FROM edges e JOIN p a ON a.id = e.source JOIN p b ON b.id = e.target""",
     "upsert_tabs": """SELECT id, url, CASE WHEN duplicate_of IS NOT NULL THEN 'again: ' || COALESCE(title, '') ELSE title END AS title, group_id FROM tabs WHERE error IS NULL OR error <> 'unsupported_url'""",
     "props_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
+    "windows_flatten": f"""WITH w AS (SELECT *, min(id) OVER (PARTITION BY browser, window_id) AS wp FROM tabs WHERE id IS NOT NULL),
+        k AS (SELECT trim(COALESCE(url, '')) AS url, trim(COALESCE(title, '')) AS title, browser, window_id, wp, id AS i FROM w WHERE trim(COALESCE(url, '')) <> '')
+        SELECT row_number() OVER (ORDER BY wp, i) - 1 AS id, url, title, browser, window_id, COALESCE({_DOMAIN}, '') AS domain FROM k""",
+    "tab_totals": "WITH w AS (SELECT browser, window_id, count(*) AS n FROM tabs WHERE id IS NOT NULL GROUP BY ALL) SELECT browser, sum(n)::BIGINT AS tabs, count(*)::BIGINT AS windows FROM w GROUP BY 1",
+    "input_limit": "SELECT id, url FROM tabs WHERE id IS NOT NULL ORDER BY id LIMIT 100",
+    "lookup_by_address": "SELECT canonical_url, min(id) AS id, arg_min_null(title, id) AS title FROM tabs WHERE id IS NOT NULL AND canonical_url IS NOT NULL GROUP BY 1",
+    "update_groups": "SELECT id, CASE WHEN group_id = -1 THEN id ELSE group_id END AS group_id FROM tabs",
+    "non_duplicates": "SELECT id, domain FROM tabs WHERE duplicate_of IS NULL",
+    "union_edges": f"""WITH {_VISITS}, um0 AS (SELECT COALESCE(canonical_url, url) AS address, id FROM tabs UNION ALL SELECT url, id FROM tabs), um AS (SELECT address, max(id) AS tab_id FROM um0 WHERE address IS NOT NULL GROUP BY 1),
+        al AS (SELECT source, target, weight, reason, ts FROM edges WHERE reason <> 'navigation' UNION ALL
+          SELECT a.tab_id, b.tab_id, 1.0, 'navigation', ts FROM nav JOIN um a ON a.address = source_url JOIN um b ON b.address = target_url WHERE a.tab_id <> b.tab_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY reason <> 'navigation', ts NULLS FIRST, source, target, reason, COALESCE(weight, 0) DESC) AS r
+          FROM al WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target) SELECT source, target, weight, reason FROM r WHERE r = 1""",
+    "tracking_parameters": f"""WITH p AS (SELECT lower(split_part(unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), '=', 1)) AS name FROM tabs)
+        SELECT name, count(*)::BIGINT AS times FROM p WHERE name IN {_in(TRACKING_PARAMETERS)} OR starts_with(name, 'utm_') GROUP BY 1""",
 }

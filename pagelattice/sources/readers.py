@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.prefix import running_before
 from .lz4 import decode_session
 
 WINDOWS = "browser string, windowId long, tabs array<struct<title: string, url: string>>"
@@ -39,14 +40,19 @@ def backup_path(path: str) -> str:
     return str(found[0])
 
 
-def flatten_windows(windows: DataFrame, buckets: int = 64) -> DataFrame:
+def _stripped(column: str):
+    """Text without white space of any kind at its ends, null giving an empty text."""
+    return F.regexp_replace(F.coalesce(column, F.lit("")), r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def flatten_windows(windows: DataFrame) -> DataFrame:
     """(id, url, title, browser, window_id, domain, canonical_url): tabs with an address, numbered densely in the order of windows and tabs.
 
     ``windows`` may carry ``window_pos``; without it the order of the rows is taken. Numbers come from counts per window, not from one sort in one task."""
     rows = windows if "window_pos" in windows.columns else windows.withColumn("window_pos", F.monotonically_increasing_id())
     tabs = rows.select("window_pos", "browser", F.col("windowId").alias("window_id"), F.posexplode("tabs").alias("pos", "tab"))
-    tabs = tabs.select("window_pos", "browser", "window_id", "pos", F.trim(F.coalesce("tab.url", F.lit(""))).alias("url"), F.trim(F.coalesce("tab.title", F.lit(""))).alias("title")).where("url <> ''")
-    per_window = tabs.groupBy("window_pos").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("window_pos")) - F.col("c")).select("window_pos", "before")
+    tabs = tabs.select("window_pos", "browser", "window_id", "pos", _stripped("tab.url").alias("url"), _stripped("tab.title").alias("title")).where("url <> ''")
+    per_window = running_before(tabs.groupBy("window_pos").agg(F.count("*").alias("c")), "window_pos", "c", "before").select("window_pos", "before")
     place = F.row_number().over(Window.partitionBy("window_pos").orderBy("pos")) - 1
     numbered = tabs.withColumn("place", place).join(per_window, "window_pos")
     return numbered.select((F.col("before") + F.col("place")).alias("id"), "url", "title", "browser", "window_id", urls.domain(F.col("url")).alias("domain"), urls.canonical_url(F.col("url")).alias("canonical_url"))
