@@ -227,7 +227,7 @@ ORACLE: dict[str, str] = {
     "upsert_tabs": """SELECT id, url, CASE WHEN duplicate_of IS NOT NULL THEN 'again: ' || COALESCE(title, '') ELSE title END AS title, group_id FROM tabs WHERE error IS NULL OR error <> 'unsupported_url'""",
     "props_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "windows_flatten": f"""WITH w AS (SELECT *, min(id) OVER (PARTITION BY browser, window_id) AS wp FROM tabs WHERE id IS NOT NULL),
-        k AS (SELECT trim(COALESCE(url, '')) AS url, trim(COALESCE(title, '')) AS title, browser, window_id, wp, id AS i FROM w WHERE trim(COALESCE(url, '')) <> '')
+        k AS (SELECT regexp_replace(COALESCE(url, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS url, regexp_replace(COALESCE(title, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, browser, window_id, wp, id AS i FROM w WHERE regexp_replace(COALESCE(url, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') <> '')
         SELECT row_number() OVER (ORDER BY wp, i) - 1 AS id, url, title, browser, window_id, COALESCE({_DOMAIN}, '') AS domain FROM k""",
     "tab_totals": "WITH w AS (SELECT browser, window_id, count(*) AS n FROM tabs WHERE id IS NOT NULL GROUP BY ALL) SELECT browser, sum(n)::BIGINT AS tabs, count(*)::BIGINT AS windows FROM w GROUP BY 1",
     "input_limit": "SELECT id, url FROM tabs WHERE id IS NOT NULL ORDER BY id LIMIT 100",
