@@ -301,6 +301,12 @@ def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: flo
     for mine in parts:
         odds = _odds(P, others(mine), in_u, U.docs)
         chosen |= _choose(P.margins(odds, 0.0), P, mine, max(level(U.margins(odds, 0.0)), 1e-9))
+    if not chosen.any():
+        # Too few documents to share features: the passage of each that is least like unlabelled text.
+        odds = np.log((P.document_counts() + 0.1) / P.docs * U.docs / (in_u + 1.0))
+        odds[(P.document_counts() < 1) | (odds < 1)] = 0
+        score = P.margins(odds, 0.0)
+        chosen = (score > 0) & (score >= P.best(score)[P.doc])
     weight, bias, held = np.zeros(DIMS), 0.0, np.full(P.n, -np.inf)
     for _ in range(rounds):
         again, fitted, held = np.zeros(P.n, bool), [], np.full(P.n, -np.inf)
