@@ -336,7 +336,7 @@ def confirmed_documents(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_unlabelled: int = 4000, prior: float = 0.01) -> Model:
     """Train on the documents with the smallest id hashes of each kind: at most max_labelled of each outcome and max_unlabelled others."""
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    order = F.xxhash64(F.lit("fit"), "doc_id")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 1)
     known = confirmed_documents(labels)
     take = lambda harmful: known.where("harmful" if harmful else "not harmful").orderBy(order).limit(max_labelled)
     picked = take(True).unionByName(take(False))
@@ -344,7 +344,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_u
     rows = texts.join(picked, "doc_id").select("doc_id", "text", "harmful").toArrow().sort_by("doc_id").to_pydict()
     harmful = [t for t, h in zip(rows["text"], rows["harmful"]) if h]
     fine = [t for t, h in zip(rows["text"], rows["harmful"]) if not h]
-    others = texts.orderBy(order).limit(max_unlabelled).toArrow().column("text").to_pylist()
+    # Of N documents the n smallest hashes lie below n / N of their range, but for chance: only such rows are sorted, so no task reads more than the sample.
+    below = (1.5 * max_unlabelled + 100) / max(1, texts.count())
+    near = texts if below >= 1 else texts.where(order < int(below * 2**63))
+    others = near.orderBy(order).limit(max_unlabelled).toArrow().column("text").to_pylist()
     stands_for = lambda h, some: reviewed.get(h, 0) / max(1, len(some))
     return train(harmful, fine, others, prior, fine_weight=stands_for(False, fine) / max(1e-9, stands_for(True, harmful)) if harmful and fine else 1.0)
 
