@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.operators import dedupe, grouping, similarity
@@ -61,7 +62,8 @@ def test_query_languages():
     assert parse_panel_query("#c++ @github.com spark") == ("c", "github", "++ .com spark")
 
 
-def test_components_are_an_equivalence(spark):
+@pytest.mark.parametrize("task_links", [250_000, 60])
+def test_components_are_an_equivalence(spark, task_links):
     random.seed(5)
     links = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(None, 3), (4, None), (7, 7)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2100)]
     parent: dict[int, int] = {}
@@ -76,7 +78,7 @@ def test_components_are_an_equivalence(spark):
         if a is not None and b is not None and a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b", task_links).collect()}
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
