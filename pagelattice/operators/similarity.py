@@ -6,11 +6,11 @@ embeddings only tabs that share a keyword or a domain score at all, so candidate
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint
+
 
 def keyword_sets(tabs: DataFrame) -> DataFrame:
     """(id, domain, kw, n): distinct non-null keywords."""
@@ -58,7 +58,7 @@ def domain_pairs(tabs: DataFrame) -> DataFrame:
 def similarity_edges(tabs: DataFrame, threshold: float = 0.2, bonus: float = 0.25, every_pair: bool = True, dialect: str = "batch") -> DataFrame:
     """(source, target, weight, reason). Where the bonus alone reaches the threshold every pair of a domain is an edge; every_pair=False leaves out those that share no
     keyword: ``domain_cliques`` holds them as one row per domain instead of a quadratic number."""
-    scored = scored_pairs(tabs, threshold, bonus)
+    scored = checkpoint(scored_pairs(tabs, threshold, bonus))  # read several times
     names = tabs.where("id is not null").select("id", F.coalesce("domain", F.lit("")).alias("d"))
     blank = scored.where("not same_domain").join(names.where("d = ''").select(F.col("id").alias("a")), "a", "left_semi").join(names.where("d = ''").select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", F.lit(True).alias("blank"))
     edges = scored.join(blank, ["a", "b"], "left").select("a", "b", "score", (F.col("same_domain") | F.coalesce("blank", F.lit(False))).alias("dom"))
@@ -80,7 +80,7 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
     A pair of one domain without a shared keyword scores just the bonus. Of those only the domain's first 2k + 1 tabs can matter to a tab: either k tabs of its domain
     share a keyword with it and rank before them, or at least k of the first 2k + 1 share none.
     """
-    half = scored_pairs(tabs, threshold, bonus).select("a", "b", "score")
+    half = checkpoint(scored_pairs(tabs, threshold, bonus).select("a", "b", "score"))  # read several times
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     if bonus >= threshold:
         rows = tabs.where("id is not null and domain <> ''").select("id", "domain")

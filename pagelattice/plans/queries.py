@@ -201,7 +201,9 @@ def knn_neighbors(spark, d):
 
 @query
 def mutual_knn(spark, d):
-    return similarity.mutual(similarity.nearest(_t(spark, d, "tabs").where("duplicate_of is null")))
+    from ..checkpoints import checkpoint
+
+    return similarity.mutual(checkpoint(similarity.nearest(_t(spark, d, "tabs").where("duplicate_of is null"))))
 
 
 @query
