@@ -2,8 +2,8 @@
 
 Sentences made from one template share their words but for the slots. A token of a suspicious kind (a variable name in the delimiters of a template language, or a
 default such as null, NaN or [object Object]) is aligned with all other sentences of the corpus that have the same two words on one side and the same word on the other:
-these are fillings of the same place. Where many different sentences keep that very token there, and few have anything else, it is part of what the text says (a tutorial
-about ``${HOME}``, an article on null readings); where the others have ordinary words, the place is a slot and the token was left in it. Error pages, notices
+these are fillings of the same place, one word or several. Where many different sites keep that very token there, and few have anything else, it is part of what the text says (a
+tutorial about ``${HOME}``, an article on null readings); where the others have ordinary words, or one site alone prints it, the place is a slot and the token was left in it. Error pages, notices
 about scripts and layout drafts have no slots but hosts, paths and numbers: they are recognised as whole sentences of such templates, so that a sentence which only mentions a
 phrase isn't one.
 
@@ -163,65 +163,98 @@ def contexts(before: list[str], after: list[str]) -> list[str]:
 
 def _first_pass(batches):
     for batch in batches:
-        ids = batch.column("id").to_pylist()
+        ids, sites = batch.column("id").to_pylist(), batch.column("site").to_pylist()
         rows: list[tuple] = []
         for field in FIELDS:
-            for tab, text in zip(ids, batch.column(field).to_pylist()):
+            for tab, site, text in zip(ids, sites, batch.column(field).to_pylist()):
                 if not text:
                     continue
                 if is_leftover(text, field == "title"):
                     rows.append((tab, field, None, None, None))
                     continue
                 for place, (token, before, after) in enumerate(suspicious_places(text)):
-                    around = " ".join(before + [token] + after)
+                    witness = " ".join(before + [token] + after) if site is None else site
                     keys = contexts(before, after) or [""]
-                    rows.extend((tab, field, f"{place} {token}", key, around) for key in keys)
+                    rows.extend((tab, field, f"{place} {token}", key, witness) for key in keys)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], names=["tab_id", "field", "place", "context", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], names=["tab_id", "field", "place", "context", "witness"])
+
+
+def fillings(w: list[str], sides: dict[str, dict[tuple[str, str], set[str]]] | None, longest: int):
+    """(context, filling) of up to ``longest`` words between the sides of the wanted contexts, or (None) of all. The nearest other side counts."""
+    for i in range(len(w) - 1):
+        pair = w[i], w[i + 1]
+        for kind in "<>":
+            others = None if sides is None else sides[kind].get(pair)
+            if sides is not None and not others:
+                continue
+            seen = set()
+            for gap in range(1, longest + 1):
+                at = i + 2 + gap if kind == "<" else i - gap - 1
+                if not 0 <= at < len(w):
+                    break
+                other = w[at]
+                if other in seen or (others is not None and other not in others):
+                    continue
+                seen.add(other)
+                if kind == "<":
+                    yield f"<{pair[0]} {pair[1]} {other}", " ".join(w[i + 2 : at])
+                else:
+                    yield f">{other} {pair[0]} {pair[1]}", " ".join(w[at + 1 : i])
+
+
+def _sides(wanted) -> dict[str, dict[tuple[str, str], set[str]]]:
+    found: dict[str, dict[tuple[str, str], set[str]]] = {"<": {}, ">": {}}
+    for key in wanted:
+        x, y, z = key[1:].split(" ")
+        pair, other = ((x, y), z) if key[0] == "<" else ((y, z), x)
+        found[key[0]].setdefault(pair, set()).add(other)
+    return found
 
 
-def _count_contexts(wanted):
-    """Counts of the contexts of every word of the texts, of the wanted ones only or (None) of all."""
+def _count_contexts(wanted, longest: int):
+    """Every filling of the wanted contexts, or (None) of all contexts, once per witness."""
 
     def run(batches):
-        known = wanted.value if wanted is not None else None
+        sides = _sides(wanted.value) if wanted is not None else None
         for batch in batches:
-            counts: dict[str, int] = {}
+            found: set[tuple[str, str, str]] = set()
+            sites = batch.column("site").to_pylist()
             for field in FIELDS:
-                for text in batch.column(field).to_pylist():
+                for site, text in zip(sites, batch.column(field).to_pylist()):
                     if not text:
                         continue
                     w = normal_words(text)
-                    for kind, left in (("<", zip(w, w[1:], w[3:])), (">", zip(w, w[2:], w[3:]))):
-                        for x, y, z in left:
-                            key = f"{kind}{x} {y} {z}"
-                            if known is None or key in known:
-                                counts[key] = counts.get(key, 0) + 1
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["context", "n"])
+                    found.update((key, filling, " ".join(w[:40]) if site is None else site) for key, filling in fillings(w, sides, longest))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["context", "filling", "witness"])
 
     return run
 
 
-def residue_fields(tabs: DataFrame, share: float = 0.15, support: int = 3, broadcast_contexts: int = 200_000) -> DataFrame:
+def residue_fields(tabs: DataFrame, share: float = 0.5, support: int = 3, broadcast_contexts: int = 200_000, longest: int = 6) -> DataFrame:
     """(tab_id, field) of every field that holds residue.
 
-    A token is said where ``support`` different surroundings have it in one context and they make up ``share`` of all words found in that context (a sentence that stands in several
-    fields or copies is one surrounding but several words, so the share of a constant is well below one)."""
-    texts = tabs.where("id is not null and (error is null or error <> 'unsupported_url')").select(F.col("id").cast("long").alias("id"), *FIELDS)
-    places = checkpoint(texts.mapInArrow(_first_pass, "tab_id long, field string, place string, context string, around string"))
-    slots = places.where("context <> ''")
-    token = F.expr("substring(place, instr(place, ' ') + 1)")
-    own = slots.groupBy("context", token.alias("token")).agg(F.count_distinct("around").alias("own")).where(F.col("own") >= support)
-    wanted = own.select("context").distinct()
+    Witnesses are sites (``domain``; rows without one are one site), or different surroundings where the table has no such column, so that a template which one site prints on
+    many rows counts once. A context says a token where ``support`` witnesses have it there and make up ``share`` of all pairs of a witness and a filling of up to ``longest``
+    words. A place is said where a context says so and no other context of it has so many pairs and the token in a smaller share of them."""
+    site = F.coalesce(F.col("domain").cast("string"), F.lit("")) if "domain" in tabs.columns else F.lit(None).cast("string")
+    texts = tabs.where("id is not null and (error is null or error <> 'unsupported_url')").select(F.col("id").cast("long").alias("id"), site.alias("site"), *FIELDS)
+    places = checkpoint(texts.mapInArrow(_first_pass, "tab_id long, field string, place string, context string, witness string"))
+    slots = places.where("context <> ''").withColumn("token", F.expr("substring(place, instr(place, ' ') + 1)"))
+    spot = ["tab_id", "field", "place"]
+    own = checkpoint(slots.groupBy("context", "token").agg(F.count_distinct("witness").alias("own")))
+    asked = checkpoint(slots.join(slots.join(own.where(F.col("own") >= support), ["context", "token"], "left_semi").select(*spot).distinct(), spot, "left_semi").select(*spot, "context", "token"))
+    wanted = asked.select("context").distinct()
     if wanted.count() <= broadcast_contexts:
         held = tabs.sparkSession.sparkContext.broadcast(frozenset(r.context for r in wanted.toLocalIterator()))
-        counted = texts.mapInArrow(_count_contexts(held), "context string, n long")
+        counted = texts.mapInArrow(_count_contexts(held, longest), "context string, filling string, witness string")
     else:
-        counted = texts.mapInArrow(_count_contexts(None), "context string, n long").join(wanted, "context", "left_semi")
-    fillings = counted.groupBy("context").agg(F.sum("n").alias("fillings"))
-    # A context counts the words it was found around; a token of several words isn't among them.
-    constant = own.join(fillings, "context", "left").where(F.col("own") >= share * F.greatest(F.coalesce("fillings", F.lit(0)), F.col("own"))).select("context", "token")
-    said = slots.withColumn("token", token).join(constant, ["context", "token"], "left_semi").select("tab_id", "field", "place").distinct()
-    left = places.where("context is not null").select("tab_id", "field", "place").distinct().join(said, ["tab_id", "field", "place"], "left_anti")
+        counted = texts.mapInArrow(_count_contexts(None, longest), "context string, filling string, witness string").join(wanted, "context", "left_semi")
+    pairs = counted.distinct().groupBy("context").agg(F.count("*").alias("pairs"))
+    judged = asked.join(own, ["context", "token"]).join(pairs, "context", "left").withColumn("pairs", F.greatest(F.coalesce("pairs", F.lit(0)), F.col("own")))
+    most = F.col("own") >= share * F.col("pairs")
+    votes = judged.groupBy(*spot).agg(F.max((most & (F.col("own") >= support)).cast("int")).alias("yes"), F.max((~most & (F.col("pairs") >= support)).cast("int")).alias("no"))
+    said = votes.where("yes = 1 and no = 0").select(*spot)
+    left = places.where("context is not null").select(*spot).distinct().join(said, spot, "left_anti")
     return places.where("context is null").select("tab_id", "field").unionByName(left.select("tab_id", "field")).distinct()
