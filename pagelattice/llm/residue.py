@@ -5,7 +5,8 @@ default such as null, NaN or [object Object]) is aligned with all other sentence
 these are fillings of the same place, one word or several. Where many different sites keep that very token there, and few have anything else, it is part of what the text says (a
 tutorial about ``${HOME}``, an article on null readings); where the others have ordinary words, or one site alone prints it, the place is a slot and the token was left in it. Error pages, notices
 about scripts and layout drafts have no slots but hosts, paths and numbers: they are recognised as whole sentences of such templates, so that a sentence which only mentions a
-phrase isn't one.
+phrase isn't one. Those lists are seeds: sentences that many sites repeat (hosts, paths and numbers as slots) on pages a seed has found, or as all a page
+says about a host or path, are taken as further templates, whatever their wording (``repeated_templates``).
 
 The first pass over the texts emits the suspicious places (few rows), the second counts all fillings of those places. The contexts of the suspicious places are
 broadcast if they are at most ``broadcast_contexts``, else the contexts of the whole corpus are counted and joined; both give the same counts.
@@ -17,6 +18,7 @@ whole texts are read; an empty table gives an empty result; further columns are
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -232,6 +234,53 @@ def _count_contexts(wanted, longest: int):
     return run
 
 
+_IN_HOST = re.compile(r"\b(?:[\w-]+\.)+[a-z]{2,}\b")
+_IN_PATH = re.compile(r"(?<![\w<])/[\w./%-]+")
+_IN_NUMBER = re.compile(r"[a-z]?\d[\w#]*")
+_NO_WORD = re.compile(r"\W+")
+
+
+def sentence_template(sentence: str) -> str:
+    """A sentence with its hosts, paths and numbers as slots."""
+    s = _IN_NUMBER.sub("9", _IN_PATH.sub(" PATH ", _IN_HOST.sub(" HOST ", sentence.lower())))
+    return " ".join(_NO_WORD.sub(" ", s).split())
+
+
+def _sentences(least_words: int):
+    """(tab_id, field, site, template, slotted, pieces) of every different sentence of a page's texts; pieces is their number in the field."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            ids, sites = batch.column("id").to_pylist(), batch.column("site").to_pylist()
+            for field in FIELDS[1:]:
+                for tab, site, text in zip(ids, sites, batch.column(field).to_pylist()):
+                    found = {t for t in map(sentence_template, SENTENCE.split(text or "")) if t.count(" ") >= least_words - 1}
+                    rows.extend((tab, field, str(tab) if site is None else site, int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big", signed=True), "HOST" in t or "PATH" in t, len(found)) for t in found)
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["tab_id", "field", "site", "template", "slotted", "pieces"])
+
+    return run
+
+
+def repeated_templates(texts: DataFrame, seeds: DataFrame, sites: int = 5, share: float = 0.5, whole_share: float = 0.9, least_words: int = 3) -> DataFrame:
+    """(tab_id, field) of summaries and excerpts with a sentence that many sites repeat on failed pages.
+
+    A template counts where ``sites`` sites have it and either ``share`` of its fields are on pages whose title or same field a phrase list (a seed) has found, or it names a
+    host or path and ``whole_share`` of its fields hold repeated templates only: a banner stands in front of content, an error page in its place."""
+    rows = texts.mapInArrow(_sentences(least_words), "tab_id long, field string, site string, template long, slotted boolean, pieces int")
+    often = rows.select("template", "site").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("template")
+    held = checkpoint(rows.join(often, "template", "left_semi").distinct())
+    bodies = F.array([F.lit(f) for f in FIELDS[1:]])
+    seeded = seeds.select("tab_id", F.explode(F.when(F.col("field") == "title", bodies).otherwise(F.array("field"))).alias("field")).distinct().withColumn("seeded", F.lit(1))
+    full = held.groupBy("tab_id", "field").agg((F.count("*") == F.max("pieces")).cast("int").alias("whole"))
+    judged = held.join(seeded, ["tab_id", "field"], "left").join(full, ["tab_id", "field"])
+    kept = judged.groupBy("template").agg(F.avg(F.coalesce("seeded", F.lit(0))).alias("by_seed"), (F.avg("whole") * F.max(F.col("slotted").cast("int"))).alias("by_whole"))
+    kept = kept.where((F.col("by_seed") >= share) | (F.col("by_whole") >= whole_share)).select("template")
+    return held.join(kept, "template", "left_semi").select("tab_id", "field")
+
+
 def residue_fields(tabs: DataFrame, share: float = 0.5, support: int = 3, broadcast_contexts: int = 200_000, longest: int = 6) -> DataFrame:
     """(tab_id, field) of every field that holds residue.
 
@@ -257,4 +306,5 @@ def residue_fields(tabs: DataFrame, share: float = 0.5, support: int = 3, broadc
     votes = judged.groupBy(*spot).agg(F.max((most & (F.col("own") >= support)).cast("int")).alias("yes"), F.max((~most & (F.col("pairs") >= support)).cast("int")).alias("no"))
     said = votes.where("yes = 1 and no = 0").select(*spot)
     left = places.where("context is not null").select(*spot).distinct().join(said, spot, "left_anti")
-    return places.where("context is null").select("tab_id", "field").unionByName(left.select("tab_id", "field")).distinct()
+    seeds = places.where("context is null").select("tab_id", "field")
+    return seeds.unionByName(repeated_templates(texts, seeds)).unionByName(left.select("tab_id", "field")).distinct()

@@ -23,3 +23,14 @@ def test_fillings_of_several_words_make_a_slot(spark, limit):
     rows = [(i, f"s{i}.test", f"A story by {{{{author}}}} was read to {n}") for i, n in enumerate(["all", "us", "them", "some"])]
     rows += [(20 + i, f"s{i}.test", f"A story by {a} was read to us") for i, a in enumerate(["Anna Maria Schmidt", "Jo van Berg", "Li Na", "Al B. Moe", "Ed Poe", "Ann Lee"])]
     assert fields(spark, rows, broadcast_contexts=limit) == {0, 1, 2, 3}
+
+
+def test_repeated_error_pages_in_other_words(spark):
+    nouns = ["kiln", "fern", "mug", "tray", "lens", "bolt", "shelf"]
+    seen = [(i, None, None, f"Sidan /x{i}/y finns inte på s{i}.test. Gå tillbaka till startsidan.", None, f"s{i}.test") for i in range(7)]
+    titled = [(10 + i, "404 Not Found", None, f"Tyvärr, här var det tomt. Försök igen om {i} minuter.", None, f"s{i}.test") for i in range(7)]
+    banner = [(20 + i, None, None, f"Vi använder kakor på s{i}.test. {n.title()} makers meet in town number {n}.", None, f"s{i}.test") for i, n in enumerate(nouns)]
+    plain = [(30 + i, None, "A null reading is not a zero reading.", None, None, f"s{i}.test") for i in range(7)]
+    df = spark.createDataFrame(seen + titled + banner + plain, SCHEMA)
+    got = {(r.tab_id, r.field) for r in residue.residue_fields(df).collect()}
+    assert got == {(i, "text_excerpt") for i in [*range(7), *range(10, 17)]} | {(10 + i, "title") for i in range(7)}
