@@ -63,6 +63,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.packed_pieces(table(spark, d, "documents"), plans), plans)
 
 
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """Under all three limits at once: 95 % of the capacity for loss-bearing tokens, a segment for every 64 tokens."""
+    return packing.packed_pieces(table(spark, d, "documents"), table(spark, d, "pack_plans"), segment_tokens=64, loss_share=0.95)
+
+
+def p7_limited(spark: SparkSession, d: str) -> DataFrame:
+    return _limited(spark, d)
+
+
+def p7_limited_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_limited(spark, d), table(spark, d, "pack_plans"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
