@@ -8,6 +8,9 @@ about scripts and layout drafts have no slots but hosts, paths and numbers: they
 phrase isn't one. Those lists are seeds: sentences that many sites repeat (hosts, paths and numbers as slots) on pages a seed has found, or as all a page
 says about a host or path, are taken as further templates, whatever their wording (``repeated_templates``).
 
+A slot left blank shows as a blank before a comma or stop, or as empty brackets or quotes; it counts where other sites have several different words between the same two words on
+both sides. Blanks between two words ('order of was sent') aren't looked for.
+
 The first pass over the texts emits the suspicious places (few rows), the second counts all fillings of those places. The contexts of the suspicious places are
 broadcast if they are at most ``broadcast_contexts``, else the contexts of the whole corpus are counted and joined; both give the same counts.
 
@@ -29,9 +32,15 @@ from .common import checkpoint
 FIELDS = ("title", "summary", "text_excerpt")
 
 _NAME = r"[A-Za-z_][\w.\-]{0,60}"
+# What a template language allows besides a bare name: several words, filters and their arguments, indexes.
+_WIDE = _NAME + r"(?:\[[\w'\"]{1,30}\]|[ ]?\|[ ]?[\w:.'\"(), -]{1,40}|[ ][\w.\-]{1,30}){0,6}"
+_FORM = r"(?:your|insert|enter|add|type|choose|customer|client|company|business|first|last|full|user|recipient|product|name|date|city|street|phone|email|e-mail)"
+# In single square or angle brackets, which ordinary text uses too, several words count where one of the first two asks for a value.
+_ASKED = r"(?i:(?:[a-z][\w'-]{0,30}[ ])?" + _FORM + r"(?:[ ][\w'-]{1,30}){1,5}|[a-z][\w'-]{0,30}[ ]" + _FORM + r")"
 PLACEHOLDER = re.compile(
     "|".join(
         [
+            r"\{\{\{?\s*" + _WIDE + r"\s*\}?\}\}", r"[$#]\{\s*" + _WIDE + r"\s*\}", r"%%\s*" + _WIDE + r"\s*%%", r"\[\[\s*" + _WIDE + r"\s*\]\]", r"\[" + _ASKED + r"\](?!\()", r"<" + _ASKED + r">",
             r"\{\{\{?\s*" + _NAME + r"\s*\}?\}\}", r"[$#]\{\s*" + _NAME + r"\s*\}", r"\{%-?\s*" + _NAME + r"[^%{}]{0,40}%\}", r"<[%?]=?\s*" + _NAME + r"\s*[%?]>",
             r"%%\s*" + _NAME + r"\s*%%", r"@@\s*" + _NAME + r"\s*@@", r"%\(" + _NAME + r"\)[sdSD]", r"\*\|" + _NAME + r"\|\*", r"\[%-?\s*" + _NAME + r"[^%\[\]]{0,40}%\]",
             r"\[\[\s*" + _NAME + r"\s*\]\]", r"\[" + _NAME + r"\]", r"\{" + _NAME + r"\}", r"(?<!\w)__[A-Za-z](?:[\w.]*?[A-Za-z\d])?__(?!\w)", r"\$" + _NAME + r"\$",
@@ -129,6 +138,9 @@ def is_leftover(text: str, title: bool) -> bool:
     return any(SENTENCE_STATUS.match(s) or SENTENCE_END_STATUS.search(s) for s in SENTENCE.split(text))
 
 
+# A slot left blank leaves a blank before a comma or stop, or empty brackets or quotes. Two blanks are no trace: whole sentences are spaced so.
+BLANK = re.compile(r"(?<=\w) (?=[,.](?:\s|$))|\( *\)|\" *\"|“ *”")
+
 _NORMAL = {c: " " for c in range(0x80) if not chr(c).isalnum()} | {ord(d): "9" for d in "0123456789"}
 _NORMAL |= {ord(c): " " for c in "…–—“”„‘’«»· ​"}
 
@@ -137,6 +149,16 @@ def normal_words(text: str) -> list[str]:
     return text.lower().translate(_NORMAL).split()
 
 
+def blank_places(text: str) -> list[tuple[str, str]]:
+    """(token, context) of every place that looks like a blank slot and has two words on both sides."""
+    out = []
+    for m in BLANK.finditer(text):
+        before, after = normal_words(text[max(0, m.start() - 120) : m.start()])[-2:], normal_words(text[m.end() : m.end() + 120])[:2]
+        if len(before) == 2 and len(after) == 2:
+            out.append(("", "=" + " ".join(before + after)))
+    return out
+
+
 def suspicious_places(text: str) -> list[tuple[str, list[str], list[str]]]:
     """(token, words before, words after) of every variable name and default in a text."""
     if not _QUICK.search(text):
@@ -178,6 +200,8 @@ def _first_pass(batches):
                     witness = " ".join(before + [token] + after) if site is None else site
                     keys = contexts(before, after) or [""]
                     rows.extend((tab, field, f"{place} {token}", key, witness) for key in keys)
+                for place, (token, key) in enumerate(blank_places(text)):
+                    rows.append((tab, field, f"b{place} {token}", key, text[:200] if site is None else site))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], names=["tab_id", "field", "place", "context", "witness"])
 
@@ -186,30 +210,30 @@ def fillings(w: list[str], sides: dict[str, dict[tuple[str, str], set[str]]] | N
     """(context, filling) of up to ``longest`` words between the sides of the wanted contexts, or (None) of all. The nearest other side counts."""
     for i in range(len(w) - 1):
         pair = w[i], w[i + 1]
-        for kind in "<>":
+        for kind in "<>=":
             others = None if sides is None else sides[kind].get(pair)
             if sides is not None and not others:
                 continue
             seen = set()
             for gap in range(1, longest + 1):
-                at = i + 2 + gap if kind == "<" else i - gap - 1
-                if not 0 <= at < len(w):
+                at = i - gap - 1 if kind == ">" else i + 2 + gap
+                if not 0 <= at < len(w) - (kind == "="):
                     break
-                other = w[at]
+                other = w[at] if kind != "=" else f"{w[at]} {w[at + 1]}"
                 if other in seen or (others is not None and other not in others):
                     continue
                 seen.add(other)
-                if kind == "<":
-                    yield f"<{pair[0]} {pair[1]} {other}", " ".join(w[i + 2 : at])
+                if kind != ">":
+                    yield f"{kind}{pair[0]} {pair[1]} {other}", " ".join(w[i + 2 : at])
                 else:
                     yield f">{other} {pair[0]} {pair[1]}", " ".join(w[at + 1 : i])
 
 
 def _sides(wanted) -> dict[str, dict[tuple[str, str], set[str]]]:
-    found: dict[str, dict[tuple[str, str], set[str]]] = {"<": {}, ">": {}}
+    found: dict[str, dict[tuple[str, str], set[str]]] = {"<": {}, ">": {}, "=": {}}
     for key in wanted:
-        x, y, z = key[1:].split(" ")
-        pair, other = ((x, y), z) if key[0] == "<" else ((y, z), x)
+        words = key[1:].split(" ")
+        pair, other = (tuple(words[1:]), words[0]) if key[0] == ">" else (tuple(words[:2]), " ".join(words[2:]))
         found[key[0]].setdefault(pair, set()).add(other)
     return found
 
@@ -290,21 +314,28 @@ def residue_fields(tabs: DataFrame, share: float = 0.5, support: int = 3, broadc
     site = F.coalesce(F.col("domain").cast("string"), F.lit("")) if "domain" in tabs.columns else F.lit(None).cast("string")
     texts = tabs.where("id is not null and (error is null or error <> 'unsupported_url')").select(F.col("id").cast("long").alias("id"), site.alias("site"), *FIELDS)
     places = checkpoint(texts.mapInArrow(_first_pass, "tab_id long, field string, place string, context string, witness string"))
-    slots = places.where("context <> ''").withColumn("token", F.expr("substring(place, instr(place, ' ') + 1)"))
+    blank = places.where("context like '=%'")
+    slots = places.where("context <> '' and context not like '=%'").withColumn("token", F.expr("substring(place, instr(place, ' ') + 1)"))
     spot = ["tab_id", "field", "place"]
     own = checkpoint(slots.groupBy("context", "token").agg(F.count_distinct("witness").alias("own")))
     asked = checkpoint(slots.join(slots.join(own.where(F.col("own") >= support), ["context", "token"], "left_semi").select(*spot).distinct(), spot, "left_semi").select(*spot, "context", "token"))
-    wanted = asked.select("context").distinct()
+    wanted = asked.select("context").unionByName(blank.select("context")).distinct()
     if wanted.count() <= broadcast_contexts:
         held = tabs.sparkSession.sparkContext.broadcast(frozenset(r.context for r in wanted.toLocalIterator()))
         counted = texts.mapInArrow(_count_contexts(held, longest), "context string, filling string, witness string")
     else:
         counted = texts.mapInArrow(_count_contexts(None, longest), "context string, filling string, witness string").join(wanted, "context", "left_semi")
-    pairs = counted.distinct().groupBy("context").agg(F.count("*").alias("pairs"))
+    counted = checkpoint(counted.distinct())  # read twice
+    pairs = counted.groupBy("context").agg(F.count("*").alias("pairs"))
     judged = asked.join(own, ["context", "token"]).join(pairs, "context", "left").withColumn("pairs", F.greatest(F.coalesce("pairs", F.lit(0)), F.col("own")))
     most = F.col("own") >= share * F.col("pairs")
     votes = judged.groupBy(*spot).agg(F.max((most & (F.col("own") >= support)).cast("int")).alias("yes"), F.max((~most & (F.col("pairs") >= support)).cast("int")).alias("no"))
     said = votes.where("yes = 1 and no = 0").select(*spot)
-    left = places.where("context is not null").select(*spot).distinct().join(said, spot, "left_anti")
+    # A blank is residue where others have words: several fillings at several sites, and the blank in a smaller share.
+    empty = blank.groupBy("context").agg(F.count_distinct("witness").alias("own"))
+    filled = counted.groupBy("context").agg(F.count_distinct("filling").alias("kinds"), F.count_distinct("witness").alias("sites"), F.count("*").alias("pairs"))
+    slot = filled.join(empty, "context").where((F.col("kinds") >= support) & (F.col("sites") >= support) & (F.col("own") < share * (F.col("pairs") + F.col("own")))).select("context")
+    left = places.where("context is not null and context not like '=%'").select(*spot).distinct().join(said, spot, "left_anti")
+    left = left.unionByName(blank.join(slot, "context", "left_semi").select(*spot))
     seeds = places.where("context is null").select("tab_id", "field")
     return seeds.unionByName(repeated_templates(texts, seeds)).unionByName(left.select("tab_id", "field")).distinct()

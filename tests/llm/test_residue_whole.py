@@ -34,3 +34,20 @@ def test_repeated_error_pages_in_other_words(spark):
     df = spark.createDataFrame(seen + titled + banner + plain, SCHEMA)
     got = {(r.tab_id, r.field) for r in residue.residue_fields(df).collect()}
     assert got == {(i, "text_excerpt") for i in [*range(7), *range(10, 17)]} | {(10 + i, "title") for i in range(7)}
+
+
+@pytest.mark.parametrize("text", ["Dear [Your Name], we are glad", "Call <Company Name> for a quote", "Held on [Insert date here] at noon", "Hi {{user|upper}} and all", "First {{items[0]}} of many", "By ${user.name|html} today"])
+def test_placeholders_of_several_words_filters_and_indexes(text):
+    assert residue.suspicious_places(text)
+
+
+@pytest.mark.parametrize("text", ["He said [sic] so [see the note below]", "a [link text](https://a.test) in text", "if a < b and c > d"])
+def test_brackets_of_ordinary_text(text):
+    assert not any(" " in token for token, _, _ in residue.suspicious_places(text))
+
+
+def test_blank_slots(spark):
+    names = ["Ann Lee", "Bo", "Cy Poe", "Di", "Ed Moe"]
+    rows = [(i, f"s{i}.test", f"We thank our customer {n}, your order was sent on Monday") for i, n in enumerate(names)]
+    rows += [(10, "s1.test", "We thank our customer , your order was sent on Monday"), (11, "s2.test", "It rained , so they say, all day"), (12, "s3.test", "Two  blanks alone mean nothing")]
+    assert fields(spark, rows) == {10}
