@@ -265,7 +265,7 @@ def graph_rebuild_live(spark, d):
     from . import pipeline
 
     moves = navigation.first_visits(_t(spark, d, "browser_events"))
-    g = pipeline.build(_t(spark, d, "tabs").select("id", "url", "title", "domain", "canonical_url", "keywords", "tokens", "simhash", "embedding"), LIVE, moves)
+    g = pipeline.rebuild_live(_t(spark, d, "tabs").select("id", "url", "title", "domain", "canonical_url", "keywords", "tokens", "simhash", "embedding"), moves, LIVE)
     return g.edges.select("source", "target", "weight", "reason")
 
 
