@@ -400,7 +400,7 @@ def nav_stream(spark, d):
 @query
 def cache_overlay(spark, d):
     tabs = _t(spark, d, "tabs")
-    cache = store.cache_from(tabs.where("id % 3 <> 0 and error is null"))
+    cache = store.cache_from(tabs.where("error is null"))
     fresh = tabs.where("id is not null").select("id", "url", "title")
     return store.overlay_cache(fresh, cache).select("id", "cached", "summary", "summary_source", _joined("keywords").alias("keywords"), "simhash")
 
