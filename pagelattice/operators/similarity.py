@@ -1,7 +1,7 @@
-"""Similarity of tabs: keyword and embedding scores, edges, nearest neighbours.
+"""Similarity of tabs: keyword scores, edges, nearest neighbours; cosines of vectors apart from them.
 
-A score is the cosine of the embeddings or, where that is exactly zero (or there is none), the Jaccard similarity of the keywords, plus a bonus within one domain. Without
-embeddings only tabs that share a keyword or a domain score at all, so candidates come from equi-joins, never from all pairs.
+A score is the Jaccard similarity of the keywords, plus a bonus within one domain. The cosine of the embeddings, which the reference takes first where there is one, isn't built
+into scores, so only tabs that share a keyword or a domain score at all, so candidates come from equi-joins, never from all pairs.
 """
 
 from __future__ import annotations
