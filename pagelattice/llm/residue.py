@@ -98,6 +98,8 @@ _HOST = r"[a-z0-9_-]+(?:\.[a-z0-9_-]+)*\.[a-z]{2,}"
 _CODE = r"^\W*(?i:error |http )?[45]\d\d(?:\W+(?i:" + _HOST + r"))?\W*$"
 
 SENTENCE = r"(?<=[.!?])\s+|\n+|\s\|\s"
+# What separates words: white space, punctuation and signs, listed because classes by script are slow.
+_BETWEEN = r"[\s\x00-/:-@\[-`{-~\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf×÷\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3020\uff00-\uff0f\uff1a-\uff20]+"
 TAIL = 3
 KINDS = "<>="
 TITLE_PART = r"\n+|\s[-|–—:·]{1,2}\s|(?<=[.!?])\s+"
@@ -105,11 +107,13 @@ TITLE_PART = r"\n+|\s[-|–—:·]{1,2}\s|(?<=[.!?])\s+"
 
 def has_sign(text: Column) -> Column:
     """Whether a text may hold a placeholder, a default, a visible blank or Latin filler; says yes too often, never too rarely."""
-    low = F.lower(text)
-    held = low.rlike(r"[{}\[\]<>%@$*#_]|\( *\)|\" *\"|“ *”")
-    for word in ("null", "undefined", "none", "nan", "array(", "&lt;", " ,", " .", *_LATIN_RARE):
-        held = held | low.contains(word)
-    return held
+    def held(low: Column) -> Column:
+        found = low.rlike(r"[{}\[\]<>%@$*#_]|\( *\)|\" *\"|“ *”")
+        for word in ("null", "undefined", "none", "nan", "array(", "&lt;", " ,", " .", *_LATIN_RARE):
+            found = found | low.contains(word)
+        return found
+
+    return F.exists(F.array(F.lower(text)), held)  # so that the text is lowered once
 
 
 def has_filler(text: str, run: int = 4) -> bool:
@@ -305,21 +309,28 @@ def _count_contexts(held, longest: int, bits: int):
 
 def normal_parts(text: Column, by: str) -> Column:
     """The sentences (or parts) of a text in normal form: lower case, hosts, paths and numbers as slots, one blank between words."""
-    s = F.regexp_replace(F.lower(text), r"\b(?:[a-z0-9_-]+\.)+[a-z]{2,}\b", " HOST ")
-    s = F.regexp_replace(s, r"(?<![\w<])/[\p{L}\p{N}_./%-]*[\p{L}\p{N}_/%-]", " PATH ")
-    s = F.regexp_replace(s, r"[a-z]?\d[\p{L}\p{N}_#]*", "9")
-    return F.transform(F.split(s, by), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    def slotted(low: Column) -> Column:
+        s = F.when(low.rlike(r"\.[a-z]"), F.regexp_replace(low, r"\b(?:[a-z0-9_-]+\.)+[a-z]{2,}\b", " HOST ")).otherwise(low)
+        s = F.when(s.contains("/"), F.regexp_replace(s, r"(?<![\w<])/[\p{L}\p{N}_./%-]*[\p{L}\p{N}_/%-]", " PATH ")).otherwise(s)
+        return F.regexp_replace(s, r"[a-z]?\d[\p{L}\p{N}_#]*", "9")
+
+    whole = F.transform(F.array(F.lower(text)), slotted)
+    return F.transform(F.split(whole[0], by), lambda x: F.trim(F.regexp_replace(x, _BETWEEN, " ")))
+
+
+def title_key(title: Column) -> Column:
+    """A hash of the two longest words of a title, null without any: copies of a page share it, whatever stands around their titles."""
+    words = F.filter(F.array_distinct(F.split(F.lower(title), _BETWEEN)), lambda w: w != "")
+    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
+    return F.transform(F.array(longest), lambda x: F.when(F.size(x) > 0, F.xxhash64(x)))[0]
 
 
 def sentences(texts: DataFrame, least_words: int) -> DataFrame:
     """(tab_id, field, site, titled, template, tail, slotted, worded, pieces): every different sentence of a field (of a title: every part), once; pieces is their number."""
-    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+")), lambda w: w != "")
-    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
     is_title = F.col("field") == "title"
-    titled = F.when(F.size(words) > 0, F.xxhash64(longest))
     code = F.col("text").rlike(_CODE)
     parts = F.array_distinct(F.when(code, F.array(F.lit("HTTP CODE"))).when(is_title, normal_parts(F.col("text"), TITLE_PART)).otherwise(normal_parts(F.col("text"), SENTENCE)))
-    rows = texts.select(F.col("id").alias("tab_id"), "field", "site", titled.alias("titled"), code.alias("code"), parts.alias("parts"))
+    rows = texts.select(F.col("id").alias("tab_id"), "field", "site", "titled", code.alias("code"), parts.alias("parts"))
     letters = lambda t: t.rlike(r"\p{L}")
     enough = lambda t: F.size(F.split(t, " ")) >= least_words
     kept = F.when(is_title, F.filter("parts", lambda t: t != "")).otherwise(F.filter("parts", lambda t: letters(t) & (enough(t) | t.rlike(WORDING))))
@@ -384,8 +395,8 @@ def residue_fields(tabs: DataFrame, share: float = 0.5, support: int = 3, broadc
     rows = tabs.where("id is not null and (error is null or error <> 'unsupported_url')")
     by_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in FIELDS])
     site = F.xxhash64(F.coalesce(F.col("domain").cast("string"), F.lit(""))) if "domain" in tabs.columns else F.xxhash64("f.text")
-    texts = rows.select(F.col("id").cast("long").alias("id"), F.col("title").cast("string").alias("title"), *(["domain"] if "domain" in tabs.columns else []), F.explode(by_field).alias("f"))
-    texts = texts.where("f.text <> ''").select("id", site.alias("site"), "title", "f.field", "f.text")
+    texts = rows.select(F.col("id").cast("long").alias("id"), title_key(F.col("title").cast("string")).alias("titled"), *(["domain"] if "domain" in tabs.columns else []), F.explode(by_field).alias("f"))
+    texts = texts.where("f.text <> ''").select("id", site.alias("site"), "titled", "f.field", "f.text")
     read = texts.select("id", "site", "field", "text")
     places = checkpoint(read.where(has_sign(F.col("text"))).mapInArrow(_first_pass, "tab_id long, site long, field string, place string, context string"))
     visible = places.where("place like 'b%'")
