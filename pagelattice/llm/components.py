@@ -1,9 +1,9 @@
 """Problem 3: one group identifier for all records linked directly or indirectly.
 
 Union-find runs inside edge partitions and keeps only a spanning forest of each (as stars: node, root of the node in that partition, the
-root being the smallest node). Forests are merged hierarchically: partitions of at most ``task_edges`` edges each, fewer partitions at every level,
+root being the smallest node). Forests are merged hierarchically: ranges of about ``task_edges`` edges each, fewer partitions at every level,
 until one partition holds the whole forest or the next level would no longer fit a task. In the second case the remaining forest is contracted
-without any bound on a task's share by alternating large-star and small-star steps (each a grouped minimum, hot nodes pre-aggregated),
+by alternating large-star and small-star steps (each a grouped minimum, hot nodes pre-aggregated),
 so the result never depends on whether the global forest fits one task. Every level is a reliable checkpoint.
 
 Defined cases: null ends and self-links are ignored; repeated and reversed links count once; nodes that are linked with no other node don't
@@ -19,36 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import spanning_stars
 from .common import checkpoint
 
 TASK_EDGES = 1_000_000
 
 
-def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over one partition's edges, for all edges at once: (node, smallest node of its tree) for every node that isn't its own root.
-
-    Each round hooks the larger root of every edge under the smaller one and then halves all paths until they are flat, as sequential
-    union-find with path halving would; edges inside one tree are dropped, so only a spanning forest is left.
-    """
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    parent = np.arange(len(nodes))
-    while len(x):
-        rx, ry = parent[x], parent[y]
-        open_ = rx != ry
-        x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
-        if not len(x):
-            break
-        np.minimum.at(parent, np.maximum(rx, ry), np.minimum(rx, ry))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    child = parent != np.arange(len(nodes))
-    return nodes[child], nodes[parent[child]]
-
-
 def _forest(batches):
     parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
     if parts:
@@ -58,8 +34,9 @@ def _forest(batches):
 
 
 def _local(edges: DataFrame, partitions: int) -> DataFrame:
-    """Spanning forest of each partition; the partitions are cut by the smaller end, so that forests of one neighbourhood meet early."""
-    return edges.repartition(partitions, "a").mapInArrow(_forest, "a long, b long")
+    """Spanning forest of each partition. Partitions are ranges of (smaller end, larger end): the links of one neighbourhood meet early, and those of a hub that a third of all links
+    lead to are cut into as many partitions as their number asks for."""
+    return edges.repartitionByRange(partitions, "a", "b").mapInArrow(_forest, "a long, b long")
 
 
 def _contract(forest: DataFrame, max_rounds: int) -> DataFrame:
@@ -74,7 +51,7 @@ def _contract(forest: DataFrame, max_rounds: int) -> DataFrame:
         low = down.groupBy("node").agg(F.min("nb").alias("m"))
         small = down.join(low, "node").select(F.col("m").alias("a"), F.col("nb").alias("b")).where("a < b")
         edges = checkpoint(small.unionByName(low.select(F.col("m").alias("a"), F.col("node").alias("b"))).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return edges
         before = now
