@@ -161,64 +161,92 @@ class CountRTree:
                 yield self.order[x[keep]], other.order[y[keep]]
 
 
+def _shard_runs(batches, least_rows: int = 131_072):
+    """Tables of whole shards from rows sorted by shard, of about so many rows and one shard more at most: a task holds no more, however much its partition has."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        while batch.num_rows:
+            if rows < least_rows:
+                held.append(batch)
+                rows += batch.num_rows
+                break
+            last = held[-1].column("shard")[held[-1].num_rows - 1].as_py()
+            other = np.flatnonzero(batch.column("shard").to_numpy() != last)
+            cut = int(other[0]) if len(other) else batch.num_rows
+            held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+            if batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _search_shards(t: float):
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        shard, side, ids, sizes, left = (table.column(c).to_numpy() for c in ("shard", "side", "class_id", "n", "left"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        del table, parts
-        order = np.lexsort((side, shard))
-        shard, side, ids, sizes, left, points = shard[order], side[order], ids[order], sizes[order], left[order], points[order]
-        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        ends = np.append(starts[1:], len(shard))
-        span = ends - starts
-        found = []
-        # Shards of a leaf or two: all their pairs at once, by distance within the sorted rows.
-        rest = np.repeat(ends, span) - np.arange(len(shard))
-        rest[np.repeat(span > 2 * LEAF, span)] = 0
-        i = np.flatnonzero(rest > 1)
-        for d in range(1, 2 * LEAF):
-            i = i[rest[i] > d]
-            if not len(i):
-                break
-            x = i[possible(sizes[i], sizes[i + d], left[i], left[i + d], t) & ((side[i] == 0) | (side[i] != side[i + d]))]
-            for at in range(0, len(x), 131_072):
-                a = x[at : at + 131_072]
-                ok = admits(points[a], points[a + d], sizes[a], sizes[a + d], t)
-                found.append((ids[a[ok]], ids[a[ok] + d]))
-        # Larger shards: a tree each, or two where the shard is a pair of blocks.
-        for k in np.flatnonzero(span > 2 * LEAF):
-            own = np.arange(starts[k], ends[k])
-            if side[own[0]] == 0:
-                tree = CountRTree(points[own], sizes[own], left[own])
-                found.extend((ids[own[x]], ids[own[y]]) for x, y in tree.join(tree, t, True))
-                continue
-            low, high = own[side[own] == 1], own[side[own] == 2]
-            if len(low) and len(high):
-                a, b = CountRTree(points[low], sizes[low], left[low]), CountRTree(points[high], sizes[high], left[high])
-                found.extend((ids[low[x]], ids[high[y]]) for x, y in a.join(b, t, False))
-        if found:
-            a, b = (np.concatenate([f[side_] for f in found]) for side_ in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            for at in range(0, len(pairs), 100_000):
-                part = pairs[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], names=["class_a", "class_b"])
+        for table in _shard_runs(batches):
+            shard, side, ids, sizes, left = (table.column(c).to_numpy() for c in ("shard", "side", "class_id", "n", "left"))
+            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            for pairs in _pairs_of_shards(shard, side, ids, sizes, left, points, t):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["class_a", "class_b"])
 
     return run
 
 
+def _pairs_of_shards(shard, side, ids, sizes, left, points, t: float, at_once: int = 1_000_000):
+    """Arrays of (class_a, class_b) that the bounds admit, from rows sorted by shard and side."""
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    ends = np.append(starts[1:], len(shard))
+    span = ends - starts
+    found: list[tuple] = []
+
+    def pairs():
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        found.clear()
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return both[both[:, 0] != both[:, 1]]
+
+    # Trees of one node, of up to two leaves' rows: all such shards at once, by distance within the sorted rows.
+    rest = np.repeat(ends, span) - np.arange(len(shard))
+    rest[np.repeat(span > 2 * LEAF, span)] = 0
+    i = np.flatnonzero(rest > 1)
+    for d in range(1, 2 * LEAF):
+        i = i[rest[i] > d]
+        if not len(i):
+            break
+        x = i[possible(sizes[i], sizes[i + d], left[i], left[i + d], t) & ((side[i] == 0) | (side[i] != side[i + d]))]
+        for at in range(0, len(x), 131_072):
+            a = x[at : at + 131_072]
+            ok = admits(points[a], points[a + d], sizes[a], sizes[a + d], t)
+            found.append((ids[a[ok]], ids[a[ok] + d]))
+    # Larger shards: a tree each, or two where the shard is a pair of blocks.
+    for k in np.flatnonzero(span > 2 * LEAF):
+        own = np.arange(starts[k], ends[k])
+        if side[own[0]] == 0:
+            tree = CountRTree(points[own], sizes[own], left[own])
+            met = ((ids[own[x]], ids[own[y]]) for x, y in tree.join(tree, t, True))
+        else:
+            low, high = own[side[own] == 1], own[side[own] == 2]
+            if not len(low) or not len(high):
+                continue
+            trees = CountRTree(points[low], sizes[low], left[low]), CountRTree(points[high], sizes[high], left[high])
+            met = ((ids[low[x]], ids[high[y]]) for x, y in trees[0].join(trees[1], t, False))
+        for pair in met:
+            found.append(pair)
+            if sum(len(f[0]) for f in found[-64:]) > at_once or len(found) > 4096:
+                yield pairs()
+    if found:
+        yield pairs()
+
+
 def similar_token_classes(classes: DataFrame, threshold: float = 0.7, block: int = 4096) -> DataFrame:
     """(class_a, class_b, jaccard) for all pairs of different token sets at or above the threshold."""
     exact = Fraction(str(threshold))
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(cell_counts(classes))
     sharded = classes.select("class_id", "hashes", "n").mapInArrow(_shard_rows(counts, exact, block), "shard long, side int, class_id long, n int, left int, point binary")
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = sharded.repartition(width, "shard").mapInArrow(_search_shards(float(threshold)), "class_a long, class_b long").distinct()
+    found = sharded.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(_search_shards(float(threshold)), "class_a long, class_b long").distinct()
     left = classes.select(F.col("class_id").alias("class_a"), F.col("hashes").alias("x"))
     right = classes.select(F.col("class_id").alias("class_b"), F.col("hashes").alias("y"))
     pairs = found.join(left, "class_a").join(right, "class_b").withColumn("shared", F.size(F.array_intersect("x", "y")))
