@@ -54,6 +54,21 @@ def p6_every_twentieth(spark: SparkSession, d: str) -> DataFrame:
     return vptree.nearest(tabs, vptree.stated_query_set(tabs)).select("query_id", "neighbor_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p6_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """The relaxed search, below factor one."""
+    tabs = table(spark, d, "tabs")
+    found = vptree.nearest(tabs, vptree.stated_query_set(tabs), factor=vptree.RELAXED_FACTOR, leaf=vptree.RELAXED_LEAF)
+    return found.select("query_id", "neighbor_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the relaxed search finds of the exact neighbours, and the share of all pairs it compares."""
+    tabs = table(spark, d, "tabs")
+    asked = vptree.stated_query_set(tabs)
+    share = vptree.compared_share(tabs, asked).select((F.col("compared") / F.col("pairs")).alias("compared_share"))
+    return vptree.recall(tabs, asked).crossJoin(share)  # one row each
+
+
 def p7_contents(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_pieces(table(spark, d, "documents"), table(spark, d, "pack_plans"))
 

@@ -4,7 +4,10 @@ A shard is a partition of the scan, so no vector is shuffled: each task builds a
 On unit vectors the Euclidean distance is a metric with d^2 = 2 - 2 cos, so a subtree is ruled out by the triangle inequality when the query's
 distance from the shell exceeds ``factor`` times the distance of its k-th neighbour so far; factor one is the exact search, smaller factors prune more
 and may lose neighbours. The k best of every shard are merged by a ranked window (at most k rows per query and shard are shuffled).
-Queries are broadcast in blocks of at most ``query_block`` rows (32 MB at 64 dimensions): more queries mean more passes, never a larger broadcast.
+Queries are broadcast in blocks of at most ``query_block`` rows (32 MB at 64 dimensions): more queries mean more passes, never a larger broadcast; of several passes each is finished
+(a reliable checkpoint) and its block dropped before the next is read, so the driver never holds more than one.
+
+How much is pruned depends on the data: ``compared_share`` reports the share of all pairs that a factor compares and ``recall`` what it finds of the exact neighbours.
 
 Only vectors with exactly ``dims`` finite entries that aren't all zero count, on both sides; a query's own id is no neighbour of it; repeated rows of
 an id are repeated candidates only once; ties go to the smaller id; fewer than k usable vectors give fewer rows; an empty table gives an empty result.
@@ -17,7 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 LEAF = 512
+# Leaves and factor of the relaxed search: small leaves prune more, large ones multiply faster.
+RELAXED_LEAF, RELAXED_FACTOR = 64, 0.16
 
 
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,12 +38,12 @@ def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class VantagePointTree:
-    def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.vectors, self.random = vectors, np.random.default_rng(seed)
+    def __init__(self, vectors: np.ndarray, leaf: int | None = None, seed: int = 7):
+        self.vectors, self.leaf, self.random, self.compared = vectors, leaf or LEAF, np.random.default_rng(seed), 0
         self.root = self._build(np.arange(len(vectors)))
 
     def _build(self, at: np.ndarray):
-        if len(at) <= LEAF:
+        if len(at) <= self.leaf:
             return at
         some = self.random.choice(at, 24)
         spread = np.sqrt(np.maximum(0, 2 - 2 * self.vectors[some] @ self.vectors[self.random.choice(at, 128)].T)).std(axis=1)
@@ -81,6 +88,7 @@ class VantagePointTree:
             self._visit(second, mine[gap <= self.factor * self._radius(mine) + 1e-9])
 
     def _leaf(self, at: np.ndarray, rows: np.ndarray) -> None:
+        self.compared += len(at) * len(rows)
         cos = self.queries[rows] @ self.vectors[at].T
         hits = cos >= self.best[rows, -1:] - 1e-12
         for r in np.flatnonzero(hits.any(axis=1)):
@@ -95,7 +103,7 @@ class VantagePointTree:
             self.where[q, : len(order)], self.best[q, : len(order)] = where[order], best[order]
 
 
-def _answer(block, id_col: str, vector_col: str, dims: int, k: int, factor: float):
+def _answer(block, dims: int, k: int, factor: float, leaf: int, counts: bool):
     def run(batches):
         units, ids = [np.empty((0, dims))], [np.empty(0, np.int64)]
         for batch in batches:
@@ -109,30 +117,63 @@ def _answer(block, id_col: str, vector_col: str, dims: int, k: int, factor: floa
         if not len(known):
             return
         numbers, own, queries = block.value
-        where, best = VantagePointTree(vectors).search(queries, own, known, k, factor)
+        tree = VantagePointTree(vectors, leaf)
+        where, best = tree.search(queries, own, known, k, factor)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([tree.compared]), pa.array([len(queries) * len(known)])], names=["compared", "pairs"])
+            return
         q, j = np.nonzero(where >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(known[where[q, j]]), pa.array(best[q, j])], names=["query_id", "neighbor_id", "cosine"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", dims: int = 64, k: int = 5, factor: float = 1.0, query_block: int = 65_536) -> DataFrame:
-    """(query_id, neighbor_id, cosine, rank) for queries (query_id, own_id, vector), own_id being excluded from the neighbours."""
-    spark = vectors.sparkSession
-    usable = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dims))
+def _usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
+    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dims))
+
+
+def _blocks(queries: DataFrame, dims: int, query_block: int):
+    """Broadcasts of (query ids, own ids, unit vectors), of at most about ``query_block`` rows, and whether there are several."""
     asked = queries.select("query_id", F.coalesce("own_id", F.lit(-1)).cast("long").alias("own_id"), F.col("vector").cast("array<double>").alias("v")).where(F.col("query_id").isNotNull() & (F.size("v") == dims))
     blocks = max(1, -(-asked.count() // query_block))
-    found = None
     for b in range(blocks):
-        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
-        part = part.combine_chunks()
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
         unit, at = unit_rows(part.column("v").combine_chunks(), dims) if part.num_rows else (np.empty((0, dims)), np.empty(0, np.int64))
-        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy()[at], part.column("own_id").to_numpy()[at], unit))
-        one = usable.mapInArrow(_answer(held, id_col, vector_col, dims, k, factor), "query_id long, neighbor_id long, cosine double")
-        found = one if found is None else found.unionByName(one)
-    once = found.groupBy("query_id", "neighbor_id").agg(F.max("cosine").alias("cosine"))
+        yield queries.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy()[at], part.column("own_id").to_numpy()[at], unit)), blocks > 1
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", dims: int = 64, k: int = 5, factor: float = 1.0, query_block: int = 65_536, leaf: int = LEAF) -> DataFrame:
+    """(query_id, neighbor_id, cosine, rank) for queries (query_id, own_id, vector), own_id being excluded from the neighbours."""
+    usable, found = _usable(vectors, id_col, vector_col, dims), None
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbor_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for held, several in _blocks(queries, dims, query_block):
+        one = usable.mapInArrow(_answer(held, dims, k, factor, leaf, False), "query_id long, neighbor_id long, cosine double")
+        one = one.groupBy("query_id", "neighbor_id").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if several:
+            one = checkpoint(one)
+            held.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def compared_share(vectors: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", dims: int = 64, k: int = 5, factor: float = RELAXED_FACTOR, query_block: int = 65_536, leaf: int = RELAXED_LEAF) -> DataFrame:
+    """(compared, pairs): the pairs of a query and a vector that a search with this factor multiplies, and all of them."""
+    usable, found = _usable(vectors, id_col, vector_col, dims), None
+    for held, several in _blocks(queries, dims, query_block):
+        one = usable.mapInArrow(_answer(held, dims, k, factor, leaf, True), "compared long, pairs long").agg(F.sum("compared").alias("compared"), F.sum("pairs").alias("pairs"))
+        if several:
+            one = checkpoint(one)
+            held.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+def recall(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = RELAXED_FACTOR, leaf: int = RELAXED_LEAF, dims: int = 64) -> DataFrame:
+    """(queries, exact, found, recall): how many of the exact k neighbours of the queries a relaxed search finds."""
+    exact = nearest(vectors, queries, dims=dims, k=k).select("query_id", "neighbor_id")
+    some = nearest(vectors, queries, dims=dims, k=k, factor=factor, leaf=leaf).select("query_id", "neighbor_id", F.lit(1).alias("hit"))
+    met = exact.join(some, ["query_id", "neighbor_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+    return met.agg(F.count("*").alias("queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("exact"), F.coalesce(F.sum("h"), F.lit(0)).alias("found"), (F.sum("h") / F.sum("n")).alias("recall"))
 
 
 def probe_neighbors(tabs: DataFrame, probes: DataFrame, dims: int = 64, k: int = 5, factor: float = 1.0) -> DataFrame:
