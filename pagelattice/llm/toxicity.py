@@ -11,6 +11,9 @@ passages, so the positive passages of a labelled document are found in rounds: f
 documents, then by the model of the previous round; a labelled document without any such passage is treated as a wrong label. The threshold is the one that best
 separates held-out confirmed documents from documents reviewed as ok.
 
+Letters of other scripts keep their code points; in scripts without blanks between words every letter is a word, and pairs of them are features. The class prior pi is estimated from the training texts
+(the share of unlabelled passages that lie where the positive ones do) unless it is given.
+
 Bounds: at most ``max_labelled`` documents per review outcome and ``max_unlabelled`` others (those with the smallest hash of their id) reach
 the driver for fitting, and the model is ``DIMS`` floats; scoring covers every document and whole texts.
 
@@ -38,32 +41,42 @@ LOOKALIKES = dict(zip("асеорхуікјѕԁһԛѡвнмтαβεικνορτ
 FOR_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 
 
-def _character_table() -> np.ndarray:
-    table = np.full(0x10000, _SPACE, np.uint8)
+def _character_table() -> tuple[np.ndarray, np.ndarray]:
+    """(kind, letter) of every code point below 0x30000: Latin letters and look-alikes by their base letter, other letters by their own lower-case code point."""
+    kinds, letters = np.full(_CODES, _SPACE, np.uint8), np.arange(_CODES, dtype=np.uint32)
     for code in range(0x3000):
         ch = chr(code)
         base = LOOKALIKES.get(ch.lower(), unicodedata.normalize("NFKD", ch.lower())[:1])
         kind = unicodedata.category(ch)
         if base and "a" <= base <= "z":
-            table[code] = _LETTER0 + ord(base) - 97
+            kinds[code] = _LETTER0 + ord(base) - 97
         elif base and "0" <= base <= "9":
-            table[code] = _DIGIT0 + ord(base) - 48
-        elif kind[0] == "M" or kind == "Cf" or code == 0xAD:
-            table[code] = _DROP
-        elif kind[0] == "L":
-            table[code] = _OTHER
-    table[0x3000:] = _OTHER
-    table[0xFEFF] = _DROP
-    table[ord("@")], table[ord("$")] = _LETTER0, _LETTER0 + 18
-    table[ord("*")] = table[ord("#")] = _STAR
-    for ch in ".!?…":
-        table[ord(ch)] = _STOP
-    table[ord("\n")] = table[ord("\r")] = _LINE
-    table[ord("ß")] = _LETTER0 + 18
-    return table
-
-
-_TABLE = _character_table()
+            kinds[code] = _DIGIT0 + ord(base) - 48
+        elif kind == "Mn" or kind == "Cf" or code == 0xAD:
+            kinds[code] = _DROP
+        elif kind[0] in "LM":  # vowel signs of Indic scripts are part of their words
+            kinds[code], letters[code] = _OTHER, ord(base) if base else code
+    kinds[0x3040:] = _OTHER
+    kinds[0xFE00:0xFE10] = kinds[0xFEFF] = _DROP
+    for low, high in ((0x3000, 0x3005), (0x3008, 0x3021), (0xFE30, 0xFE50), (0xFF00, 0xFF10), (0xFF1A, 0xFF21), (0xFF5B, 0xFF66), (0x1F000, 0x20000)):
+        kinds[low:high] = _SPACE
+    for k in range(26):
+        kinds[0xFF21 + k] = kinds[0xFF41 + k] = _LETTER0 + k
+    kinds[ord("@")], kinds[ord("$")] = _LETTER0, _LETTER0 + 18
+    kinds[ord("*")] = kinds[ord("#")] = _STAR
+    for ch in ".!?…。！？؟।":
+        kinds[ord(ch)] = _STOP
+    kinds[ord("\n")] = kinds[ord("\r")] = _LINE
+    kinds[ord("ß")] = _LETTER0 + 18
+    return kinds, letters
+
+
+_CODES = 0x30000
+_TABLE, _LETTER_OF = _character_table()
+# Scripts without blanks between words: each of their letters is a word by itself, so that pairs of letters become features.
+_UNSPACED = np.zeros(_CODES, bool)
+for _low, _high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF), (0xF900, 0xFAFF)):
+    _UNSPACED[_low : _high + 1] = True
 _AS_LETTER = np.zeros(64, np.uint8)
 for _d, _l in FOR_LETTERS.items():
     _AS_LETTER[_DIGIT0 + int(_d)] = _LETTER0 + ord(_l) - 97
@@ -75,10 +88,10 @@ def _is_letter(c: np.ndarray) -> np.ndarray:
     return (c < _STAR) | (c == _OTHER)
 
 
-def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, origin): the normalised characters and the place in the text that each came from."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _TABLE[np.minimum(raw, 0xFFFF)]
+def normalised(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, origin, letters): the normalised characters, the place in the text that each came from, and for letters beyond the Latin ones which they are."""
+    raw = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _CODES - 1)
+    c = _TABLE[raw]
     at = np.flatnonzero(c != _DROP)
     c = c[at]
     letter = _is_letter(c)
@@ -94,29 +107,34 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter(c)
     # Letters set apart: a separator between two letters that stand alone, in a row of at least two such separators.
     p = np.concatenate([[False, False], letter, [False, False]])
-    alone = letter & ~p[1:-3] & ~p[3:-1]
+    alone = letter & ~p[1:-3] & ~p[3:-1] & ~_UNSPACED[raw[at]]
     q = np.concatenate([[False], alone, [False]])
     blank = (raw[at] != 10) & (raw[at] != 13) & ~letter & (c < _DIGIT0)
     inner = blank & q[:-2] & q[2:]
     w = np.concatenate([[False, False], inner, [False, False]])
     c, at = c[~(inner & (w[:-4] | w[4:]))], at[~(inner & (w[:-4] | w[4:]))]
+    other = np.where(c == _OTHER, _LETTER_OF[raw[at]], 0).astype(np.uint32)
     same = np.zeros(len(c), bool)
-    same[1:] = (c[1:] == c[:-1]) & (_is_letter(c[1:]) | (c[1:] == _STAR))
-    return c[~same], at[~same]
+    same[1:] = (c[1:] == c[:-1]) & (other[1:] == other[:-1]) & (_is_letter(c[1:]) | (c[1:] == _STAR))
+    return c[~same], at[~same], other[~same]
 
 
 def passages(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, passage of each feature, place in the text where each passage's first word begins)."""
-    c, origin = normalised(text)
+    c, origin, other = normalised(text)
     part = _is_letter(c) | (c == _STAR)
-    before = np.concatenate([[False], part[:-1]]) if len(part) else part
-    opens = part & ~before
+    single = _UNSPACED[other] & (c == _OTHER)
+    before = np.concatenate([[False], (part & ~single)[:-1]]) if len(part) else part
+    opens = part & (~before | single)
     start = np.flatnonzero(opens)
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     chars = np.flatnonzero(part)
     word_of = np.cumsum(opens)[chars] - 1
-    codes = _WORD_CODES[c[chars], np.minimum(chars - start[word_of], _POSITIONS - 1)]
+    place = np.minimum(chars - start[word_of], _POSITIONS - 1)
+    codes = _WORD_CODES[c[chars], place]
+    beyond = np.flatnonzero(c[chars] == _OTHER)
+    codes[beyond] = mix64(codes[beyond] ^ other[chars[beyond]].astype(np.uint64)) >> np.uint64(1)
     word = np.add.reduceat(codes, np.searchsorted(chars, start))
     masked = np.zeros(len(start), bool)
     masked[word_of[c[chars] == _STAR]] = True
@@ -236,6 +254,17 @@ def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float,
     return out, bias
 
 
+def estimated_prior(positive: Bags, chosen: np.ndarray, unlabelled: Bags, weight: np.ndarray, bias: float, low: float = 1e-4, high: float = 0.2) -> float:
+    """The share of harmful passages in unlabelled text: those above a margin, over the share of the positive passages above it, least over the upper margins (where almost nothing else is left)."""
+    p, u = np.sort(positive.margins(weight, bias)[chosen]), np.sort(unlabelled.margins(weight, bias))
+    if len(p) < 8 or not len(u):
+        return 0.01
+    cuts = np.quantile(p, np.linspace(0.1, 0.7, 13))
+    above_p = 1 - np.searchsorted(p, cuts) / len(p)
+    above_u = (len(u) - np.searchsorted(u, cuts) + 0.5) / len(u)
+    return float(np.clip((above_u / np.maximum(above_p, 1e-9)).min(), low, high))
+
+
 class Model:
     """weight, bias and the margin from which a passage counts."""
 
@@ -275,7 +304,7 @@ def _odds(P: Bags, in_fold: np.ndarray, in_u: np.ndarray, u_docs: int) -> np.nda
     return odds
 
 
-def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: float = 0.01, folds: int = 3, floor: float = 0.95, rounds: int = 1, fine_weight: float = 1.0) -> Model:
+def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: float | None = None, folds: int = 3, floor: float = 0.95, rounds: int = 1, fine_weight: float = 1.0) -> Model:
     """Fit on confirmed harmful documents and unlabelled ones; fine (reviewed as ok) sets the threshold and is part of the unlabelled text.
 
     The positive passages of a document are always chosen by what the *other* folds of documents taught, so a wrongly labelled document or the names
@@ -307,6 +336,10 @@ def train(harmful: list[str], fine: list[str], unlabelled: list[str], prior: flo
         odds[(P.document_counts() < 1) | (odds < 1)] = 0
         score = P.margins(odds, 0.0)
         chosen = (score > 0) & (score >= P.best(score)[P.doc])
+    if prior is None:
+        # Passages chosen by the odds of their features give the first estimate; the risk is then corrected with it.
+        odds = np.log((P.document_counts() + 0.1) / P.docs * U.docs / (in_u + 1.0)) * (P.document_counts() >= 2)
+        prior = estimated_prior(P, chosen, U, odds, 0.0)
     weight, bias, held = np.zeros(DIMS), 0.0, np.full(P.n, -np.inf)
     for _ in range(rounds):
         again, fitted, held = np.zeros(P.n, bool), [], np.full(P.n, -np.inf)
@@ -333,7 +366,7 @@ def confirmed_documents(labels: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.sum("vote").alias("sum")).where("sum <> 0").select("doc_id", (F.col("sum") > 0).alias("harmful"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_unlabelled: int = 4000, prior: float = 0.01) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_unlabelled: int = 5000, prior: float | None = None) -> Model:
     """Train on the documents with the smallest id hashes of each kind: at most max_labelled of each outcome and max_unlabelled others."""
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     order = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "doc_id"), 1)

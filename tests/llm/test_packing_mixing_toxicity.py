@@ -183,3 +183,25 @@ def test_no_labels_and_no_documents(spark):
     docs = documents(spark, [(1, "hello there", "s")])
     assert [(r.score < 0.5, r.harmful) for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()] == [(True, False)]
     assert toxicity.harmful_documents(documents(spark, []), labels).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("clean", "bad"),
+    [
+        (["Печь была тёплой, и глина медленно сохла.", "Волонтёры поливают сад каждое утро.", "Мы измерили забор во вторник."], ["Ты никчёмный дурак, и никто тебя не любит.", "Я найду тебя и сломаю тебе ноги."]),
+        (["كان الفرن دافئا وجف الطين ببطء.", "يسقي المتطوعون الحديقة كل صباح.", "قسنا السياج يوم الثلاثاء."], ["أنت أحمق عديم القيمة ولا أحد يحبك.", "سأجدك وأكسر ساقيك."]),
+        (["窑很暖和，黏土慢慢地干了。", "志愿者每天早上给花园浇水。", "我们星期二测量了篱笆。", "今天天气很好真的。"], ["我讨厌你们所有人。", "你是没用的笨蛋，没有人喜欢你。"]),
+        (["भट्ठी गर्म थी और मिट्टी धीरे सूखी।", "स्वयंसेवक हर सुबह बगीचे को पानी देते हैं।", "हमने मंगलवार को बाड़ नापी।"], ["तुम निकम्मे मूर्ख हो और कोई तुम्हें पसंद नहीं करता।", "मैं तुम्हें ढूंढकर तुम्हारे पैर तोड़ दूंगा।"]),
+    ],
+)
+def test_other_scripts(clean, bad):
+    r = random.Random(4)
+    mixed = lambda harmful: " ".join([*r.sample(clean, 2), *([r.choice(bad)] if harmful else []), *r.sample(clean, 1)])
+    model = toxicity.train([mixed(True) for _ in range(60)], [mixed(False) for _ in range(60)], [mixed(r.random() < 0.05) for _ in range(300)])
+    margins, _ = toxicity.document_scores([mixed(True) for _ in range(40)] + [mixed(False) for _ in range(40)], model.weight, model.bias)
+    assert (margins[:40] >= model.threshold).mean() >= 0.95 and (margins[40:] >= model.threshold).mean() <= 0.05
+
+
+def test_letters_of_other_scripts_differ():
+    assert toxicity.passages("我讨厌你们所有人")[0].tolist() != toxicity.passages("今天天气很好真的")[0].tolist()
+    assert toxicity.passages("العربية")[0].tolist() != toxicity.passages("مرحبا")[0].tolist()
