@@ -218,10 +218,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float, usable: np.ndarray, steps: int = 80, rate: float = 0.25, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float, usable: np.ndarray, steps: int = 80, rate: float = 0.25, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights of the logistic model that minimises the non-negative PU risk by full-batch Adam; chosen marks the rows taken as positive.
 
-    Only the usable features get a weight, and the bias stays at the class prior: a passage of words the model doesn't know keeps the prior."""
+    The decay is relative to the prior, which scales the gradient of the positive passages. Only the usable features get a weight, and the bias stays at the class prior: a passage of words the model doesn't know keeps the prior."""
     place = np.full(DIMS, -1)
     places = np.flatnonzero(usable)
     place[places] = np.arange(len(places))
@@ -245,7 +245,7 @@ def fit_nnpu(positive: Bags, chosen: np.ndarray, unlabelled: Bags, prior: float,
             rows_p, rows_u = over_p + prior * (p - 1) / len(take), over_u
         else:
             rows_p, rows_u = -over_p, -over_u
-        grad = np.bincount(f_p, (rows_p * s_p)[r_p], k) + np.bincount(f_u, (rows_u * s_u)[r_u], k) + decay * weight
+        grad = np.bincount(f_p, (rows_p * s_p)[r_p], k) + np.bincount(f_u, (rows_u * s_u)[r_u], k) + decay * prior * weight
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         weight -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
