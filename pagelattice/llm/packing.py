@@ -5,8 +5,8 @@ another: of all pieces that still fit in every dimension the one with the larges
 room goes in, the weights being the mean demand over the mean offer. Pieces are kept in lists by tokens, sorted by loss, so a choice looks at a few lists only.
 Only a document longer than the capacity is split: into full pieces and one rest.
 
-Documents are sharded by a hash into shards of about ``shard_rows``, whatever the cluster, and a shard packs by itself; containers that stay
-below ``reopen_below`` of the capacity are opened again and their pieces are packed once more together with those of other shards. No shuffle ever carries text.
+Pieces are sharded by a hash into shards of about ``shard_rows`` pieces, whatever the cluster and however long the documents, and a shard packs by itself; containers that stay
+below ``reopen_below`` of the capacity are opened again and their pieces are packed once more, in shards of the same size. No shuffle ever carries text.
 
 Defined cases: null and empty texts (no tokens) need no place; null ids take no part; a repeated id is packed once per row; ties go to the smaller id; an empty
 table gives an empty result; further columns are ignored. Plans with a null or non-positive capacity are refused.
@@ -18,7 +18,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -113,25 +113,29 @@ def packed_pieces(documents: DataFrame, plans: DataFrame, tokenizer: str = DEFAU
     chosen = [(r.plan_id, r.capacity_tokens) for r in plans.select("plan_id", "capacity_tokens").distinct().orderBy("plan_id").limit(max_plans + 1).collect()]
     if len(chosen) > max_plans or any(p is None or c is None or c <= 0 for p, c in chosen):
         raise ValueError(f"plans must be at most {max_plans}, each with an id and a positive capacity")
-    items = measured(documents, "doc_id", "text", tokenizer=tokenizer)
-    shards = max(1, round(documents.count() / shard_rows))
     empty = documents.sparkSession.createDataFrame([], "plan_id int, container_id long, doc_id long, piece int, start_token long, tokens long, loss_tokens long")
     if not chosen:
         return empty
+    items = checkpoint(measured(documents, "doc_id", "text", tokenizer=tokenizer))  # sizes only, read twice
     pieces = split_pieces(items, chosen, loss_share)
-    # A piece that fills a container by itself needs no search; it lies in the last numbers of its shard.
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+
+    def sharded(rows: DataFrame, key: Column) -> DataFrame:
+        """rows with a shard per plan, of about ``shard_rows`` pieces each however many a document has."""
+        counts = {r.plan_id: r.n for r in rows.groupBy("plan_id").agg(F.count("*").alias("n")).collect()}
+        shards = F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, max(1, round(n / shard_rows)))]) if counts else F.create_map(F.lit(0), F.lit(1))
+        return rows.withColumn("shard", F.pmod(key, shards[F.col("plan_id")]).cast("int"))
+
     run = _packer(segment_tokens, loss_share)
     schema = PACKED + ", shard int"
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
         return run(part).assign(shard=part["shard"].iloc[0])
 
-    once = checkpoint(pieces.groupBy("plan_id", "shard").applyInPandas(first, schema))
+    once = checkpoint(sharded(pieces, F.xxhash64("id", "piece")).groupBy("plan_id", "shard").applyInPandas(first, schema))
     closed = F.col("filled") >= F.col("capacity") * F.lit(reopen_below)
     done = once.where(closed).select("*", F.lit(0).alias("level"))
-    wide = max(1, round(shards / 64))
-    rest = once.where(~closed).withColumn("shard", (F.col("shard") % F.lit(wide)).cast("int")).groupBy("plan_id", "shard").applyInPandas(first, schema).select("*", F.lit(1).alias("level"))
+    # Shards that were packed apart are mixed: a container's pieces may go to any of the new shards.
+    rest = sharded(once.where(~closed).drop("shard", "bin", "filled"), F.xxhash64(F.lit(1), "id", "piece")).groupBy("plan_id", "shard").applyInPandas(first, schema).select("*", F.lit(1).alias("level"))
     # Numbers are unique in a plan: level, shard and number in the shard.
     number = F.shiftleft(F.col("level").cast("long"), 60) + F.shiftleft(F.col("shard").cast("long"), 32) + F.col("bin")
     return done.unionByName(rest).select("plan_id", number.alias("container_id"), F.col("id").alias("doc_id"), "piece", "start_token", "tokens", "loss_tokens")
