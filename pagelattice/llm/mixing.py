@@ -1,13 +1,13 @@
 """Problem 8: combining sources to target weights with a low-discrepancy schedule.
 
-The total is the largest at which no source has to be repeated more than its cap. It is cut into equal-token slots, and slot i goes to the source whose interval of
+The total is given, or the largest at which no source has to be repeated more than its cap. A source that a given total asks for more than its tokens times its cap gives all it may and falls short; the report says by how much. The total is cut into equal-token slots, and slot i goes to the source whose interval of
 cumulative weights holds the golden-ratio point frac(i * phi), so every stretch of the schedule has nearly the target shares. The slots of a source are ranked,
 and its r-th slot takes the r-th block of equal size of its stream: its documents shuffled by a seeded hash, once per epoch, end to end. A document is never cut: it belongs to the
 block in which it begins. The last, partial epoch is a prefix of the shuffled documents that fit the rest of the source's goal; what then is still missing is closed by
 ``closers`` documents at most, each the longest unused one that fits.
 
 Places in a stream come from two levels of sums (per hash bucket of about ``bucket_rows`` documents, then inside a bucket), so no source is ever sorted in one
-task; the schedule has at most ``slots`` rows, whatever the data. Only a few rows per target reach the driver.
+task; a slot holds at most ``most_slot_tokens`` tokens, so the schedule stays as fine when the corpus grows, and is ranked in ranges of slots. Only a few rows per target reach the driver.
 
 Defined cases: sources are compared trimmed and in lower case; documents without id, source, text or tokens can't be chosen; targets that are null, not positive or
 without documents reach 0 and the others share the whole by their weights; a null or negative max_repeats counts as 1; targets given
@@ -42,7 +42,7 @@ def targeted_documents(documents: DataFrame, targets: DataFrame, tokenizer: str
     return checkpoint(measured(wanted, "doc_id", "text", keep=("source",), tokenizer=tokenizer).where("tokens > 0").select("id", "source", "tokens"))
 
 
-def plan_sources(sized: DataFrame, targets: DataFrame, slots: int, max_targets: int = 10_000) -> tuple[list[dict], int]:
+def plan_sources(sized: DataFrame, targets: DataFrame, slots: int, max_targets: int = 10_000, total: int | None = None, most_slot_tokens: int = 1 << 20) -> tuple[list[dict], int]:
     """(per source: source, share, tokens, documents, goal; tokens per slot). The goals are what each source has to give."""
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = [r.asDict() for r in clean_targets(targets).join(have, "source").orderBy("source").limit(max_targets + 1).collect()]
@@ -53,23 +53,28 @@ def plan_sources(sized: DataFrame, targets: DataFrame, slots: int, max_targets:
         return [], 1
     for r in rows:
         r["share"] = r["target_share"] / whole
-    total = min(r["tokens"] * r["max_repeats"] / r["share"] for r in rows)
+    whole = total if total is not None else min(r["tokens"] * r["max_repeats"] / r["share"] for r in rows)
     for r in rows:
-        r["goal"] = min(int(round(total * r["share"])), r["tokens"] * r["max_repeats"])
-    return rows, max(1, -(-int(total) // slots))
+        r["asked"] = int(round(whole * r["share"]))
+        r["goal"] = min(r["asked"], r["tokens"] * r["max_repeats"])
+    return rows, min(max(1, -(-int(whole) // slots)), most_slot_tokens)
 
 
 def schedule(spark, rows: list[dict], slot_tokens: int) -> DataFrame:
-    """(slot, source, rank): the source of every slot and the slot's rank among those of its source."""
-    count = max(1, -(-sum(r["goal"] for r in rows) // slot_tokens))
+    """(slot, source, rank): the source of every slot and the slot's rank among those of its source; the weights are what the sources can give."""
+    given = sum(r["goal"] for r in rows)
+    count = max(1, -(-given // slot_tokens))
     point = (F.col("id") + 1) * F.lit(PHI)
     frac, chosen, upto = point - F.floor(point), None, 0.0
     for r in rows[:-1]:
-        upto += r["share"]
+        upto += r["goal"] / max(1, given)
         chosen = F.when(frac < upto, r["source"]) if chosen is None else chosen.when(frac < upto, r["source"])
     source = F.lit(rows[0]["source"]) if chosen is None else chosen.otherwise(rows[-1]["source"])
-    slots = spark.range(count).select(F.col("id").alias("slot"), source.alias("source"))
-    return slots.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
+    slots = spark.range(count).select(F.col("id").alias("slot"), source.alias("source"), F.shiftright("id", 16).alias("range"))
+    counts = slots.groupBy("source", "range").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("source").orderBy("range")) - F.col("c")).select("source", "range", "before")
+    inside = F.row_number().over(Window.partitionBy("source", "range").orderBy("slot")) - 1
+    return slots.withColumn("inside", inside).join(before, ["source", "range"]).select("slot", "source", (F.col("before") + F.col("inside")).alias("rank"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -82,11 +87,12 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.col("before") + F.col("within"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, slots: int = 65_536, bucket_rows: int = 20_000, seed: int = 11, closers: int = 5) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, slots: int = 65_536, bucket_rows: int = 20_000, seed: int = 11, closers: int = 5, total: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """(slot, source, doc_id, epoch, tokens): the chosen documents, a row for every repeat, in the order of the schedule's slots."""
     spark = documents.sparkSession
-    sized = targeted_documents(documents, targets, tokenizer)
-    rows, slot_tokens = plan_sources(sized, targets, slots)
+    sized = targeted_documents(documents, targets, tokenizer) if sized is None else sized
+    rows, slot_tokens = plan_sources(sized, targets, slots, total=total)
+    rows = [r for r in rows if r["goal"] > 0]
     if not rows:
         return spark.createDataFrame([], "slot long, source string, doc_id long, epoch int, tokens long")
     for r in rows:
@@ -122,12 +128,20 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_T
     return ranked.join(order, ["source", "rank"]).select("slot", "source", F.col("id").alias("doc_id"), "epoch", "tokens")
 
 
-def reached_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(source, target_share, reached_share, tokens, documents, most_repeats, max_repeats) for every target."""
-    chosen = mixture(documents, targets, tokenizer)
+def reached_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, total: int | None = None) -> DataFrame:
+    """(source, target_share, reached_share, asked_tokens, tokens, missing_tokens, documents, most_repeats, max_repeats) for every target; asked is its part of the total."""
+    sized = targeted_documents(documents, targets, tokenizer)
+    rows, _ = plan_sources(sized, targets, 1, total=total)
+    asked = documents.sparkSession.createDataFrame([(r["source"], r["asked"]) for r in rows], "source string, asked long")  # a row per target
+    chosen = mixture(documents, targets, tokenizer, total=total, sized=sized)
     by_doc = chosen.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("repeats"))
     reached = by_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    out = clean_targets(targets).join(reached, "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    out = clean_targets(targets).join(reached, "source", "left").join(F.broadcast(asked), "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # targets only
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0))
-    return out.select("source", "target_share", share.alias("reached_share"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats")
+    return out.select("source", "target_share", share.alias("reached_share"), zero("asked").alias("asked_tokens"), zero("tokens").alias("tokens"), (zero("asked") - zero("tokens")).alias("missing_tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats")
+
+
+def available_tokens(sized: DataFrame) -> int:
+    """All tokens of the targeted sources, each document once."""
+    return sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]

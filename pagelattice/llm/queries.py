@@ -99,6 +99,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_total(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as the targeted sources are: caps bind, and sources fall short."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    sized = mixing.targeted_documents(documents, targets)
+    return mixing.mixture(documents, targets, sized=sized, total=mixing.available_tokens(sized))
+
+
+def p8_total_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.reached_shares(documents, targets, total=mixing.available_tokens(mixing.targeted_documents(documents, targets)))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.harmful_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
