@@ -23,13 +23,26 @@ def domain_stars(tabs: DataFrame, least: int = 2) -> DataFrame:
     return tabs.where("id is not null").select("domain", F.col("id").alias("b")).join(first.select("domain", "a"), "domain").where("a < b").select("a", "b")
 
 
+def score_stars(tabs: DataFrame) -> DataFrame:
+    """(a, b): links that connect what the pairs of one domain that score just the bonus connect. Such pairs have no cosine: one of them has no embedding, or theirs differ in length.
+
+    Tabs without an embedding pair with all others, tabs of one length with all of another: per domain a star around the first tab without an embedding, or else
+    one around the first tab of each of the two smallest lengths."""
+    rows = similarity.keyword_sets(tabs).where("domain <> ''").select("id", "domain", "dims")
+    kinds = rows.groupBy("domain", "dims").agg(F.min("id").alias("first")).groupBy("domain").agg(F.slice(F.sort_array(F.collect_list(F.struct("dims", "first"))), 1, 2).alias("k"))  # a few lengths
+    one, two = F.col("k")[0], F.try_element_at("k", F.lit(2))
+    centre = F.when(one["dims"] == 0, one["first"]).when(F.col("dims") != one["dims"], one["first"]).otherwise(two["first"])
+    met = rows.join(kinds, "domain").select(F.col("id"), centre.alias("c")).where("c is not null and c <> id")
+    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+
+
 def group_links(tabs: DataFrame, options: Options = BATCH) -> DataFrame:
     """(a, b): the links that make groups, by domain and by mutual nearest neighbours (or by threshold)."""
     unlimited = not options.mutual_knn or (options.knn_k <= 0 and options.dialect == "batch")
     if unlimited:
         links = similarity.scored_pairs(tabs, options.group_threshold, options.domain_bonus).select("a", "b")
         if options.domain_bonus >= options.group_threshold:
-            links = links.unionByName(domain_stars(tabs))  # all pairs of a domain, as a star
+            links = links.unionByName(score_stars(tabs))
     elif options.knn_k <= 0:
         links = tabs.sparkSession.createDataFrame([], "a long, b long")
     else:
@@ -56,7 +69,7 @@ def group_members(assigned: DataFrame, numbers: DataFrame, primary: DataFrame) -
 
 def group_rows(members: DataFrame) -> DataFrame:
     """(group_id, tab_ids, size): members in ascending order. An array per group is what the graph document holds; joins should use members."""
-    return members.where("group_id >= 0").groupBy("group_id").agg(F.array_sort(F.collect_list("id")).alias("tab_ids"), F.count("*").cast("int").alias("size"))
+    return members.where("group_id >= 0").groupBy("group_id").agg(F.sort_array(F.collect_list("id")).alias("tab_ids"), F.count("*").cast("int").alias("size"))
 
 
 def idf(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -72,7 +85,7 @@ def top_terms(tokens: DataFrame, weights: DataFrame, n: int = 3) -> DataFrame:
     scored = tf.join(weights.select("term", "idf"), "term", "left").withColumn("score", F.col("tf") * F.coalesce("idf", F.lit(0.0)))
     order = Window.partitionBy("group_id").orderBy(F.desc("score"), "first")
     best = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    return best.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("t")).select("group_id", F.col("t.term").alias("terms"))
+    return best.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("r", "term"))).alias("t")).select("group_id", F.col("t.term").alias("terms"))
 
 
 def domain_shares(members: DataFrame) -> DataFrame:

@@ -1,21 +1,42 @@
-"""Similarity of tabs: keyword scores, edges, nearest neighbours; cosines of vectors apart from them.
+"""Similarity of tabs: scores by embedding and keywords, edges, nearest neighbours.
 
-A score is the Jaccard similarity of the keywords, plus a bonus within one domain. The cosine of the embeddings, which the reference takes first where there is one, isn't built
-into scores, so only tabs that share a keyword or a domain score at all, so candidates come from equi-joins, never from all pairs.
+A score is the cosine of the two embeddings; where that is exactly 0 (one is missing, empty or all zero, or their lengths differ) it is the Jaccard similarity of the keywords. Tabs of one
+domain get a bonus. Embeddings with entries that aren't finite count as missing.
+
+Cosines come from matrices: unit vectors lie in blocks of ``BLOCK`` rows, each pair of blocks is one task that multiplies two matrices and keeps what reaches the threshold (or the k best of each row),
+so no pair below it is ever a row. Keyword scores come from a prefix-filtered equi-join, which leaves out the pairs that have a cosine. Only results that ask for every pair within a domain are quadratic in it.
+``cosine_candidates`` is the other way for collections where all blocks against all is too much: vectors meet in the cells of the pivots nearest to them, at a recall that ``candidate_recall`` measures.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
 
+BLOCK = 4096
+
 
 def keyword_sets(tabs: DataFrame) -> DataFrame:
-    """(id, domain, kw, n): distinct non-null keywords."""
+    """(id, domain, kw, n, dims): distinct non-null keywords, and the length of a usable embedding (0 without one)."""
     kw = F.array_distinct(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()))
-    return tabs.where("id is not null").select("id", F.coalesce("domain", F.lit("")).alias("domain"), kw.alias("kw")).withColumn("n", F.size("kw"))
+    rows = tabs.where("id is not null").select("id", F.coalesce("domain", F.lit("")).alias("domain"), kw.alias("kw"), usable_dims(tabs).alias("dims"))
+    return rows.withColumn("n", F.size("kw"))
+
+
+def usable_dims(tabs: DataFrame):
+    """Length of the embedding where all its entries are finite and some isn't 0, else 0."""
+    if "embedding" not in tabs.columns:
+        return F.lit(0)
+    e = F.col("embedding").cast("array<double>")
+    bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when((F.size(e) > 0) & ~bad & F.exists(e, lambda x: x != 0), F.size(e)).otherwise(0)
 
 
 def jaccard_pairs(tabs: DataFrame, threshold: float, same_domain: bool | None = None) -> DataFrame:
@@ -24,17 +45,23 @@ def jaccard_pairs(tabs: DataFrame, threshold: float, same_domain: bool | None =
     Prefix filter: with keywords ordered from rare to common, such pairs share one of the first n - ceil(t * n) + 1 of both, so common keywords are rarely joined on. A threshold
     of zero asks for every pair that shares a keyword.
     """
-    sets = keyword_sets(tabs).where("n > 0")
-    items = sets.select("id", "domain", "n", F.explode("kw").alias("k"))
+    return _jaccard(keyword_sets(tabs), threshold, same_domain, False)
+
+
+def _jaccard(sets: DataFrame, threshold: float, same_domain: bool | None, without_cosine: bool) -> DataFrame:
+    sets = sets.where("n > 0")
+    items = sets.select("id", "domain", "n", "dims", F.explode("kw").alias("k"))
     df = items.groupBy("k").agg(F.count("*").alias("df"))
-    ordered = items.join(df, "k").groupBy("id", "domain", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("e"))
+    ordered = items.join(df, "k").groupBy("id", "domain", "n", "dims").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("e"))
     length = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1) if threshold > 0 else F.col("n")
-    prefix = ordered.select("id", "domain", "n", F.explode(F.slice("e", F.lit(1), F.least(length, F.col("n")))).alias("e")).select("id", "domain", "n", F.col("e.k").alias("k"))
+    prefix = ordered.select("id", "domain", "n", "dims", F.explode(F.slice("e", F.lit(1), F.least(length, F.col("n")))).alias("e")).select("id", "domain", "n", "dims", F.col("e.k").alias("k"))
     x, y = prefix.alias("x"), prefix.alias("y")
     on = (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
     if same_domain is not None:
         equal = (F.col("x.domain") == F.col("y.domain")) & (F.col("x.domain") != "")
         on = on & (equal if same_domain else ~equal)
+    if without_cosine:
+        on = on & ((F.col("x.dims") == 0) | (F.col("x.dims") != F.col("y.dims")))
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("kw").alias("ka")), sets.select(F.col("id").alias("b"), F.col("kw").alias("kb"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ka", "kb")))
@@ -42,11 +69,176 @@ def jaccard_pairs(tabs: DataFrame, threshold: float, same_domain: bool | None =
     return scored.where(F.col("jaccard") >= threshold).select("a", "b", "shared", "jaccard")
 
 
+# ---- cosines
+
+
+def unit_vectors(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", *keep: str) -> DataFrame:
+    """(id, v, *keep): usable embeddings; of a repeated id one counts."""
+    some = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), *keep).where("id is not null")
+    return some.where(usable_dims(some) > 0).select("id", F.col("embedding").alias("v"), *keep).dropDuplicates(["id"])
+
+
+def _matrix(part: pd.DataFrame) -> np.ndarray:
+    m = np.stack(part["v"].to_numpy())
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _block_pairs(vectors: DataFrame, block_rows: int, better: Callable, schema: str, both_ways: bool) -> DataFrame:
+    """What ``better(ids_p, m, ids_q, n, part_p, part_q)`` keeps of every pair of blocks of equally long vectors; half of the pairs of blocks where either way round will do."""
+    blocks = max(1, -(-vectors.count() // block_rows))
+    unit = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    own, other = F.col("block"), F.col("p")
+    spread = unit.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kept = [c for c in unit.columns if c != "block"]
+    left = spread.where(other >= own) if not both_ways else spread
+    right = spread.where(other <= own) if not both_ways else spread
+    again = [F.col(c).alias(c) for c in kept]  # new columns, so that the sides aren't taken for one
+    left, right = left.select(*kept, own.alias("x"), other.alias("y")), right.select(*again, other.alias("x"), own.alias("y"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            sizes_a, sizes_b = a["v"].map(len), b["v"].map(len)
+            for size in sorted(set(sizes_a) & set(sizes_b)):
+                p, q = a[sizes_a == size].reset_index(drop=True), b[sizes_b == size].reset_index(drop=True)
+                m, n = _matrix(p), _matrix(q)
+                for at in range(0, len(m), 1024):
+                    out.append(better(p.iloc[at : at + 1024], m[at : at + 1024], q, n, bool(a["x"].iloc[0] == a["y"].iloc[0])))
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="object") for c in schema.split(", ")})
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, schema)
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b, score, same_domain), a < b, of vectors (id, v, domain) whose cosine and bonus reach the threshold. A cosine of exactly 0 is no score here."""
+
+    def better(p, m, q, n, same_block):
+        s = m @ n.T
+        within = (p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None]
+        score = s + bonus * within
+        ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
+        ok = (score >= threshold) & (s != 0)
+        ok &= (ids_p[:, None] < ids_q[None, :]) if same_block else (ids_p[:, None] != ids_q[None, :])
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"a": np.minimum(ids_p[i], ids_q[j]), "b": np.maximum(ids_p[i], ids_q[j]), "score": score[i, j], "same_domain": within[i, j]})
+
+    return _block_pairs(vectors, block_rows, better, "a long, b long, score double, same_domain boolean", False)
+
+
+def _best_of(k: int, bonus: float, threshold: float):
+    def better(p, m, q, n, same_block):
+        s = np.round(m @ n.T, 12)
+        ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
+        zero = s == 0
+        if "domain" in p.columns:
+            s = s + bonus * ((p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None])
+        s[(ids_p[:, None] == ids_q[None, :]) | (zero & (threshold > -1)) | (s < threshold)] = -np.inf
+        take = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
+        # Ties at the cut: all that reach the k-th best are looked at, the smaller id first.
+        kth = -np.sort(-np.take_along_axis(s, take, axis=1), axis=1)[:, min(k, take.shape[1]) - 1]
+        i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+        order = np.lexsort((ids_q[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[rank < k], j[rank < k]
+        return pd.DataFrame({"a": ids_p[i], "b": ids_q[j], "score": s[i, j]})
+
+    return better
+
+
+def cosine_best(vectors: DataFrame, k: int, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b, score): at least the k best of every vector (id, v, domain) at or above the threshold, by cosine and bonus; at most k of every block."""
+    return _block_pairs(vectors, block_rows, _best_of(k, bonus, threshold), "a long, b long, score double", True)
+
+
+def cosine_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b, cosine, rank): exact k best cosines of every vector."""
+    met = _block_pairs(unit_vectors(vectors, id_col, vector_col), block_rows, _best_of(k, 0.0, -2.0), "a long, b long, score double", True)
+    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("score", "cosine")
+
+
+def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4, seed: int = 3) -> np.ndarray:
+    """Centres of about equally spread cells, by a few rounds of spherical k-means over a sample of at most ``sample`` vectors (those with the smallest hashes)."""
+    longest = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if longest is None:
+        return np.empty((0, 0))
+    rows = vectors.where(F.size("v") == longest.d).orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("v").toArrow()
+    m = _matrix(pd.DataFrame({"v": [np.array(x) for x in rows.column("v").to_pylist()]}))
+    centres = m[np.random.default_rng(seed).permutation(len(m))[:count]]
+    for _ in range(rounds):
+        near = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        filled = np.bincount(near, minlength=len(centres)) > 0
+        centres[filled] = sums[filled]
+        centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
+    return centres
+
+
+def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 8, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b, cosine, rank): the k best cosines among the vectors of the ``probes`` cells nearest to each. Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample,
+    all vectors are indexed, and a large cell is cut into blocks, so no task holds more than ``block_rows`` vectors and as many questions."""
+    centres = pivots(vectors, cells)
+    sizes_held = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions: bounded by its parameter
+
+    def place(batches):
+        c = sizes_held.value
+        for batch in batches:
+            ids, lists = batch.column("id").to_numpy(), batch.column("v").to_pylist()
+            good = [i for i, v in enumerate(lists) if len(v) == c.shape[1]]
+            if not good:
+                continue
+            s = _matrix(pd.DataFrame({"v": [np.array(lists[i]) for i in good]})) @ c.T
+            near = np.argsort(-s, axis=1)[:, : max(1, probes)]
+            who = np.repeat(ids[good], near.shape[1])
+            first = np.tile(np.arange(near.shape[1]) == 0, len(good))
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(near.ravel().astype(np.int32)), pa.array(first)], names=["id", "cell", "home"])
+
+    placed = vectors.select("id", "v").mapInArrow(place, "id long, cell int, home boolean")
+    homes = placed.where("home").groupBy("cell").agg(F.count("*").alias("n"))
+    asks = placed.groupBy("cell").agg(F.count("*").alias("m"))
+    cut = homes.join(asks, "cell").select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("bn"), F.ceil(F.col("m") / block_rows).cast("int").alias("bm"))
+    rows = placed.join(F.broadcast(cut), "cell").join(vectors.select("id", "v"), "id")  # a row per cell
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    ask = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select("id", "v", "cell", block("bm").alias("x"), "y")
+    mine = rows.where("home").select(*[F.col(c).alias(c) for c in rows.columns])
+    held = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).select("id", "v", "cell", "x", block("bn").alias("y"))
+    better = _best_of(k, 0.0, -2.0)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        m, n = _matrix(a), _matrix(b)
+        return pd.concat([better(a.iloc[i : i + 1024][["id", "v"]], m[i : i + 1024], b[["id", "v"]], n, False) for i in range(0, len(m), 1024)])
+
+    met = ask.groupBy("cell", "x", "y").cogroup(held.groupBy("cell", "x", "y")).applyInPandas(run, "a long, b long, score double")
+    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("score", "cosine")
+
+
+def candidate_recall(vectors: DataFrame, k: int, queries_every: int = 20, **options) -> DataFrame:
+    """(queries, exact, found, recall) of ``cosine_candidates`` for the vectors whose id is divisible by ``queries_every``, against all vectors."""
+    asked = F.col("a") % queries_every == 0
+    exact = cosine_neighbors(vectors.withColumnRenamed("v", "embedding"), "id", "embedding", k).where(asked).select("a", "b")
+    some = cosine_candidates(vectors, k, **options).where(asked).select("a", "b", F.lit(1).alias("hit"))
+    return exact.join(some, ["a", "b"], "left").agg(F.count_distinct("a").alias("queries"), F.count("*").alias("exact"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+# ---- scores
+
+
 def scored_pairs(tabs: DataFrame, threshold: float, bonus: float) -> DataFrame:
-    """(a, b, score, same_domain) of all pairs that share a keyword and score at least the threshold."""
-    across = jaccard_pairs(tabs, max(threshold, 0.0), False).select("a", "b", F.col("jaccard").alias("score"), F.lit(False).alias("same_domain"))
-    within = jaccard_pairs(tabs, max(threshold - bonus, 0.0), True).select("a", "b", (F.col("jaccard") + bonus).alias("score"), F.lit(True).alias("same_domain"))
-    return across.unionByName(within.where(F.col("score") >= threshold))
+    """(a, b, score, same_domain) of all pairs that have a cosine or share a keyword and score at least the threshold."""
+    sets = checkpoint(keyword_sets(tabs))  # read several times
+    across = _jaccard(sets, max(threshold, 0.0), False, True).select("a", "b", F.col("jaccard").alias("score"), F.lit(False).alias("same_domain"))
+    within = _jaccard(sets, max(threshold - bonus, 0.0), True, True).select("a", "b", (F.col("jaccard") + bonus).alias("score"), F.lit(True).alias("same_domain"))
+    found = across.unionByName(within.where(F.col("score") >= threshold))
+    if "embedding" not in tabs.columns:
+        return found
+    return found.unionByName(cosine_pairs(unit_vectors(tabs.withColumn("domain", F.coalesce("domain", F.lit(""))), "id", "embedding", "domain"), threshold, bonus))
 
 
 def domain_pairs(tabs: DataFrame) -> DataFrame:
@@ -55,39 +247,52 @@ def domain_pairs(tabs: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("a"), "domain").join(rows.select(F.col("id").alias("b"), "domain"), "domain").where("a < b")
 
 
+def _plain_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b) of two sides (id, domain, kw, n, dims) within a domain whose pairs have neither a cosine nor a common keyword, so that they score just the bonus."""
+    left = x.select(F.col("id").alias("a"), "domain", F.col("kw").alias("ka"), F.col("dims").alias("da"))
+    right = y.select(F.col("id").alias("b"), "domain", F.col("kw").alias("kb"), F.col("dims").alias("db"))
+    apart = (F.col("da") == 0) | (F.col("da") != F.col("db"))
+    return left.join(right, "domain").where(apart & (F.col("a") != F.col("b")) & ~F.arrays_overlap("ka", "kb")).select("a", "b")
+
+
 def similarity_edges(tabs: DataFrame, threshold: float = 0.2, bonus: float = 0.25, every_pair: bool = True, dialect: str = "batch") -> DataFrame:
-    """(source, target, weight, reason). Where the bonus alone reaches the threshold every pair of a domain is an edge; every_pair=False leaves out those that share no
+    """(source, target, weight, reason). Where the bonus alone reaches the threshold every pair of a domain without a cosine is an edge; every_pair=False leaves out those that share no
     keyword: ``domain_cliques`` holds them as one row per domain instead of a quadratic number."""
-    scored = checkpoint(scored_pairs(tabs, threshold, bonus))  # read several times
+    edges = scored_pairs(tabs, threshold, bonus)
     names = tabs.where("id is not null").select("id", F.coalesce("domain", F.lit("")).alias("d"))
-    blank = scored.where("not same_domain").join(names.where("d = ''").select(F.col("id").alias("a")), "a", "left_semi").join(names.where("d = ''").select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", F.lit(True).alias("blank"))
-    edges = scored.join(blank, ["a", "b"], "left").select("a", "b", "score", (F.col("same_domain") | F.coalesce("blank", F.lit(False))).alias("dom"))
+    blank = names.where("d = ''").select("id", F.lit(True).alias("blank"))
+    x, y = blank.select(F.col("id").alias("a"), F.col("blank").alias("blank_a")), blank.select(F.col("id").alias("b"), F.col("blank").alias("blank_b"))
+    edges = edges.join(x, "a", "left").join(y, "b", "left").select("a", "b", "score", (F.col("same_domain") | (F.col("blank_a").isNotNull() & F.col("blank_b").isNotNull())).alias("dom"))
     if every_pair and bonus >= threshold:
-        rest = domain_pairs(tabs.where("domain <> ''")).select("a", "b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
-        edges = edges.unionByName(rest.select("a", "b", F.lit(bonus).alias("score"), F.lit(True).alias("dom")))
+        sets = keyword_sets(tabs).where("domain <> ''")
+        edges = edges.unionByName(_plain_pairs(sets, sets).where("a < b").select("a", "b", F.lit(bonus).alias("score"), F.lit(True).alias("dom")))
     rounded = F.bround("score", 3) if dialect == "batch" else F.round("score", 3)
     return edges.select(F.col("a").alias("source"), F.col("b").alias("target"), rounded.alias("weight"), F.when(F.col("dom"), "similarity+domain").otherwise("similarity").alias("reason"))
 
 
 def domain_cliques(tabs: DataFrame, bonus: float = 0.25) -> DataFrame:
-    """(domain, members, pairs, weight): the pairs of a domain in compact form."""
+    """(domain, members, pairs, weight): the pairs of a domain in compact form; those with a cosine or a common keyword are among the scored pairs with their own weight, or below the threshold."""
     return tabs.where("id is not null and domain <> ''").groupBy("domain").agg(F.count("*").alias("members")).where("members > 1").select("domain", "members", (F.col("members") * (F.col("members") - 1) / 2).cast("long").alias("pairs"), F.lit(bonus).alias("weight"))
 
 
 def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: int = 6) -> DataFrame:
     """(a, b, score, rank): the k best scores of each tab at or above the threshold, ties by the smaller id.
 
-    A pair of one domain without a shared keyword scores just the bonus. Of those only the domain's first 2k + 1 tabs can matter to a tab: either k tabs of its domain
-    share a keyword with it and rank before them, or at least k of the first 2k + 1 share none.
+    A pair of one domain with neither a cosine nor a common keyword scores just the bonus. Such pairs are looked for among the first tabs of the domain by kind of embedding (its length, 0 without one): of each kind
+    a tab has pairs with all tabs or, if it has that kind itself, with none, but for those that share a keyword, so of each kind 2k + 1 tabs are enough unless more than k + 1 of them share one; then those rank before.
     """
-    half = checkpoint(scored_pairs(tabs, threshold, bonus).select("a", "b", "score"))  # read several times
+    sets = checkpoint(keyword_sets(tabs))
+    half = _jaccard(sets, max(threshold, 0.0), False, True).select("a", "b", F.col("jaccard").alias("score"))
+    within = _jaccard(sets, max(threshold - bonus, 0.0), True, True).select("a", "b", (F.col("jaccard") + bonus).alias("score")).where(F.col("score") >= threshold)
+    half = checkpoint(half.unionByName(within))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    if "embedding" in tabs.columns:
+        both = both.unionByName(cosine_best(unit_vectors(tabs.withColumn("domain", F.coalesce("domain", F.lit(""))), "id", "embedding", "domain"), k, threshold, bonus))
     if bonus >= threshold:
-        rows = tabs.where("id is not null and domain <> ''").select("id", "domain")
-        head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("id"))).where(F.col("r") <= 2 * k + 1).select("domain", F.col("id").alias("b"))
-        plain = rows.select(F.col("id").alias("a"), "domain").join(head, "domain").where("a <> b").select("a", "b").join(both.select("a", "b"), ["a", "b"], "left_anti")
-        both = both.unionByName(plain.select("a", "b", F.lit(bonus).alias("score")))
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+        rows = sets.where("domain <> ''")
+        head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain", "dims").orderBy("id"))).where(F.col("r") <= 2 * k + 1)
+        both = both.unionByName(_plain_pairs(rows, head).select("a", "b", F.lit(bonus).alias("score")))
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -95,38 +300,3 @@ def mutual(neighbors: DataFrame) -> DataFrame:
     """(a, b), a < b, where each is among the other's neighbours."""
     back = neighbors.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return neighbors.select("a", "b").join(back, ["a", "b"], "left_semi").where("a < b")
-
-
-def cosine_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = 4096) -> DataFrame:
-    """(a, b, cosine, rank): exact k best cosines of every vector, block against block: each pair of hash blocks is one task that multiplies two
-    matrices and keeps k per row, so no pair is ever a row of a shuffle."""
-    import numpy as np
-    import pandas as pd
-
-    blocks = max(1, -(-vectors.count() // block_rows))
-    unit = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.withColumn("p", F.explode(others)).select("id", "v", F.col("block").alias("x"), F.col("p").alias("y"))
-    right = unit.withColumn("p", F.explode(others)).select("id", "v", F.col("p").alias("x"), F.col("block").alias("y"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sizes_a, sizes_b = a["v"].map(len), b["v"].map(len)
-        for size in sorted(set(sizes_a) & set(sizes_b)):
-            p, q = a[sizes_a == size], b[sizes_b == size]
-            m, n = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
-            with np.errstate(invalid="ignore", divide="ignore"):
-                m, n = m / np.linalg.norm(m, axis=1, keepdims=True), n / np.linalg.norm(n, axis=1, keepdims=True)
-            ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
-            for at in range(0, len(m), 1024):
-                s = np.round(np.nan_to_num(m[at : at + 1024] @ n.T), 12)
-                s[ids_p[at : at + 1024, None] == ids_q[None, :]] = -np.inf
-                take = np.lexsort((np.broadcast_to(ids_q, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(ids_p[at : at + 1024], take.shape[1])
-                out.append(pd.DataFrame({"a": rows, "b": ids_q[take.ravel()], "cosine": np.take_along_axis(s, take, axis=1).ravel()}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
-        return found[np.isfinite(found["cosine"])]
-
-    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, "a long, b long, cosine double")
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

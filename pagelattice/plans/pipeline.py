@@ -61,7 +61,7 @@ def inherit(tabs: DataFrame) -> DataFrame:
     return out.withColumn("keywords", F.coalesce("kw", "keywords")).withColumn("simhash", F.coalesce("sh", "simhash")).drop("kw", "sh")
 
 
-def build(tabs: DataFrame, options: Options = BATCH, navigations: DataFrame | None = None, every_pair: bool = False) -> Graph:
+def build(tabs: DataFrame, options: Options = BATCH, navigations: DataFrame | None = None, every_pair: bool = True) -> Graph:
     """Dedupe, similarity, groups and labels of enriched tabs (id, url, title, domain, canonical_url, keywords, tokens, simhash).
 
     ``every_pair`` also writes the edges that only a common domain makes, which are quadratic in a domain's tabs; without it they are implied by ``similarity.domain_cliques``."""

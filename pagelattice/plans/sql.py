@@ -75,18 +75,26 @@ dw AS (SELECT a, b FROM dl UNION SELECT b, a FROM dl),
 dr(node, root) AS (SELECT id, id FROM tabs UNION SELECT e.b, r.root FROM dr r JOIN dw e ON e.a = r.node WHERE r.root < e.b),
 prim AS (SELECT node AS id, min(root) AS "primary" FROM dr GROUP BY node)"""
 
-_MAINS = "mains AS (SELECT id, COALESCE(domain, '') AS domain, list_distinct(list_filter(COALESCE(keywords, []), lambda k: k IS NOT NULL)) AS kw FROM tabs WHERE duplicate_of IS NULL AND id IS NOT NULL)"
-_SCORED = f"""{_MAINS},
-kws AS (SELECT id, domain, unnest(kw) AS k, len(kw) AS n FROM mains),
-sh AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS s, any_value(a.domain) AS da, any_value(b.domain) AS db FROM kws a JOIN kws b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2, 3, 4),
-sc AS (SELECT a, b, s::DOUBLE / (na + nb - s) + CASE WHEN da = db AND da <> '' THEN 0.25 ELSE 0 END AS score, da = db AND da <> '' AS sd, da = db AS same FROM sh)"""
-_PLAIN = f"""{_SCORED},
-plain AS (SELECT x.id AS a, y.id AS b FROM mains x JOIN mains y ON x.domain = y.domain AND x.id < y.id AND x.domain <> '' ANTI JOIN sc ON sc.a = x.id AND sc.b = y.id),
+_DIMS = "CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN len(embedding) ELSE 0 END"
+_MAIN_COLUMNS = f"id, COALESCE(domain, '') AS domain, list_distinct(list_filter(COALESCE(keywords, []), lambda k: k IS NOT NULL)) AS kw, embedding AS e, COALESCE({_DIMS}, 0) AS dims"
+_MAINS = f"mains AS (SELECT {_MAIN_COLUMNS} FROM tabs WHERE duplicate_of IS NULL AND id IS NOT NULL)"
+# Scores from their definition: the cosine, the keywords where there is none, and the bonus; then the pairs of a domain that have neither.
+_SCORES = """
+cosines AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS s, x.domain AS da, y.domain AS db FROM mains x JOIN mains y ON x.dims = y.dims AND x.id < y.id WHERE x.dims > 0),
+kws AS (SELECT id, domain, dims, unnest(kw) AS k, len(kw) AS n FROM mains),
+sh AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS s, any_value(a.domain) AS da, any_value(b.domain) AS db FROM kws a JOIN kws b ON a.k = b.k AND a.id < b.id
+  WHERE a.dims = 0 OR a.dims <> b.dims GROUP BY 1, 2),
+sc AS (SELECT a, b, s + CASE WHEN da = db AND da <> '' THEN 0.25 ELSE 0 END AS score, da = db AS same FROM (FROM cosines UNION ALL FROM sh))"""
+_SCORED = f"{_MAINS},{_SCORES}"
+_PLAINS = """
+plain AS (SELECT x.id AS a, y.id AS b FROM mains x JOIN mains y ON x.domain = y.domain AND x.id < y.id AND x.domain <> '' WHERE (x.dims = 0 OR x.dims <> y.dims) AND NOT list_has_any(x.kw, y.kw)),
 allp AS (SELECT a, b, score, same FROM sc UNION ALL SELECT a, b, 0.25, TRUE FROM plain)"""
-_KNN = f"""{_PLAIN},
+_PLAIN = f"{_SCORED},{_PLAINS}"
+_NEAREST = """
 dir AS (SELECT a, b, score FROM allp WHERE score >= {{t}} UNION ALL SELECT b, a, score FROM allp WHERE score >= {{t}}),
-knn AS (SELECT a, b, score, r FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM dir) WHERE r <= 6),
-mut AS (SELECT a, b FROM knn x WHERE a < b AND EXISTS (SELECT 1 FROM knn y WHERE y.a = x.b AND y.b = x.a))"""
+knn AS (SELECT a, b, score, r FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 12) DESC, b) AS r FROM dir) WHERE r <= 6),
+mut AS (SELECT a, b FROM knn x WHERE a < b AND EXISTS (SELECT 1 FROM knn y WHERE y.a = x.b AND y.b = x.a))""".replace("{{t}}", "{t}")
+_KNN = _PLAIN.replace("{", "{{").replace("}", "}}") + "," + _NEAREST
 _GROUPS = """{knn},
 ge AS (SELECT a, b FROM mut {stars}),
 gw AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge),
