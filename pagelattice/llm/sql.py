@@ -75,6 +75,13 @@ pairs AS (SELECT id_a, id_b FROM shared WHERE s * 10 >= 7 * (na + nb - s))
 
 P5_FOUND = f"WITH {P5_PAIRS} SELECT id_a, id_b FROM pairs"
 
+P5_GROUPS = f"""
+WITH RECURSIVE {P5_PAIRS}, ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+forms AS (SELECT id, min(id) OVER (PARTITION BY list_sort(list(t))) AS class_id FROM kept GROUP BY id),
+reach(node, root) AS (SELECT id, id FROM sizes UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.node WHERE r.root < w.b)
+SELECT f.id, class_id, min(root) AS group_id FROM forms f JOIN reach r ON r.node = f.id GROUP BY 1, 2
+"""
+
 P6_VECTORS = """
 usable AS (
   SELECT id, embedding AS v FROM tabs WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
@@ -100,5 +107,5 @@ SELECT query_id, neighbor_id, round(c, 6) AS cosine, r::INTEGER AS rank FROM sco
 
 ORACLE = {
     "p1_found": P1_FOUND, "p1_pages": P1_PAGES, "p2_found": P2_FOUND, "p2_links": P2_LINKS, "p3_found": P3_FOUND,
-    "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_every_twentieth": P6_EVERY_TWENTIETH,
+    "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p6_every_twentieth": P6_EVERY_TWENTIETH,
 }
