@@ -7,8 +7,11 @@ words and anything that looks like a number or code, and uses two 32-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that are no tokens.
@@ -56,16 +59,67 @@ def live_hash64(token: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def _md5_words(tokens: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(md5(t.encode()).digest()[:8], "big") for t in tokens], np.uint64)
+
+
+def _live_words(tokens: list[str]) -> np.ndarray:
+    out = []
+    for t in tokens:
+        high, low = 2166136261, 5381
+        for c in t.encode():
+            x = high ^ c
+            high = int(float(x - 4294967296 if x >= 2147483648 else x) * 16777619.0) & 4294967295
+            low = (low * 33 & 4294967295) ^ c
+        out.append(high << 32 | low)
+    return np.array(out, np.uint64)
+
+
+def _counted(batch: pa.RecordBatch):
+    """(rows, tokens, row, token, count, first place) of the different tokens of every row of (id, tokens), in the order of rows and tokens."""
+    lists = batch.column(1)
+    flat = lists.flatten().dictionary_encode()
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    known = np.asarray(flat.indices.is_valid())
+    row, place, code = row[known], place[known], flat.indices.drop_null().to_numpy()
+    key, first, count = np.unique(row * max(1, len(flat.dictionary)) + code, return_index=True, return_counts=True)
+    return len(lists), flat.dictionary.to_pylist(), key // max(1, len(flat.dictionary)), key % max(1, len(flat.dictionary)), count, place[first]
+
+
+def _slices(batches, rows: int = 512):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _by_row(rows: DataFrame, id_col: str, tokens_col: str, run, columns: str) -> DataFrame:
+    kind = rows.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens")).mapInArrow(run, f"id {kind}, {columns}")
+
+
 def simhash(rows: DataFrame, id_col: str, tokens_col: str, dialect: str = "batch") -> DataFrame:
-    """(id, simhash): sign of 64 counters over all token occurrences; null for rows without tokens, and a counter of zero gives bit 0.
+    """(id, simhash) of every row: sign of 64 counters over all token occurrences; null for rows without tokens, and a counter of zero gives bit 0.
+
+    All tokens of a row lie in it, so nothing is shuffled; each distinct token of a few hundred rows is hashed once."""
+    hashed = _md5_words if dialect == "batch" else _live_words
 
-    Occurrences are counted per distinct token before they are hashed, so each distinct token of a row is hashed once; partial sums are combined map-side."""
-    hashed = md5_hash64 if dialect == "batch" else live_hash64
-    counted = rows.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("t")).groupBy("id", "t").agg(F.count("*").alias("c")).select("id", "c", hashed(F.col("t")).alias("h"))
-    sums = [F.expr(f"sum(if(getbit(h, {k}) = 1, c, -c))").alias(f"b{k}") for k in range(64)]
-    wide = counted.groupBy("id").agg(*sums)
-    bits = " | ".join(f"shiftleft(cast(if(b{k} > 0, 1, 0) as bigint), {k})" for k in range(64))
-    return rows.select(F.col(id_col).alias("id")).distinct().join(wide.select("id", F.expr(bits).alias("simhash")), "id", "left")
+    def run(batches):
+        for part in _slices(batches):
+            n, tokens, row, token, count, _ = _counted(part)
+            if not len(row):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(n, pa.int64())], names=["id", "simhash"])
+                continue
+            signs = np.unpackbits(hashed(tokens).byteswap().view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            sums = np.add.reduceat(signs[token] * count[:, None].astype(np.int32), starts, axis=0)
+            bits = np.packbits(sums > 0, axis=1).view(np.uint64).byteswap().ravel().view(np.int64)
+            out, filled = np.zeros(n, np.int64), np.zeros(n, bool)
+            out[row[starts]], filled[row[starts]] = bits, True
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, mask=~filled)], names=["id", "simhash"])
+
+    return _by_row(rows, id_col, tokens_col, run, "simhash long")
 
 
 def hamming(a: Column, b: Column, dialect: str = "batch") -> Column:
@@ -88,16 +142,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def term_frequencies(rows: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """(id, term, tf, first_pos)."""
-    return rows.select(F.col(id_col).alias("id"), F.posexplode(tokens_col).alias("pos", "term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    """(id, term, tf, first_pos) of every row, without a shuffle."""
+
+    def run(batches):
+        for part in _slices(batches):
+            _, tokens, row, token, count, first = _counted(part)
+            if len(row):
+                terms = pa.array(tokens).take(pa.array(token))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), terms, pa.array(count.astype(np.int64)), pa.array(first.astype(np.int32))], names=["id", "term", "tf", "first_pos"])
+
+    return _by_row(rows, id_col, tokens_col, run, "term string, tf long, first_pos int")
 
 
 def keywords(rows: DataFrame, id_col: str, tokens_col: str, n: int = 8) -> DataFrame:
-    """(id, keywords): the n most frequent tokens, ties by first occurrence; rows without tokens don't come out."""
-    order = Window.partitionBy("id").orderBy(F.desc("tf"), "first_pos")
-    ranked = term_frequencies(rows, id_col, tokens_col).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    listed = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("k"))
-    return listed.select("id", F.col("k.term").alias("keywords"))
+    """(id, keywords): the n most frequent tokens of every row, ties by first occurrence, without a shuffle; rows without tokens don't come out."""
+
+    def run(batches):
+        for part in _slices(batches):
+            _, tokens, row, token, count, first = _counted(part)
+            if not len(row):
+                continue
+            order = np.lexsort((first, -count, row))
+            row, token = row[order], token[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+            row, token = row[kept], token[kept]
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(tokens).take(pa.array(token)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[starts])), lists], names=["id", "keywords"])
+
+    return _by_row(rows, id_col, tokens_col, run, "keywords array<string>")
 
 
 def fallback_summary(text: Column, sentences: int = 3) -> Column:

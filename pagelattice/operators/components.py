@@ -39,14 +39,14 @@ def _partition_forest(batches):
 def connected_components(links: DataFrame, a_col: str, b_col: str, task_links: int = 250_000, max_rounds: int = 60) -> DataFrame:
     """(node, component): every linked node with the smallest node of its component.
 
-    Union-find inside partitions of about ``task_links`` links leaves stars; where one partition holds all links that is the result. Otherwise the stars are contracted in
+    Partitions are ranges of (smaller end, larger end), so that the links of a hub are cut as well. Union-find inside partitions of about ``task_links`` links leaves stars; where one partition holds all links that is the result. Otherwise the stars are contracted in
     alternation: each round hangs a node's larger neighbours, then its smaller ones, under the smallest neighbour. Both are grouped minima and joins, so no
     node's neighbourhood is ever collected. Every round is a reliable checkpoint.
     """
     a, b = F.col(a_col).cast("long"), F.col(b_col).cast("long")
     edges = checkpoint(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
     partitions = max(1, -(-edges.count() // task_links))
-    edges = checkpoint(edges.repartition(partitions, "a").mapInArrow(_partition_forest, "a long, b long"))
+    edges = checkpoint(edges.repartitionByRange(partitions, "a", "b").mapInArrow(_partition_forest, "a long, b long"))
     before = None
     for _ in range(max_rounds if partitions > 1 else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

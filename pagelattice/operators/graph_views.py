@@ -44,9 +44,9 @@ def group_meta(groups: DataFrame, tabs: DataFrame, top: int = 12, titles: int =
     domains = rows.where("domain <> ''").groupBy("group_id", "domain").agg(F.count("*").alias("c"), F.min("pos").alias("p")).groupBy("group_id").agg(F.max_by("domain", F.struct("c", -F.col("p"))).alias("domain"))
     words = rows.select("group_id", "pos", F.posexplode("keywords").alias("kpos", "k")).where("k is not null").groupBy("group_id", "k").agg(F.count("*").alias("c"), F.min(F.struct("pos", "kpos")).alias("first"))
     ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("c"), "first"))).where(F.col("r") <= top)
-    keywords = ranked.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("r", "k"))).alias("k")).select("group_id", F.col("k.k").alias("keywords"))
+    keywords = ranked.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("r", "k"))).alias("k")).select("group_id", F.col("k.k").alias("keywords"))
     shown = rows.where("shown is not null").withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy("pos"))).where(F.col("r") <= titles)
-    first = shown.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("r", "shown"))).alias("t")).select("group_id", F.col("t.shown").alias("titles"))
+    first = shown.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("r", "shown"))).alias("t")).select("group_id", F.col("t.shown").alias("titles"))
     out = groups.select(F.col("id").alias("group_id"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce(F.size("tab_ids"), F.lit(0)).alias("size"))
     out = out.join(domains, "group_id", "left").join(keywords, "group_id", "left").join(first, "group_id", "left")
     none = F.array().cast("array<string>")
@@ -99,7 +99,8 @@ def graph_stats(tabs: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFra
     """One row of counts over tabs, groups and edges."""
     t = tabs.agg(
         F.count("*").alias("tab_count"), F.count_if(F.coalesce(F.col("error"), F.lit("")).startswith("fetch_failed")).alias("errors"), F.count_if(F.col("embedding_error").isNotNull()).alias("embed_errors"),
-        F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.count_if(F.col("duplicate_of").isNull()).alias("primary_tabs"), F.size(F.collect_set(F.when(F.col("duplicate_of").isNull(), F.coalesce("domain", F.lit(""))))).alias("domains"),
+        F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), F.count_if(F.col("duplicate_of").isNull()).alias("primary_tabs"), 
     )
+    domains = tabs.where("duplicate_of is null").select(F.coalesce("domain", F.lit("")).alias("d")).distinct().agg(F.count("*").cast("int").alias("domains"))
     e = edges.agg(F.count("*").alias("edge_count"), F.count_if(F.col("reason") == "navigation").alias("navigation_edges"), F.count_if(F.col("reason") != "navigation").alias("similarity_edges"))
-    return t.crossJoin(groups.agg(F.count("*").alias("group_count"))).crossJoin(e)  # one row each
+    return t.crossJoin(domains).crossJoin(groups.agg(F.count("*").alias("group_count"))).crossJoin(e)  # one row each

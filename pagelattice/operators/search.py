@@ -25,17 +25,30 @@ def parse_panel_query(query: str) -> tuple[str | None, str | None, str]:
     return (keyword and keyword[1]), (domain and domain[1]), re.sub(r"@\w+", "", re.sub(r"#\w+", "", q, flags=re.A), flags=re.A).strip()
 
 
-def _fuzzy_score(term: str):
-    @F.pandas_udf("double")
-    def score(tokens: pd.Series) -> pd.Series:
-        known: dict[str, float] = {}
-
-        def ratio(token: str) -> float:
-            if token not in known:
-                known[token] = SequenceMatcher(None, term, token).ratio()
-            return known[token]
+def _fuzzy_scores(terms: list[str], least: float):
+    """Mean over the terms of 1 where the text contains one and else of the best similarity of a word; null where a term is below ``least``."""
 
-        return tokens.map(lambda ts: max((ratio(t) for t in ts), default=0.0))
+    @F.pandas_udf("double")
+    def score(blobs: pd.Series, tokens: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], float] = {}
+
+        def ratio(term: str, token: str) -> float:
+            if (term, token) not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[term, token] = SequenceMatcher(None, term, token).ratio()
+            return known[term, token]
+
+        def one(blob: str, words) -> float | None:
+            total = 0.0
+            for term in terms:
+                found = 1.0 if term in blob else max((ratio(term, t) for t in words), default=0.0)
+                if found < least:
+                    return None
+                total += found
+            return total / len(terms)
+
+        return pd.Series([one(b, w) for b, w in zip(blobs, tokens)], dtype="float64")
 
     return score
 
@@ -47,7 +60,7 @@ def _has_keyword(tag: str) -> Column:
 def search_groups(meta: DataFrame, query: str, least: float = 0.45) -> DataFrame:
     """(group_id, size, label, score): any domain, all tags, and every term either a substring of the group's text or similar to one of its words.
 
-    The cheap predicates filter first, and only groups that don't contain a term as a substring reach the Python comparison for it.
+    The cheap predicates filter first; what is left is scored once, for all terms together.
     """
     asked = parse_query(query)
     rows = meta
@@ -58,15 +71,13 @@ def search_groups(meta: DataFrame, query: str, least: float = 0.45) -> DataFrame
         rows = rows.where(cond)
     for tag in asked["tags"]:
         rows = rows.where(_has_keyword(tag))
-    total = F.lit(0.0)
-    for i, term in enumerate(asked["terms"]):
-        name = f"s{i}"
-        inside = rows.where(F.col("blob").contains(term)).withColumn(name, F.lit(1.0))
-        outside = rows.where(~F.col("blob").contains(term)).withColumn(name, _fuzzy_score(term)("tokens")).where(F.col(name) >= least)
-        rows = inside.unionByName(outside)
-        total = total + F.col(name)
-    score = total / len(asked["terms"]) if asked["terms"] else F.lit(1.0)
-    return rows.select("group_id", "size", "label", score.alias("score"))
+    if not asked["terms"]:
+        return rows.select("group_id", "size", "label", F.lit(1.0).alias("score"))
+    inside = F.lit(True)
+    for term in asked["terms"]:
+        inside = inside & F.col("blob").contains(term)
+    rows = rows.withColumn("score", F.when(inside, 1.0).otherwise(_fuzzy_scores(asked["terms"], least)("blob", "tokens")))
+    return rows.where(F.col("score").isNotNull() & ~F.isnan("score")).select("group_id", "size", "label", "score")
 
 
 def ordered_results(found: DataFrame) -> DataFrame:

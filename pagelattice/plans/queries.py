@@ -257,7 +257,7 @@ def graph_build(spark, d):
     from . import pipeline
 
     g = pipeline.build(_t(spark, d, "tabs").select("id", "url", "title", "domain", "canonical_url", "keywords", "tokens", "simhash", "embedding"), BATCH)
-    return g.groups.select("id", "label", "size", F.xxhash64("tab_ids").alias("members"))
+    return g.groups.select("id", "label", "size", F.array_join("tab_ids", ",").alias("members"))
 
 
 @query

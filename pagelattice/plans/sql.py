@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import LIVE_STOPWORDS, STOPWORDS
 from ..functions.urls import _WITH_AUTHORITY, _WITH_PARAMETERS, TRACKING_PARAMETERS
 
@@ -144,7 +146,54 @@ lagd AS (SELECT *, lag(canonical) OVER (PARTITION BY tab_id, session ORDER BY ts
 nav AS (SELECT tab_id, session::BIGINT AS session, prev AS source_url, canonical AS target_url, ts, CASE WHEN event = 'committed' THEN transition_type ELSE 'spa_navigation' END AS transition_type
   FROM lagd WHERE rn = 1 AND prev IS NOT NULL AND prev <> canonical)"""
 
+_LIVE_HASH = """(list_reduce(list_prepend(2166136261::BIGINT, cs), lambda h, c: (CASE WHEN xor(h, c) >= 2147483648 THEN xor(h, c) - 4294967296 ELSE xor(h, c) END::DOUBLE * 16777619.0)::BIGINT & 4294967295)::UBIGINT << 32)
+  | list_reduce(list_prepend(5381::BIGINT, cs), lambda h, c: xor((h * 33) & 4294967295, c))::UBIGINT"""
+_SIGNED = "(CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END)"
+_PRIMARIES = f"""mains AS (SELECT {_MAIN_COLUMNS} FROM tabs WHERE id IN (SELECT id FROM prim WHERE "primary" = id))"""
+_BUILD = f"""WITH RECURSIVE {_DEDUPE}, {_PRIMARIES},{_SCORES},{_PLAINS},{_NEAREST.format(t=0.25)},
+ge AS (SELECT a, b FROM mut {_DOMAIN_STARS}),
+gw AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge),
+gr(node, root) AS (SELECT id, id FROM mains UNION SELECT e.b, r.root FROM gr r JOIN gw e ON e.a = r.node WHERE r.root < e.b),
+num AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM (SELECT node AS id, min(root) AS root FROM gr GROUP BY node)),
+mem AS (SELECT p.id, n.group_id FROM prim p JOIN num n ON n.id = p."primary"),
+own AS (SELECT num.group_id, t.id, COALESCE(t.domain, '') AS domain, COALESCE(tokens, []) AS tokens FROM num JOIN tabs t USING (id)),
+{_SHARE[len(_OWN) + 1 :]}, {_TOP3},
+listed AS (SELECT group_id, array_to_string(list_sort(list(id)), ',') AS members, count(*)::INTEGER AS size FROM mem GROUP BY 1)
+SELECT group_id::BIGINT AS id, COALESCE(s.domain, t.terms, 'group') AS label, size, members FROM listed LEFT JOIN (SELECT * FROM share WHERE share >= 0.55) s USING (group_id) LEFT JOIN top3 t USING (group_id)"""
+_LIVE_TABS = _TABS_CANON.replace(_canonical("SELECT id AS k, url FROM tabs"), _canonical("SELECT id AS k, url FROM tabs", True))
+_OTHER_VISITS = re.sub(r"\bcanon\b", "vanon", re.sub(r"\bcu(\d)\b", r"vu\1", _VISITS))
+_MERGED = """r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY reason <> 'navigation', ts NULLS FIRST, source, target, reason, COALESCE(weight, 0) DESC) AS r
+  FROM al WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target) SELECT source, target, weight, reason FROM r WHERE r = 1"""
+_REBUILD = f"""WITH RECURSIVE {_DEDUPE.replace(_TABS_CANON, _LIVE_TABS)}, {_PRIMARIES},{_SCORES},{_PLAINS}, {_OTHER_VISITS},
+um0 AS (SELECT COALESCE(canonical_url, url) AS address, id FROM ct UNION ALL SELECT url, id FROM ct), um AS (SELECT address, max(id) AS tab_id FROM um0 WHERE address IS NOT NULL GROUP BY 1),
+al AS (SELECT a AS source, b AS target, round(score, 3)::DOUBLE AS weight, CASE WHEN same THEN 'similarity+domain' ELSE 'similarity' END AS reason, NULL::TIMESTAMP AS ts FROM allp WHERE score >= 0.2 UNION ALL
+  SELECT a.tab_id, b.tab_id, 1.0, 'navigation', ts::TIMESTAMP FROM nav JOIN um a ON a.address = source_url JOIN um b ON b.address = target_url WHERE a.tab_id <> b.tab_id), {_MERGED}"""
+
 ORACLE: dict[str, str] = {
+    "simhash_live": f"""WITH doc AS (SELECT doc_id AS id, {_live_tokens('text')} AS tokens FROM documents), ct AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(tokens) AS term FROM doc) GROUP BY 1, 2),
+        words AS (SELECT term, list_transform(string_split(term, ''), lambda x: ascii(x)::BIGINT) AS cs FROM (SELECT DISTINCT term FROM ct)),
+        hs AS (SELECT id, c, {_LIVE_HASH} AS h FROM ct JOIN words USING (term)), b AS (SELECT id, {_BIT_SUMS} FROM hs GROUP BY id), v AS (SELECT id, {_BIT_OR} AS u FROM b)
+        SELECT d.doc_id, {_SIGNED} AS simhash FROM documents d LEFT JOIN v ON v.id = d.doc_id""",
+    "graph_build": _BUILD,
+    "graph_rebuild_live": _REBUILD,
+    "cache_overlay": f"""WITH {_canonical('SELECT id AS k, url FROM tabs')}, own AS (SELECT t.*, c.canonical AS own FROM tabs t JOIN canon c ON c.k = t.id),
+        keyed AS (SELECT *, unnest(list_distinct([COALESCE(canonical_url, own), own])) AS cache_key FROM own WHERE error IS NULL),
+        cache AS (SELECT cache_key, COALESCE(summary, '') AS summary, COALESCE(summary_source, '') AS summary_source, keywords, simhash FROM keyed WHERE cache_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY id DESC) = 1)
+        SELECT o.id, u.cache_key IS NOT NULL OR c.cache_key IS NOT NULL AS cached, CASE WHEN u.cache_key IS NOT NULL THEN u.summary ELSE c.summary END AS summary,
+          CASE WHEN u.cache_key IS NOT NULL THEN u.summary_source ELSE c.summary_source END AS summary_source,
+          CASE WHEN u.cache_key IS NOT NULL THEN array_to_string(u.keywords, ' ') ELSE array_to_string(c.keywords, ' ') END AS keywords, CASE WHEN u.cache_key IS NOT NULL THEN u.simhash ELSE c.simhash END AS simhash
+        FROM own o LEFT JOIN cache u ON u.cache_key = o.url LEFT JOIN cache c ON c.cache_key = o.own""",
+    "open_pages": f"""WITH {_canonical("SELECT DISTINCT url AS k, url FROM browser_events WHERE url IS NOT NULL")},
+        once AS (SELECT DISTINCT event, tab_id, ts, url, title, frame_id, transition_type, qualifiers, status FROM browser_events WHERE tab_id IS NOT NULL AND ts IS NOT NULL),
+        shown AS (SELECT o.*, canonical FROM once o JOIN canon ON k = url WHERE event = 'updated' AND status = 'complete' AND {_HTTP}),
+        last AS (SELECT canonical, url, tab_id, ts FROM shown QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY ts DESC, tab_id DESC, url DESC, COALESCE(title, '') DESC) = 1),
+        named AS (SELECT canonical, title FROM shown WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY ts DESC, tab_id DESC, url DESC, title DESC) = 1),
+        born AS (SELECT canonical, min(ts) AS created_at FROM shown GROUP BY 1),
+        now AS (SELECT tab_id, canonical AS here FROM shown QUALIFY row_number() OVER (PARTITION BY tab_id ORDER BY ts DESC, url DESC, COALESCE(title, '') DESC) = 1),
+        gone AS (SELECT tab_id, max(ts) AS gone FROM once WHERE event = 'removed' GROUP BY 1)
+        SELECT canonical AS canonical_url, COALESCE(title, '') AS title, COALESCE({_DOMAIN}, '') AS domain, epoch_us(created_at) AS created_at, epoch_us(CASE WHEN gone >= ts AND here = canonical THEN gone END) AS closed_at,
+          CASE WHEN here = canonical AND (gone IS NULL OR gone < ts) THEN tab_id END AS browser_tab
+        FROM last LEFT JOIN named USING (canonical) JOIN born USING (canonical) LEFT JOIN now USING (tab_id) LEFT JOIN gone USING (tab_id)""",
     "url_canonical": f"WITH {_canonical('SELECT id AS k, url FROM tabs')} SELECT k AS id, canonical FROM canon",
     "url_canonical_live": f"WITH {_canonical('SELECT id AS k, url FROM tabs', True)} SELECT k AS id, canonical FROM canon",
     "url_domain": f"SELECT id, COALESCE({_DOMAIN}, '') AS domain, COALESCE({_LIVE_DOMAIN}, '') AS live_domain FROM tabs",

@@ -16,7 +16,7 @@ def run_once(spark: SparkSession, path: str, schema: StructType, transform: Call
     Sink and checkpoint lie beside the other checkpoints, in the folder that spark.checkpoint.dir names (a private one only in local sessions)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="pagelattice-")
     base = f"{shared}/stream-{name}-{uuid.uuid4().hex}"
