@@ -15,11 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The project's tracking parameters (any name that starts with utm_ is one as well).
-TRACKING_PARAMETERS = [
-    "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ref", "ref_src",
-    "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term",
-]
+from ..functions.urls import TRACKING_PARAMETERS
 
 _ADDRESS = r"(?s)^[\s\p{Z}]*([Hh][Tt][Tt][Pp][Ss]?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
