@@ -327,14 +327,15 @@ def title_key(title: Column) -> Column:
 
 def sentences(texts: DataFrame, least_words: int) -> DataFrame:
     """(tab_id, field, site, titled, template, tail, slotted, worded, pieces): every different sentence of a field (of a title: every part), once; pieces is their number."""
-    is_title = F.col("field") == "title"
-    code = F.col("text").rlike(_CODE)
-    parts = F.array_distinct(F.when(code, F.array(F.lit("HTTP CODE"))).when(is_title, normal_parts(F.col("text"), TITLE_PART)).otherwise(normal_parts(F.col("text"), SENTENCE)))
-    rows = texts.select(F.col("id").alias("tab_id"), "field", "site", "titled", code.alias("code"), parts.alias("parts"))
+    is_title, text = F.col("field") == "title", F.col("text")
+    code = text.rlike(_CODE)
+    parts = F.when(code, F.array(F.lit("HTTP CODE"))).when(is_title, normal_parts(text, TITLE_PART)).otherwise(normal_parts(text, SENTENCE))
     letters = lambda t: t.rlike(r"\p{L}")
     enough = lambda t: F.size(F.split(t, " ")) >= least_words
-    kept = F.when(is_title, F.filter("parts", lambda t: t != "")).otherwise(F.filter("parts", lambda t: letters(t) & (enough(t) | t.rlike(WORDING))))
-    rows = rows.withColumn("parts", kept).select("tab_id", "field", "site", "titled", "code", F.size("parts").cast("int").alias("pieces"), F.explode("parts").alias("t"))
+    kept = F.array_distinct(F.filter(parts, lambda t: F.when(is_title, t != "").otherwise(letters(t) & (enough(t) | t.rlike(WORDING)))))
+    # explode would add a filter on the arrays that makes them a second and third time; explode_outer doesn't.
+    rows = texts.select(F.col("id").alias("tab_id"), "field", "site", "titled", code.alias("code"), kept.alias("parts"))
+    rows = rows.select("tab_id", "field", "site", "titled", "code", F.size("parts").alias("pieces"), F.explode_outer("parts").alias("t")).where("t is not null")
     slotted = F.col("t").contains("HOST") | F.col("t").contains("PATH")
     last = F.split("t", " ")
     tail = F.when(F.size(last) >= TAIL, F.xxhash64(F.slice(last, F.size(last) - (TAIL - 1), F.lit(TAIL))))
