@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .checkpoints import checkpoint
+from .functions import html
 from .operators.graph_views import graph_stats, group_meta
 from .operators.search import ordered_results, search_groups
+from .operators.store import cache_from, upsert
 from .options import Options
 from .plans.pipeline import build_batch
 from .sources import readers, writers
@@ -32,6 +37,17 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--dedupe-hamming", type=int, default=3)
     b.add_argument("--keyword-count", type=int, default=8)
     b.add_argument("--limit", type=int, default=0)
+    b.add_argument("--pages", help="Parquet of stored page texts (url, text)")
+    b.add_argument("--fetch", action="store_true", help="fetch pages that aren't stored")
+    b.add_argument("--fetch-timeout", type=int, default=20)
+    b.add_argument("--user-agent")
+    b.add_argument("--no-crawl", action="store_true", help="titles only")
+    b.add_argument("--cache", help="folder of a versioned cache; read before and written after the build")
+    b.add_argument("--refresh", action="store_true", help="don't read the cache")
+    b.add_argument("--summarizer", help="module:function giving summarize(prompt)")
+    b.add_argument("--embedder", help="module:function giving embed(texts)")
+    b.add_argument("--embed-model", default=Options.embed_model)
+    b.add_argument("--store-embeddings", action="store_true")
     e = commands.add_parser("explore", help="search the groups of a graph document")
     e.add_argument("graph")
     e.add_argument("query", nargs="?", default="")
@@ -39,6 +55,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _named(place: str | None):
+    """The function at module:function, None without a place."""
+    if not place:
+        return None
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pagelattice").getOrCreate()
@@ -46,14 +70,26 @@ def main(argv: list[str] | None = None) -> None:
         windows = readers.read_sessions(readers.session_files(spark, a.input)).where("error is null") if a.sessions else readers.read_windows(spark, readers.backup_path(a.input))
         tabs = readers.flatten_windows(windows)
         tabs = tabs.orderBy("id").limit(a.limit) if a.limit else tabs
-        options = Options(edge_threshold=a.edge_threshold, group_threshold=a.group_threshold, domain_bonus=a.domain_bonus, domain_group=not a.no_domain_group, domain_group_min=a.domain_group_min,
+        texts = None
+        if a.pages:
+            texts = spark.read.parquet(a.pages).select("url", "text")
+        if a.fetch and not a.no_crawl:
+            wanted = tabs if texts is None else tabs.join(texts.select("url"), "url", "left_anti")
+            got = readers.fetch_pages(wanted, readers.http_fetcher(a.fetch_timeout, a.user_agent)).select("url", html.readable_text_udf("html").alias("text"))
+            got = checkpoint(got.where("text <> ''"))
+            texts = got if texts is None else texts.unionByName(got)
+        cache = writers.read_current(spark, a.cache) if a.cache and not a.refresh else None
+        options = Options(no_crawl=a.no_crawl, refresh=a.refresh, embed_model=a.embed_model, store_embeddings=a.store_embeddings, edge_threshold=a.edge_threshold, group_threshold=a.group_threshold, domain_bonus=a.domain_bonus, domain_group=not a.no_domain_group, domain_group_min=a.domain_group_min,
                           knn_k=a.knn_k, mutual_knn=not a.no_mutual_knn, dedupe_hamming=a.dedupe_hamming, keyword_count=a.keyword_count)
-        graph = build_batch(tabs, options=options)
+        graph = build_batch(tabs, texts, options, cache=cache, summarizer=_named(a.summarizer), embedder=_named(a.embedder))
+        if a.cache:
+            kept = graph.tabs if "embedding" in graph.tabs.columns else graph.tabs.withColumn("embedding", F.lit(None).cast("array<double>"))
+            fresh = cache_from(kept.where("error is null"), a.embed_model)
+            writers.write_version(fresh if cache is None else upsert(cache, fresh, ["cache_key"]), a.cache)
         if a.tables:
             writers.replace_graph(graph, a.tables)
-        from pyspark.sql import functions as F
-
-        graph.tabs = graph.tabs.withColumn("embedding_error", F.lit(None).cast("string"))
+        if "embedding_error" not in graph.tabs.columns:
+            graph.tabs = graph.tabs.withColumn("embedding_error", F.lit(None).cast("string"))
         readers.write_graph(graph.tabs, graph.groups, graph.edges, a.out, dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
         print(graph_stats(graph.tabs, graph.groups, graph.edges).first().asDict())
         return

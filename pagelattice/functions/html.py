@@ -121,13 +121,17 @@ def page_content(html: str, url: str, limit: int = 10_000) -> dict:
     if "youtube.com" in host:
         named = _meta(nodes, "property", "og:title")
         title = named or title
-        channel = content(lambda n: n.attrs.get("itemprop") == "name")
-        text = " | ".join(x for x in (named, f"Channel: {channel}" if channel else "", _meta(nodes, "property", "og:description"), _meta(nodes, "name", "keywords")) if x)
+        within = lambda outer, inner: next((t for o in nodes if outer(o) for n in _walk(o) if n is not o and inner(n) and (t := _text(n, clean=False))), "")
+        channel = within(lambda n: n.attrs.get("id") == "channel-name", lambda n: n.tag == "a") or within(lambda n: n.attrs.get("itemprop") == "author", lambda n: n.attrs.get("itemprop") == "name") or content(lambda n: n.attrs.get("itemprop") == "name")
+        about = _meta(nodes, "property", "og:description")
+        longer = content(lambda n: n.attrs.get("id") == "description-inline-expander" or n.tag == "ytd-text-inline-expander") or within(lambda n: n.attrs.get("id") == "description", lambda n: "content" in n.attrs.get("class", "").split())
+        about = longer[:2000] if len(longer) > len(about) else about
+        text = " | ".join(x for x in (named, f"Channel: {channel}" if channel else "", about, _meta(nodes, "name", "keywords")) if x)
     else:
         parts: list[str] | None = None
         if "github.com" in host:
             topics = " ".join(_text(n, clean=False) for n in nodes if "topic-tag" in n.attrs.get("class", "").split())
-            parts = [title, content(lambda n: n.attrs.get("itemprop") == "about"), topics]
+            parts = [title, content(lambda n: n.attrs.get("itemprop") == "about" or {"f4", "my-3"} <= set(n.attrs.get("class", "").split())), topics]
         elif "twitter.com" in host or "x.com" in host:
             parts = [title, content(lambda n: n.attrs.get("data-testid") == "tweetText")]
         elif "reddit.com" in host:

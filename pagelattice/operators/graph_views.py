@@ -88,6 +88,20 @@ def render_nodes(tabs: DataFrame, length: int = 30, colors: int = 10) -> DataFra
     return tabs.where("duplicate_of is null").select("id", short.alias("shown"), F.when(F.col("group_id") >= 0, F.pmod("group_id", F.lit(colors))).alias("color"))
 
 
+def escape_html(text) -> object:
+    """Text as it may stand in a page."""
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def group_members(groups: DataFrame, tabs: DataFrame) -> DataFrame:
+    """(group_id, pos, tab_id, shown): the tabs of every group in its order, with what names them."""
+    text = lambda c: F.when(F.col(c) != "", F.col(c))
+    named = tabs.select(F.col("id").alias("tab_id"), F.coalesce(text("title"), text("url"), F.lit("(untitled)")).alias("shown"))
+    return exploded_groups(groups).join(named, "tab_id").select("group_id", "pos", "tab_id", "shown")
+
+
 def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both among the nodes, with the width they are drawn in."""
     ids = nodes.select(F.col("id").alias("node")).distinct()

@@ -22,19 +22,22 @@ def delivered_once(events: DataFrame) -> DataFrame:
     return events.drop("received_at").distinct()
 
 
-def visits(events: DataFrame, dialect: str = "batch") -> DataFrame:
-    """(tab_id, ts, event, canonical, transition_type, closed) of the events that show an address in a main frame, and of closings."""
+def visits(events: DataFrame, dialect: str = "batch", seed: bool = False) -> DataFrame:
+    """(tab_id, ts, event, canonical, transition_type, closed) of the events that show an address in a main frame, and of closings; with ``seed`` also of the addresses that are left (before_navigate)."""
     rows = delivered_once(events).where("tab_id is not null and ts is not null")
     committed = (F.col("event") == "committed") & (F.col("frame_id") == 0) & F.col("transition_type").isin(TRANSITIONS) & ~F.coalesce(F.array_contains("qualifiers", "forward_back"), F.lit(False))
-    shown = urls.is_http(F.col("url")) & (committed | (F.col("event") == "updated"))
+    left = (F.col("event") == "before_navigate") & (F.coalesce("frame_id", F.lit(0)) == 0)
+    shown = urls.is_http(F.col("url")) & (committed | (F.col("event") == "updated") | (left if seed else F.lit(False)))
     closed = F.col("event") == "removed"
     rows = rows.where(shown | closed)
     return rows.select("tab_id", "ts", "event", F.when(~closed, urls.canonical_url(F.col("url"), dialect)).alias("canonical"), "transition_type", closed.alias("closed"))
 
 
-def first_visits(events: DataFrame, dialect: str = "batch") -> DataFrame:
-    """(tab_id, session, source_url, target_url, ts, transition_type): one row per navigation."""
-    rows = visits(events, dialect).withColumn("day", F.to_date("ts"))
+def first_visits(events: DataFrame, dialect: str = "batch", seed: bool = False) -> DataFrame:
+    """(tab_id, session, source_url, target_url, ts, transition_type): one row per navigation.
+
+    With ``seed`` the address that a tab leaves (before_navigate) opens a session that has shown none yet; in others it changes nothing."""
+    rows = visits(events, dialect, seed).withColumn("day", F.to_date("ts"))
     in_day = Window.partitionBy("tab_id", "day").orderBy(*_ORDER)
     per_day = rows.groupBy("tab_id", "day").agg(F.sum(F.col("closed").cast("long")).alias("closings"))
     days = Window.partitionBy("tab_id").orderBy("day")
@@ -42,6 +45,9 @@ def first_visits(events: DataFrame, dialect: str = "batch") -> DataFrame:
     own = F.sum(F.col("closed").cast("long")).over(in_day) - F.col("closed").cast("long")
     numbered = rows.withColumn("closed_today", own).join(before, ["tab_id", "day"]).withColumn("session", F.col("closed_before") + F.col("closed_today")).where("not closed")
     place = F.struct(*_ORDER)
+    if seed:
+        opened = numbered.groupBy("tab_id", "session").agg(F.min(place).alias("opened"))
+        numbered = numbered.join(opened, ["tab_id", "session"]).where((F.col("event") != "before_navigate") | (place == F.col("opened"))).drop("opened")
     last = numbered.groupBy("tab_id", "day").agg(F.max_by(F.struct("session", "canonical"), place).alias("last"))
     carried = last.select("tab_id", "day", F.lag("last").over(days).alias("carried"))
     lagged = numbered.withColumn("here", F.lag(F.struct("session", "canonical")).over(in_day)).join(carried, ["tab_id", "day"])

@@ -99,6 +99,11 @@ def search_panel_groups(groups: DataFrame, tabs: DataFrame, query: str) -> DataF
     return kept.select("group_id", "size")
 
 
+def panel_order(found: DataFrame) -> DataFrame:
+    """The panel's order of groups: the largest first, equal ones by id."""
+    return found.orderBy(F.desc("size"), "group_id")
+
+
 def search_panel_tabs(tabs: DataFrame, query: str) -> DataFrame:
     """(id) of primaries that satisfy all predicates."""
     keyword, domain, rest = parse_panel_query(query)

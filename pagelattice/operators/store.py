@@ -125,3 +125,27 @@ def run_limit(tabs: DataFrame, n: int) -> DataFrame:
     return tabs.orderBy("id").limit(n) if n > 0 else tabs
 
 
+def page_id(canonical_url: Column) -> Column:
+    """The id of a live page: made from its address, so that a page captured twice, or by a task that runs again, keeps it."""
+    return F.concat(F.lit("tab_"), F.lower(F.hex(F.xxhash64(canonical_url))))
+
+
+def first_of(table: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """For every value of a column the row with the smallest id: ``lookup`` for all values at once."""
+    return table.where(F.col("id").isNotNull() & F.col(column).isNotNull()).groupBy(column).agg(F.min_by(F.struct("id", *keep), "id").alias("t")).select(column, "t.*")
+
+
+def non_duplicates(tabs: DataFrame) -> DataFrame:
+    """Tabs that are no duplicate of another."""
+    return tabs.join(tabs.where("duplicate_of is not null").select("id"), "id", "left_anti")
+
+
+def export_tables(tabs: DataFrame, groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tabs, groups, edges) of an export document: ids are positions, groups' ids their digits, members and ends that aren't known don't come out."""
+    at = positions(tabs)
+    t = tabs.join(at, "id").select(F.col("position").alias("id"), "url", "title", "domain", "canonical_url", "keywords", "simhash", group_number(F.col("group_id")).alias("group_id"))
+    listed = groups.select(F.col("id").alias("group"), F.posexplode("tab_ids").alias("place", "id")).join(at, "id")
+    members = listed.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "position"))), lambda x: x["position"]).alias("tab_ids"))
+    places = positions(groups)
+    g = groups.select("id", "label").join(places, "id").join(members, F.col("id") == F.col("group"), "left").select(F.col("position").alias("id"), "label", F.coalesce("tab_ids", F.array().cast("array<bigint>")).alias("tab_ids"))
+    return t, g, reindex_export(tabs, edges)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
 from ..functions import text, urls
-from ..operators import dedupe, grouping, navigation, similarity
+from ..operators import dedupe, grouping, navigation, plugins, similarity, store
 from ..options import BATCH, LIVE, Options
 
 
@@ -20,14 +20,14 @@ class Graph:
     edges: DataFrame
 
 
-def enrich(tabs: DataFrame, options: Options = BATCH, pages_text: DataFrame | None = None) -> DataFrame:
+def enrich(tabs: DataFrame, options: Options = BATCH, pages_text: DataFrame | None = None, summarizer=None) -> DataFrame:
     """Summary, excerpt, keywords, tokens and simhash of every http(s) tab; others get the error unsupported_url and nothing else.
 
     ``pages_text`` (url, text) holds readable texts; without it (or with no_crawl) only titles are used. A later tab of a page inherits what the first one found."""
     rows = tabs.withColumn("http", urls.is_http(F.col("url")))
     crawled = pages_text is not None and not options.no_crawl
     if crawled:
-        stored = pages_text.groupBy("url").agg(F.first("text", ignorenulls=True).alias("text"))
+        stored = pages_text.groupBy("url").agg(F.min("text").alias("text"))
         rows = rows.join(stored, "url", "left")
     else:
         rows = rows.withColumn("text", F.lit(None).cast("string"))
@@ -36,7 +36,13 @@ def enrich(tabs: DataFrame, options: Options = BATCH, pages_text: DataFrame | No
     rows = rows.withColumn("body", body)
     summary = text.fallback_summary(F.col("body"), options.summary_sentences) if crawled else F.lit("")
     rows = rows.withColumn("summary", summary).withColumn("summary_source", F.when(F.col("http"), F.lit("fallback" if crawled else "none")))
-    rows = rows.withColumn("text_excerpt", F.when(F.col("http"), F.substring("body", 1, options.excerpt_chars))).withColumn("error", F.when(~F.col("http"), "unsupported_url"))
+    failed = F.lit(None).cast("string")
+    if crawled and summarizer is not None:
+        made = plugins.with_summaries(rows.where("http and body <> ''").select("id", "title", "body"), summarizer, options)
+        made = made.select("id", F.col("summary").alias("made"), F.col("summary_source").alias("made_by"), F.col("error").alias("made_error"))
+        rows = rows.join(made, "id", "left").withColumn("summary", F.coalesce("made", "summary")).withColumn("summary_source", F.coalesce("made_by", "summary_source"))
+        failed = F.col("made_error")
+    rows = rows.withColumn("text_excerpt", F.when(F.col("http"), F.substring("body", 1, options.excerpt_chars))).withColumn("error", F.when(~F.col("http"), "unsupported_url").otherwise(failed)).drop("made", "made_by", "made_error")
     if options.dialect == "live":
         key_text = analysis = F.concat_ws(" ", title, F.col("body"))
     else:
@@ -88,8 +94,28 @@ def build(tabs: DataFrame, options: Options = BATCH, navigations: DataFrame | No
     return Graph(out if options.store_embeddings else out.drop("embedding"), groups, edges)
 
 
-def build_batch(tabs: DataFrame, pages_text: DataFrame | None = None, options: Options = BATCH, every_pair: bool = True) -> Graph:
-    return build(inherit(enrich(tabs, options, pages_text)), options, every_pair=every_pair)
+def from_cache(tabs: DataFrame, cache: DataFrame, options: Options = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(found, left): tabs enriched by a cache's entries, with their tokens, and those without an entry as they are."""
+    rows = checkpoint(store.overlay_cache(tabs, cache, options.embed_model))  # read twice
+    found = rows.where("cached").drop("cached").withColumn("error", F.when(~urls.is_http(F.col("url")), "unsupported_url"))
+    analysis = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("text_excerpt", F.lit("")))
+    none = F.array().cast("array<string>")
+    found = found.withColumn("tokens", F.when(urls.is_http(F.col("url")), text.tokens(analysis, options.dialect, options.extra_stopwords)).otherwise(none)).withColumn("keywords", F.coalesce("keywords", none))
+    return found, tabs.join(rows.where("cached").select("id"), "id", "left_anti")
+
+
+def build_batch(tabs: DataFrame, pages_text: DataFrame | None = None, options: Options = BATCH, every_pair: bool = True, cache: DataFrame | None = None, summarizer=None, embedder=None) -> Graph:
+    """A whole build: entries of a cache (unless options.refresh), texts of pages for the others, summaries and embeddings from models where they are given (see ``operators.plugins``)."""
+    if cache is not None and not options.refresh:
+        found, left = from_cache(tabs, cache, options)
+        rows = found.unionByName(enrich(left, options, pages_text, summarizer), allowMissingColumns=True)
+    else:
+        rows = enrich(tabs, options, pages_text, summarizer)
+    rows = inherit(rows)
+    if embedder is not None:
+        rows = rows if "embedding" in rows.columns else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+        rows = checkpoint(plugins.with_embeddings(rows.withColumn("embedding_error", F.lit(None).cast("string")), embedder, options))
+    return build(rows, options, every_pair=every_pair)
 
 
 def rebuild_live(tabs: DataFrame, navigations: DataFrame, options: Options = LIVE, every_pair: bool = True) -> Graph:

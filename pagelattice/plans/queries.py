@@ -129,6 +129,33 @@ def idf(spark, d):
     return grouping.idf(_doc_tokens(spark, d)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+@query
+def enrich(spark, d):
+    """The enrichment stage over whole texts: the documents stand for the stored texts of the pages."""
+    from . import pipeline
+
+    pages = _t(spark, d, "documents").where("url is not null").select("url", "text")
+    tabs = _t(spark, d, "tabs").where("id is not null").select("id", "url", "title", "domain")
+    return pipeline.enrich(tabs, BATCH, pages).select("id", "summary", "summary_source", "text_excerpt", "error", _joined("keywords").alias("keywords"), "simhash")
+
+
+@query
+def export_groups(spark, d):
+    _, groups, _ = store.export_tables(_t(spark, d, "tabs").where("duplicate_of is null"), _t(spark, d, "tab_groups"), _t(spark, d, "edges"))
+    return groups.select("id", "label", _joined(F.col("tab_ids").cast("array<string>"), ",").alias("tab_ids"))
+
+
+@query
+def page_ids(spark, d):
+    page = urls.canonical_url(F.col("url"), "live")
+    return _t(spark, d, "tabs").where(urls.is_http(F.col("url"))).select(page.alias("p"), store.page_id(page).alias("i")).agg(F.count_distinct("p").alias("pages"), F.count_distinct("i").alias("ids"))
+
+
+@query
+def escaped_titles(spark, d):
+    return _t(spark, d, "tabs").where("title is not null").select("id", graph_views.escape_html(F.col("title")).alias("shown"))
+
+
 @query
 def enrich_columns(spark, d):
     rows = _t(spark, d, "tabs").where("id is not null")
@@ -307,9 +334,7 @@ def group_list(spark, d):
 
 @query
 def group_members(spark, d):
-    rows = graph_views.exploded_groups(_t(spark, d, "tab_groups"))
-    tabs = _t(spark, d, "tabs").select(F.col("id").alias("tab_id"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.when(F.col("url") != "", F.col("url")), F.lit("(untitled)")).alias("shown"))
-    return rows.join(tabs, "tab_id").select("group_id", "pos", "tab_id", "shown")
+    return graph_views.group_members(_t(spark, d, "tab_groups"), _t(spark, d, "tabs"))
 
 
 @query
@@ -373,6 +398,12 @@ def nav_first_visits(spark, d):
     return navigation.first_visits(_t(spark, d, "browser_events")).withColumn("ts", F.unix_micros("ts"))
 
 
+@query
+def nav_seeded(spark, d):
+    """First visits where the address that a tab leaves opens its session."""
+    return navigation.first_visits(_t(spark, d, "browser_events"), seed=True).withColumn("ts", F.unix_micros("ts"))
+
+
 @query
 def nav_edges(spark, d):
     return navigation.navigation_edges(navigation.first_visits(_t(spark, d, "browser_events")), _t(spark, d, "tabs")).withColumn("ts", F.unix_micros("ts"))
@@ -467,8 +498,7 @@ def input_limit(spark, d):
 
 @query
 def lookup_by_address(spark, d):
-    rows = _t(spark, d, "tabs").where("id is not null and canonical_url is not null")
-    return rows.groupBy("canonical_url").agg(F.min_by(F.struct("id", "title"), "id").alias("t")).select("canonical_url", "t.id", "t.title")
+    return store.first_of(_t(spark, d, "tabs"), "canonical_url", ["title"])
 
 
 @query
@@ -479,8 +509,7 @@ def update_groups(spark, d):
 
 @query
 def non_duplicates(spark, d):
-    rows = _t(spark, d, "tabs")
-    return rows.join(rows.where("duplicate_of is not null").select("id"), "id", "left_anti").select("id", "domain")
+    return store.non_duplicates(_t(spark, d, "tabs")).select("id", "domain")
 
 
 @query

@@ -169,6 +169,23 @@ um0 AS (SELECT COALESCE(canonical_url, url) AS address, id FROM ct UNION ALL SEL
 al AS (SELECT a AS source, b AS target, round(score, 3)::DOUBLE AS weight, CASE WHEN same THEN 'similarity+domain' ELSE 'similarity' END AS reason, NULL::TIMESTAMP AS ts FROM allp WHERE score >= 0.2 UNION ALL
   SELECT a.tab_id, b.tab_id, 1.0, 'navigation', ts::TIMESTAMP FROM nav JOIN um a ON a.address = source_url JOIN um b ON b.address = target_url WHERE a.tab_id <> b.tab_id), {_MERGED}"""
 
+_SEEDED = _VISITS.replace("AND (event = 'updated' OR", "AND (event = 'updated' OR (event = 'before_navigate' AND COALESCE(frame_id, 0) = 0) OR").replace(
+    "lagd AS (SELECT *,", """kept AS (SELECT * FROM epo WHERE NOT closed QUALIFY event <> 'before_navigate' OR row_number() OVER (PARTITION BY tab_id, session ORDER BY ts, event, canonical, transition_type NULLS FIRST) = 1),
+lagd AS (SELECT *,""").replace("FROM epo WHERE NOT closed)", "FROM kept)")
+_SENTENCES = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' ')"
+_ENRICHED = f"""WITH pages AS (SELECT url, min(text) AS text FROM documents WHERE url IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+t0 AS (SELECT id, tabs.url, COALESCE(title, '') AS title, COALESCE({_HTTP.replace('url', 'tabs.url')}, FALSE) AS http, COALESCE(text, '') AS text FROM tabs LEFT JOIN pages ON pages.url = tabs.url WHERE id IS NOT NULL),
+t1 AS (SELECT *, CASE WHEN len(text) <= 6000 THEN text WHEN contains(substr(text, 1, 5999), ' ') AND 5999 - instr(reverse(substr(text, 1, 5999)), ' ') > 200
+  THEN substr(text, 1, 5999 - instr(reverse(substr(text, 1, 5999)), ' ')) ELSE substr(text, 1, 5999) END AS body FROM t0),
+t2 AS (SELECT *, {_SENTENCES} AS summary, substr(body, 1, 400) AS excerpt FROM t1),
+kt AS (SELECT id, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT id, {_tokens("title || ' ' || summary")} AS x FROM t2 WHERE http)),
+kr AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos)) AS r FROM kt GROUP BY id, term),
+kw AS (SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM kr WHERE r <= 8 GROUP BY 1),
+st AS (SELECT id, unnest({_tokens("title || ' ' || summary || ' ' || excerpt")}) AS term FROM t2 WHERE http), ct AS (SELECT id, term, count(*) AS c FROM st GROUP BY 1, 2),
+hs AS (SELECT id, c, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM ct), b AS (SELECT id, {_BIT_SUMS} FROM hs GROUP BY id), v AS (SELECT id, {_BIT_OR} AS u FROM b)
+SELECT t2.id, summary, CASE WHEN http THEN 'fallback' END AS summary_source, CASE WHEN http THEN excerpt END AS text_excerpt, CASE WHEN NOT http THEN 'unsupported_url' END AS error,
+  COALESCE(keywords, '') AS keywords, {_SIGNED} AS simhash FROM t2 LEFT JOIN kw USING (id) LEFT JOIN v USING (id)"""
+
 ORACLE: dict[str, str] = {
     "simhash_live": f"""WITH doc AS (SELECT doc_id AS id, {_live_tokens('text')} AS tokens FROM documents), ct AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(tokens) AS term FROM doc) GROUP BY 1, 2),
         words AS (SELECT term, list_transform(string_split(term, ''), lambda x: ascii(x)::BIGINT) AS cs FROM (SELECT DISTINCT term FROM ct)),
@@ -272,6 +289,13 @@ ORACLE: dict[str, str] = {
     "search_panel_tabs": """SELECT id FROM tabs WHERE duplicate_of IS NULL AND contains(domain, 'test') AND len(list_filter(keywords, lambda k: contains(k, 'review'))) > 0
         AND (contains(lower(COALESCE(title, '')), 'review') OR contains(lower(COALESCE(url, '')), 'review'))""",
     "nav_first_visits": f"WITH {_VISITS} SELECT * REPLACE (epoch_us(ts) AS ts) FROM nav",
+    "nav_seeded": f"""WITH {_SEEDED} SELECT * REPLACE (epoch_us(ts) AS ts) FROM nav""",
+    "export_groups": """WITH p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM tabs WHERE duplicate_of IS NULL AND id IS NOT NULL),
+        m AS (SELECT g.id, label, unnest(tab_ids) AS t, generate_subscripts(tab_ids, 1) AS pos FROM tab_groups g), k AS (SELECT m.id, string_agg(p.p::VARCHAR, ',' ORDER BY pos) AS tab_ids FROM m JOIN p ON p.id = m.t GROUP BY 1)
+        SELECT (row_number() OVER (ORDER BY g.id) - 1)::BIGINT AS id, label, COALESCE(k.tab_ids, '') AS tab_ids FROM tab_groups g LEFT JOIN k ON k.id = g.id""",
+    "escaped_titles": """SELECT id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') AS shown FROM tabs WHERE title IS NOT NULL""",
+    "enrich": _ENRICHED,
+    "page_ids": f"WITH {_canonical('SELECT id AS k, url FROM tabs WHERE ' + _HTTP, True)} SELECT count(DISTINCT canonical)::BIGINT AS pages, count(DISTINCT canonical)::BIGINT AS ids FROM canon",
     "nav_edges": f"""WITH {_VISITS}, um0 AS (SELECT COALESCE(canonical_url, url) AS address, id FROM tabs UNION ALL SELECT url, id FROM tabs), um AS (SELECT address, max(id) AS tab_id FROM um0 WHERE address IS NOT NULL GROUP BY 1)
         SELECT a.tab_id AS source, b.tab_id AS target, 1.0::DOUBLE AS weight, 'navigation' AS reason, epoch_us(ts) AS ts FROM nav JOIN um a ON a.address = source_url JOIN um b ON b.address = target_url WHERE a.tab_id <> b.tab_id""",
     "edge_merge": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY reason <> 'navigation', ts NULLS FIRST, source, target, reason, COALESCE(weight, 0) DESC) AS r

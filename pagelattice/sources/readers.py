@@ -150,3 +150,40 @@ def fetch_pages(tabs: DataFrame, fetch, partitions: int = 64) -> DataFrame:
             yield pd.DataFrame({"url": batch["url"], "html": html, "error": errors})
 
     return wanted.mapInPandas(run, "url string, html string, error string")
+
+
+def is_html(content_type: str | None) -> bool:
+    """Whether a content type says that a page is HTML."""
+    kind = (content_type or "").lower()
+    return "text/html" in kind or "application/xhtml+xml" in kind
+
+
+def http_fetcher(timeout: int = 20, user_agent: str | None = None):
+    """fetch(url) -> html for ``fetch_pages``, by the standard library: other content types give an empty text, failures raise."""
+
+    def fetch(url: str) -> str:
+        from urllib.request import Request, urlopen
+
+        with urlopen(Request(url, headers={"User-Agent": user_agent} if user_agent else {}), timeout=timeout) as answer:  # noqa: S310 — only http(s) addresses reach this
+            if not is_html(answer.headers.get("content-type")):
+                return ""
+            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+    return fetch
+
+
+def open_tabs(tabs: DataFrame) -> DataFrame:
+    """(canonical_url, url, title, domain, browser_tab): the snapshot of tabs (tab_id, url, title) open at the start, http(s) only, one row per page; the tab given last shows it."""
+    rows = tabs.where(urls.is_http(F.col("url"))).select(urls.canonical_url(F.col("url"), "live").alias("canonical_url"), "url", "title", urls.domain(F.col("url"), "live").alias("domain"), F.col("tab_id").alias("browser_tab"))
+    return rows.groupBy("canonical_url").agg(F.max_by(F.struct("url", "title", "domain", "browser_tab"), "browser_tab").alias("p")).select("canonical_url", "p.*")
+
+
+def read_some(sources: list) -> tuple[list[DataFrame], list[str]]:
+    """What several sources (functions without arguments that give a DataFrame) give, and the errors of those that fail: one browser's failure doesn't stop the others."""
+    found, errors = [], []
+    for source in sources:
+        try:
+            found.append(source())
+        except Exception as e:  # noqa: BLE001 — any failure of a source is that source's error
+            errors.append(str(e))
+    return found, errors
