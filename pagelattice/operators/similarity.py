@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpoint
 
 BLOCK = 4096
+# Records of one keyword that meet in one task at most (twice); more are cut into blocks that meet pairwise.
+HOT = 20_000
 
 
 def keyword_sets(tabs: DataFrame) -> DataFrame:
@@ -54,9 +56,12 @@ def _jaccard(sets: DataFrame, threshold: float, same_domain: bool | None, withou
     df = items.groupBy("k").agg(F.count("*").alias("df"))
     ordered = items.join(df, "k").groupBy("id", "domain", "n", "dims").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("e"))
     length = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1) if threshold > 0 else F.col("n")
-    prefix = ordered.select("id", "domain", "n", "dims", F.explode(F.slice("e", F.lit(1), F.least(length, F.col("n")))).alias("e")).select("id", "domain", "n", "dims", F.col("e.k").alias("k"))
+    prefix = ordered.select("id", "domain", "n", "dims", F.explode(F.slice("e", F.lit(1), F.least(length, F.col("n")))).alias("e")).select("id", "domain", "n", "dims", F.col("e.k").alias("k"), F.ceil(F.col("e.df") / HOT).cast("int").alias("blocks"))
+    prefix = prefix.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    prefix = prefix.select("id", "domain", "n", "dims", "k", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
+    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
+    on = on & ((F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own")))  # two blocks meet in one cell only
     if same_domain is not None:
         equal = (F.col("x.domain") == F.col("y.domain")) & (F.col("x.domain") != "")
         on = on & (equal if same_domain else ~equal)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -486,6 +487,37 @@ def windows_flatten(spark, d):
     return flatten_windows(_windows(spark, d)).select("id", "url", "title", "browser", "window_id", "domain")
 
 
+@query
+def html_pages(spark, d):
+    """Documents put into pages with a menu and a canonical link, and read back by the HTML functions."""
+    from ..functions import html
+
+    safe = lambda c: graph_views.escape_html(F.coalesce(c, F.lit("")))
+    page = F.concat(
+        F.lit("<html><head><title>"), safe(F.col("title")), F.lit('</title><link rel="canonical" href="'), safe(F.col("url")), F.lit('"></head><body><nav>Home | About</nav><script>var x = "<p>";</script><main><p>'),
+        safe(F.col("text")), F.lit("</p></main><footer>Imprint</footer></body></html>"),
+    )
+    pages = _t(spark, d, "documents").where("url is not null").select("doc_id", "url", page.alias("html"))
+    read = pages.select("doc_id", html.page_content_udf("html", "url")["title"].alias("title"), html.readable_text_udf("html").alias("readable"), html.canonical_link_udf("html", "url").alias("canonical"))
+    return read
+
+
+@query
+def session_tabs(spark, d):
+    """Tabs packed into compressed session files, one per window, and read back with the history entry each tab shows."""
+    from ..sources import lz4, readers
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return text.map(lz4.encode_literal)
+
+    tabs = _t(spark, d, "tabs").where("id is not null and url <> ''")
+    shown = F.struct(F.lit(2).alias("index"), F.array(F.struct(F.lit("https://before.test/").alias("url"), F.lit("before").alias("title")), F.struct("url", F.coalesce("title", F.lit("")).alias("title"))).alias("entries"))
+    files = tabs.groupBy("browser", "window_id").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(shown).alias("tabs"))).alias("windows"))).alias("text"))
+    files = files.select(F.concat_ws("/", "browser", "window_id").alias("profile"), packed("text").alias("content"))
+    return readers.read_sessions(files).select(F.explode("tabs").alias("t")).groupBy(F.col("t.url").alias("url"), F.col("t.title").alias("title")).agg(F.count("*").alias("times"))
+
+
 @query
 def tab_totals(spark, d):
     return _windows(spark, d).groupBy("browser").agg(F.sum(F.size("tabs")).alias("tabs"), F.count("*").alias("windows"))

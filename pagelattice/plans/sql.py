@@ -310,6 +310,9 @@ ORACLE: dict[str, str] = {
     "windows_flatten": f"""WITH w AS (SELECT *, min(id) OVER (PARTITION BY browser, window_id) AS wp FROM tabs WHERE id IS NOT NULL),
         k AS (SELECT regexp_replace(COALESCE(url, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS url, regexp_replace(COALESCE(title, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, browser, window_id, wp, id AS i FROM w WHERE regexp_replace(COALESCE(url, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') <> '')
         SELECT row_number() OVER (ORDER BY wp, i) - 1 AS id, url, title, browser, window_id, COALESCE({_DOMAIN}, '') AS domain FROM k""",
+    "html_pages": r"""SELECT doc_id, trim(regexp_replace(COALESCE(title, ''), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')) AS title, trim(regexp_replace(COALESCE(text, ''), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')) AS readable, url AS canonical
+        FROM documents WHERE url IS NOT NULL""",
+    "session_tabs": "SELECT url, COALESCE(title, '') AS title, count(*)::BIGINT AS times FROM tabs WHERE id IS NOT NULL AND url <> '' GROUP BY ALL",
     "tab_totals": "WITH w AS (SELECT browser, window_id, count(*) AS n FROM tabs WHERE id IS NOT NULL GROUP BY ALL) SELECT browser, sum(n)::BIGINT AS tabs, count(*)::BIGINT AS windows FROM w GROUP BY 1",
     "input_limit": "SELECT id, url FROM tabs WHERE id IS NOT NULL ORDER BY id LIMIT 100",
     "lookup_by_address": "SELECT canonical_url, min(id) AS id, arg_min_null(title, id) AS title FROM tabs WHERE id IS NOT NULL AND canonical_url IS NOT NULL GROUP BY 1",

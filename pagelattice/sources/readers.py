@@ -115,15 +115,23 @@ def unsigned(simhash) -> object:
     return F.when(simhash < 0, whole + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole).cast("string")
 
 
-def write_graph(tabs: DataFrame, groups: DataFrame, edges: DataFrame, path: str, generated_at: str, source: str = "pagelattice") -> None:
-    """One JSON document (for graphs that a browser can show); tables of any size belong into Parquet."""
+def write_graph(tabs: DataFrame, groups: DataFrame, edges: DataFrame, path: str, generated_at: str, source: str = "pagelattice", max_rows: int = 300_000) -> str:
+    """One JSON document for graphs that a browser can show; beyond ``max_rows`` tabs and edges, which no driver should hold, a folder of JSON lines per table (``path``.d), written by the executors. Returns where it is."""
     from ..operators.graph_views import graph_stats
 
-    as_json = lambda df: [json.loads(x) for x in df.toJSON().toLocalIterator()]
     shown = tabs.drop("tokens", "embedding").withColumn("simhash", unsigned(F.col("simhash")))
-    doc = {"schema_version": 1, "generated_at": generated_at, "source": source, "stats": graph_stats(tabs, groups, edges).first().asDict(), "tabs": as_json(shown.orderBy("id")), "groups": as_json(groups.orderBy("id")), "edges": as_json(edges.orderBy("source", "target"))}
+    stats = graph_stats(tabs, groups, edges).first().asDict()
+    head = {"schema_version": 1, "generated_at": generated_at, "source": source, "stats": stats}
+    if stats["tab_count"] + stats["edge_count"] > max_rows:
+        spark = tabs.sparkSession
+        for name, table in (("tabs", shown), ("groups", groups), ("edges", edges), ("head", spark.createDataFrame([(json.dumps(head),)], "document string"))):
+            table.write.mode("overwrite").json(f"{path}.d/{name}")
+        return f"{path}.d"
+    as_json = lambda df: [json.loads(x) for x in df.toJSON().toLocalIterator()]
+    doc = {**head, "tabs": as_json(shown.orderBy("id")), "groups": as_json(groups.orderBy("id")), "edges": as_json(edges.orderBy("source", "target"))}
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(doc, ensure_ascii=False, indent=2), encoding="utf-8")
+    return path
 
 
 def join_pages(tabs: DataFrame, pages: DataFrame) -> DataFrame:

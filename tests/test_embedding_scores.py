@@ -89,3 +89,12 @@ def test_no_embeddings_at_all(spark):
     _, df = tabs_of(spark, 40)
     assert similarity.similarity_edges(df.drop("embedding")).count() > 0
     assert similarity.nearest(df.where("false")).count() == 0
+
+
+def test_hot_keywords_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 15)
+    rows = [(i, None, ["hot", f"k{i % 7}", f"m{i % 11}"], None) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.a, r.b) for r in similarity.jaccard_pairs(df, 0.5).collect()}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(set(rows[i][2]) & set(rows[j][2])) >= 0.5 * len(set(rows[i][2]) | set(rows[j][2]))}
+    assert got == want and similarity.jaccard_pairs(df, 0.5).count() == len(want)

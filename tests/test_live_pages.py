@@ -106,3 +106,13 @@ def test_build_with_pages_cache_and_models(spark, tmp_path, monkeypatch):
     assert again[0].summary == first[0].summary and again[0].keywords == first[0].keywords and again[0].simhash == first[0].simhash and again[1].embedding == [1.0, 0.5] and again[2].error == "unsupported_url"
     fresh = {r.id: r for r in build_batch(tabs, None, Options(refresh=True), cache=cache).tabs.collect()}
     assert fresh[0].summary == ""
+
+
+def test_large_graphs_are_written_by_the_executors(spark, tmp_path):
+    tabs = spark.createDataFrame([(i, f"https://a.test/{i}", None, 5, None, None, "a.test") for i in range(30)], "id long, url string, error string, simhash long, embedding_error string, duplicate_of long, domain string")
+    groups = spark.createDataFrame([(0, "x", [1, 2], 2)], "id long, label string, tab_ids array<long>, size int")
+    edges = spark.createDataFrame([(1, 2, 0.5, "similarity")], "source long, target long, weight double, reason string")
+    small = readers.write_graph(tabs, groups, edges, str(tmp_path / "g.json"), "now")
+    large = readers.write_graph(tabs, groups, edges, str(tmp_path / "h.json"), "now", max_rows=10)
+    assert small.endswith("g.json") and large.endswith("h.json.d")
+    assert spark.read.json(f"{large}/tabs").count() == 30 and spark.read.json(f"{large}/edges").first().target == 2
