@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -518,6 +519,78 @@ def session_tabs(spark, d):
     return readers.read_sessions(files).select(F.explode("tabs").alias("t")).groupBy(F.col("t.url").alias("url"), F.col("t.title").alias("title")).agg(F.count("*").alias("times"))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder beside the checkpoints, for what a query writes and reads back."""
+    from ..checkpoints import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def backup_round_trip(spark, d):
+    """Window lists written as a backup, read again and flattened."""
+    from ..sources import readers, writers
+
+    path = _scratch(spark, "backup")
+    writers.write_backup(_windows(spark, d), path)
+    return readers.flatten_windows(spark.read.schema(readers.WINDOWS).json(path)).select("url", "title", "browser", "window_id", "domain").groupBy("url", "title", "browser", "window_id", "domain").agg(F.count("*").alias("times"))
+
+
+@query
+def graph_document(spark, d):
+    """The stored graph written as documents and its tabs read back from them."""
+    from ..sources import readers
+
+    tabs = _t(spark, d, "tabs").where("id is not null")
+    groups = _t(spark, d, "tab_groups").select("id", "label", "tab_ids", F.size("tab_ids").alias("size"))
+    path = readers.write_graph(tabs.drop("embedding"), groups, _t(spark, d, "edges").drop("ts"), f"{_scratch(spark, 'graph')}/graph.json", "2025-01-01T00:00:00Z")
+    read = readers.read_graph(spark, path)[0] if path.endswith(".json") else readers.read_graph_lines(spark, path)[0]
+    return read.select("id", "url", "summary", "simhash", "group_id")
+
+
+@query
+def graph_tables(spark, d):
+    """Tabs, groups and edges put in place of an older graph, and what the pointer shows then."""
+    from types import SimpleNamespace
+
+    from ..sources import writers
+
+    path = _scratch(spark, "tables")
+    tables = {"tabs": _t(spark, d, "tabs"), "groups": _t(spark, d, "tab_groups"), "edges": _t(spark, d, "edges")}
+    writers.replace_graph(SimpleNamespace(**{n: t.where("false") for n, t in tables.items()}), path)
+    writers.replace_graph(SimpleNamespace(**tables), path)
+    writers.truncate(spark, f"{path}/groups")
+    now = {n: writers.read_current(spark, f"{path}/{n}") for n in tables}
+    return now["tabs"].agg(F.count("*").alias("tabs")).crossJoin(now["groups"].agg(F.count("*").alias("groups"))).crossJoin(now["edges"].agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")))  # one row each
+
+
+@query
+def model_summaries(spark, d):
+    """Summaries by a model that says how long its prompt is and fails at prompts of an odd length."""
+    from ..operators import plugins
+
+    def make():
+        def summarize(prompt: str) -> str:
+            if len(prompt) % 2:
+                raise ValueError("odd")
+            return f"{len(prompt)} characters"
+
+        return summarize
+
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body"))
+    return plugins.with_summaries(rows, make).select("id", "summary", "summary_source", "error")
+
+
+@query
+def model_embeddings(spark, d):
+    """Embeddings, by a model that counts characters, of the tabs that have none."""
+    from ..operators import plugins
+
+    tabs = _t(spark, d, "tabs").select("id", "title", "summary", "domain", "text_excerpt", "embedding", "embedding_error")
+    made = plugins.with_embeddings(tabs, lambda: lambda texts: [[float(len(t))] for t in texts])
+    return made.select("id", F.size("embedding").alias("dims"), F.when(F.size("embedding") == 1, F.col("embedding")[0]).alias("characters"), "embedding_error")
+
+
 @query
 def tab_totals(spark, d):
     return _windows(spark, d).groupBy("browser").agg(F.sum(F.size("tabs")).alias("tabs"), F.count("*").alias("windows"))

@@ -173,10 +173,11 @@ _SEEDED = _VISITS.replace("AND (event = 'updated' OR", "AND (event = 'updated' O
     "lagd AS (SELECT *,", """kept AS (SELECT * FROM epo WHERE NOT closed QUALIFY event <> 'before_navigate' OR row_number() OVER (PARTITION BY tab_id, session ORDER BY ts, event, canonical, transition_type NULLS FIRST) = 1),
 lagd AS (SELECT *,""").replace("FROM epo WHERE NOT closed)", "FROM kept)")
 _SENTENCES = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' ')"
+_CLIPPED = """CASE WHEN len(text) <= 6000 THEN text WHEN contains(substr(text, 1, 5999), ' ') AND 5999 - instr(reverse(substr(text, 1, 5999)), ' ') > 200
+  THEN substr(text, 1, 5999 - instr(reverse(substr(text, 1, 5999)), ' ')) ELSE substr(text, 1, 5999) END"""
 _ENRICHED = f"""WITH pages AS (SELECT url, min(text) AS text FROM documents WHERE url IS NOT NULL AND text IS NOT NULL GROUP BY 1),
 t0 AS (SELECT id, tabs.url, COALESCE(title, '') AS title, COALESCE({_HTTP.replace('url', 'tabs.url')}, FALSE) AS http, COALESCE(text, '') AS text FROM tabs LEFT JOIN pages ON pages.url = tabs.url WHERE id IS NOT NULL),
-t1 AS (SELECT *, CASE WHEN len(text) <= 6000 THEN text WHEN contains(substr(text, 1, 5999), ' ') AND 5999 - instr(reverse(substr(text, 1, 5999)), ' ') > 200
-  THEN substr(text, 1, 5999 - instr(reverse(substr(text, 1, 5999)), ' ')) ELSE substr(text, 1, 5999) END AS body FROM t0),
+t1 AS (SELECT *, {_CLIPPED} AS body FROM t0),
 t2 AS (SELECT *, {_SENTENCES} AS summary, substr(body, 1, 400) AS excerpt FROM t1),
 kt AS (SELECT id, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT id, {_tokens("title || ' ' || summary")} AS x FROM t2 WHERE http)),
 kr AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(pos)) AS r FROM kt GROUP BY id, term),
@@ -313,6 +314,16 @@ ORACLE: dict[str, str] = {
     "html_pages": r"""SELECT doc_id, trim(regexp_replace(COALESCE(title, ''), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')) AS title, trim(regexp_replace(COALESCE(text, ''), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')) AS readable, url AS canonical
         FROM documents WHERE url IS NOT NULL""",
     "session_tabs": "SELECT url, COALESCE(title, '') AS title, count(*)::BIGINT AS times FROM tabs WHERE id IS NOT NULL AND url <> '' GROUP BY ALL",
+    "backup_round_trip": f"""WITH k AS (SELECT regexp_replace(COALESCE(url, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS url, regexp_replace(COALESCE(title, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, browser, window_id FROM tabs WHERE id IS NOT NULL)
+        SELECT url, title, browser, window_id, COALESCE({_DOMAIN}, '') AS domain, count(*)::BIGINT AS times FROM k WHERE url <> '' GROUP BY ALL""",
+    "graph_document": "SELECT id, url, summary, simhash, group_id FROM tabs WHERE id IS NOT NULL",
+    "graph_tables": "SELECT (SELECT count(*) FROM tabs)::BIGINT AS tabs, 0::BIGINT AS groups, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT sum(weight) FROM edges) AS weight",
+    "model_summaries": f"""WITH t0 AS (SELECT doc_id AS id, title, COALESCE(text, '') AS text FROM documents), t1 AS (SELECT *, {_CLIPPED} AS body FROM t0),
+        p AS (SELECT *, len('Summarize the page in 2-3 sentences. Focus on what it is about and why it matters.' || chr(10) || 'Title: ' || CASE WHEN COALESCE(title, '') = '' THEN 'Untitled' ELSE title END || chr(10) || 'Content:' || chr(10) || body || chr(10) || chr(10) || 'Summary:') AS n FROM t1)
+        SELECT id, CASE WHEN n % 2 = 0 THEN n || ' characters' ELSE {_SENTENCES} END AS summary, CASE WHEN n % 2 = 0 THEN 'llm' ELSE 'fallback' END AS summary_source, CASE WHEN n % 2 = 1 THEN 'summary_failed: odd' END AS error FROM p""",
+    "model_embeddings": """WITH x AS (SELECT id, embedding, text_excerpt, concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN summary <> '' THEN 'Summary: ' || summary END, CASE WHEN domain <> '' THEN 'Domain: ' || domain END) AS l FROM tabs),
+        y AS (SELECT id, embedding, CASE WHEN l <> '' THEN l ELSE COALESCE(text_excerpt, '') END AS t FROM x)
+        SELECT id, CASE WHEN embedding IS NOT NULL THEN len(embedding) WHEN t <> '' THEN 1 END::INTEGER AS dims, CASE WHEN embedding IS NULL AND t <> '' THEN len(t)::DOUBLE WHEN len(embedding) = 1 THEN embedding[1] END AS characters, NULL::VARCHAR AS embedding_error FROM y""",
     "tab_totals": "WITH w AS (SELECT browser, window_id, count(*) AS n FROM tabs WHERE id IS NOT NULL GROUP BY ALL) SELECT browser, sum(n)::BIGINT AS tabs, count(*)::BIGINT AS windows FROM w GROUP BY 1",
     "input_limit": "SELECT id, url FROM tabs WHERE id IS NOT NULL ORDER BY id LIMIT 100",
     "lookup_by_address": "SELECT canonical_url, min(id) AS id, arg_min_null(title, id) AS title FROM tabs WHERE id IS NOT NULL AND canonical_url IS NOT NULL GROUP BY 1",

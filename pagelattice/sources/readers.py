@@ -103,10 +103,21 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     """(tabs, groups, edges) of a graph document; hashes are read as unsigned text and kept as BIGINT in two's complement."""
     doc = spark.read.schema(GRAPH).option("multiLine", True).json(path)
     tabs = doc.select(F.explode("tabs").alias("t")).select("t.*")
-    whole = F.col("simhash").cast("decimal(20,0)")
-    signed = F.when(whole >= F.lit("9223372036854775808").cast("decimal(20,0)"), whole - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole)
     groups, edges = doc.select(F.explode("groups").alias("g")).select("g.*"), doc.select(F.explode("edges").alias("e")).select("e.*")
-    return tabs.withColumn("simhash", signed.cast("long")), groups, edges.withColumn("ts", F.timestamp_millis("timestamp")).drop("timestamp")
+    return tabs.withColumn("simhash", signed(F.col("simhash"))), groups, edges.withColumn("ts", F.timestamp_millis("timestamp")).drop("timestamp")
+
+
+def read_graph_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tabs, groups, edges) of a folder of JSON lines as ``write_graph`` leaves it for large graphs."""
+    kinds = {f.name: f.dataType.elementType for f in spark.createDataFrame([], GRAPH).schema if f.name in ("tabs", "groups", "edges")}
+    tabs, groups, edges = (spark.read.schema(kinds[name]).json(f"{folder}/{name}") for name in ("tabs", "groups", "edges"))
+    return tabs.withColumn("simhash", signed(F.col("simhash"))), groups, edges.withColumn("ts", F.timestamp_millis("timestamp")).drop("timestamp")
+
+
+def signed(simhash):
+    """A hash in unsigned decimal text as BIGINT in two's complement."""
+    whole = simhash.cast("decimal(20,0)")
+    return F.when(whole >= F.lit("9223372036854775808").cast("decimal(20,0)"), whole - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole).cast("long")
 
 
 def unsigned(simhash) -> object:
@@ -129,11 +140,20 @@ def write_graph(tabs: DataFrame, groups: DataFrame, edges: DataFrame, path: str,
         return f"{path}.d"
     as_json = lambda df: [json.loads(x) for x in df.toJSON().toLocalIterator()]
     doc = {**head, "tabs": as_json(shown.orderBy("id")), "groups": as_json(groups.orderBy("id")), "edges": as_json(edges.orderBy("source", "target"))}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(doc, ensure_ascii=False, indent=2), encoding="utf-8")
+    put_text(tabs.sparkSession, path, json.dumps(doc, ensure_ascii=False, indent=2))
     return path
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one file wherever the cluster's file systems can, folders included."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def join_pages(tabs: DataFrame, pages: DataFrame) -> DataFrame:
     """Tabs with the stored html of their address; error where there is none. Stands for fetching."""
     stored = pages.groupBy("url").agg(F.first("html", ignorenulls=True).alias("html"))

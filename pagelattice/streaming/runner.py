@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..checkpoints import shared_folder
+
 
 def run_once(spark: SparkSession, path: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], name: str, timeout_s: int = 3600) -> DataFrame:
     """Stream a Parquet file or folder through ``transform`` with trigger availableNow and read the sink back.
 
     Sink and checkpoint lie beside the other checkpoints, in the folder that spark.checkpoint.dir names (a private one only in local sessions)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="pagelattice-")
+    shared = shared_folder(spark)
     base = f"{shared}/stream-{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
