@@ -145,3 +145,13 @@ def containers(packed: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, container_id, segments, tokens, loss_tokens, unused) of every container."""
     filled = packed.groupBy("plan_id", "container_id").agg(F.count("*").alias("segments"), F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
     return filled.join(plans.select("plan_id", "capacity_tokens").distinct(), "plan_id").select("plan_id", "container_id", "segments", "tokens", "loss_tokens", (F.col("capacity_tokens") - F.col("tokens")).alias("unused"))
+
+
+def faults(packed: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, documents, overfull, misplaced, split): how many documents a plan holds, and what must be 0: containers beyond the capacity, pieces that overlap or leave a gap in their document, documents within the capacity that were split."""
+    by_doc = packed.groupBy("plan_id", "doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("start_token").alias("starts"), F.sum("tokens").alias("tokens"), F.max(F.col("start_token") + F.col("tokens")).alias("end"))
+    by_doc = by_doc.join(plans.select("plan_id", "capacity_tokens").distinct(), "plan_id")
+    wrong = (F.col("starts") != F.col("pieces")) | (F.col("end") != F.col("tokens"))
+    docs = by_doc.groupBy("plan_id").agg(F.count("*").alias("documents"), F.count_if(wrong).alias("misplaced"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split"))
+    over = containers(packed, plans).groupBy("plan_id").agg(F.count_if(F.col("unused") < 0).alias("overfull"))
+    return docs.join(over, "plan_id").select("plan_id", "documents", "overfull", "misplaced", "split")

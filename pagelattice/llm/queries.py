@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import addresses, components, mixing, near_dup, packing, residue, set_join, toxicity, vptree
-from .common import table
+from .common import checkpoint, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.packed_pieces(table(spark, d, "documents"), plans), plans)
 
 
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plans")
+    return packing.faults(checkpoint(packing.packed_pieces(table(spark, d, "documents"), plans)), plans)
+
+
 def _limited(spark: SparkSession, d: str) -> DataFrame:
     """Under all three limits at once: 95 % of the capacity for loss-bearing tokens, a segment for every 64 tokens."""
     return packing.packed_pieces(table(spark, d, "documents"), table(spark, d, "pack_plans"), segment_tokens=64, loss_share=0.95)
@@ -111,6 +116,14 @@ def p8_total_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(documents, targets, total=mixing.available_tokens(mixing.targeted_documents(documents, targets)))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """(source, short, repeated) for every source with a target and documents: whether it misses as many tokens as its longest document has (less can't be helped where documents aren't cut), and whether a document is repeated beyond the cap."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    longest = mixing.targeted_documents(documents, targets).groupBy("source").agg(F.max("tokens").alias("longest"))
+    rows = mixing.reached_shares(documents, targets).join(longest, "source")
+    return rows.select("source", (F.col("missing_tokens") >= F.col("longest")).alias("short"), (F.col("most_repeats") > F.col("max_repeats")).alias("repeated"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.harmful_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 

@@ -105,7 +105,18 @@ scored AS (
 SELECT query_id, neighbor_id, round(c, 6) AS cosine, r::INTEGER AS rank FROM scored WHERE r <= 5
 """
 
+# What every packing and every mixture has to keep, whatever it chooses.
+P7_FAULTS = """
+SELECT plan_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '')::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS split FROM pack_plans
+"""
+
+P8_FAULTS = r"""
+SELECT DISTINCT lower(trim(m.source, E' \t\n\r ')) AS source, FALSE AS short, FALSE AS repeated FROM mix_targets m JOIN documents d ON lower(trim(d.source, E' \t\n\r ')) = lower(trim(m.source, E' \t\n\r '))
+WHERE d.doc_id IS NOT NULL AND d.text <> '' AND m.target_share > 0
+"""
+
 ORACLE = {
     "p1_found": P1_FOUND, "p1_pages": P1_PAGES, "p2_found": P2_FOUND, "p2_links": P2_LINKS, "p3_found": P3_FOUND,
     "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p6_every_twentieth": P6_EVERY_TWENTIETH,
+    "p7_faults": P7_FAULTS, "p8_faults": P8_FAULTS,
 }
