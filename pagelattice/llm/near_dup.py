@@ -7,7 +7,8 @@ sum of the minima with the box's upper corner does, so whole subtrees are ruled
 One R-tree over all records would have to sit in one task, so the points are sharded first, exactly: with tokens ordered from rare to common, two sets at or above
 the threshold t share one of their first n - ceil(t * n) + 1 tokens, so each class is sent to the shards of just those tokens and each shard
 holds an R-tree. The tokens a set has left from the shard's token on bound the overlap as well: they are one more coordinate of points and boxes. The order comes from a table of token counts in ``CELLS`` hash cells: its size is fixed (4 MB), whatever the corpus, it is
-built from all records, and any order gives the same result. Shards larger than ``block`` are cut into blocks that meet pairwise. Surviving
+built from all records, and any order gives the same result. A token of more than ``block`` classes makes no shard: records whose first shared token it is
+meet by it and their second shared token together, which is far rarer (and in such a shard the same bounds hold). Shards still larger than ``block`` are cut into blocks that meet pairwise. Surviving
 pairs are verified with the exact sets of 64-bit token hashes.
 
 Defined cases: null tokens don't count; null arrays, sets below ``min_tokens`` and null ids take no part; repeated ids count once;
@@ -29,6 +30,8 @@ GROUPS = 32
 CELLS = 1 << 20
 LEAF, FANOUT = 32, 16
 _SATURATED = 255
+# Records of up to so many tokens meet by pairs of tokens where their first shared token is a frequent one; longer ones, which have too many pairs, by blocks of that token.
+PAIRED = 256
 
 
 def token_classes(rows: DataFrame, id_col: str, tokens_col: str, min_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -58,39 +61,91 @@ def count_vectors(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return counts.astype(np.uint8)
 
 
-def _shard_rows(counts, threshold: Fraction, block: int):
+class _Ordered:
+    """The tokens of a batch of classes, of every row from rare to common."""
+
+    def __init__(self, batch: pa.RecordBatch, table: np.ndarray, threshold: Fraction, paired: int):
+        self.paired, self.widest = paired, paired * threshold.denominator // threshold.numerator  # the largest records that meet by pairs only, and as well
+        self.sizes = batch.column("n").to_numpy().astype(np.int64)
+        tokens = batch.column("hashes").flatten().to_numpy()
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        seen = table[tokens % CELLS]
+        order = np.lexsort((tokens, seen, row))
+        self.unordered, self.unordered_row = tokens, row
+        self.row, self.token, self.seen = row, tokens[order], seen[order]
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.rank = np.arange(len(row)) - self.start[row]
+        self.shared = -(-self.sizes * threshold.numerator // threshold.denominator)  # tokens that a partner of any size has to share
+
+    def singles(self, block: int) -> np.ndarray:
+        """Places of the tokens that are shards of their own: those of the first n - c + 1, but for tokens of more than ``block`` classes in records that meet by pairs of tokens instead."""
+        by_pairs = (self.seen > block) & (self.sizes <= self.paired)[self.row] & (self.shared >= 2)[self.row]
+        return np.flatnonzero((self.rank < (self.sizes - self.shared + 1)[self.row]) & (self.seen > 1) & ~by_pairs)
+
+    def pairs(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of (first, second) shared tokens where the first has more than ``block`` classes: two records that share at least two tokens have both among their first n - c + 2."""
+        c = np.maximum(self.shared, 2)
+        first = np.flatnonzero((self.seen > block) & (self.rank < (self.sizes - c + 1)[self.row]) & (self.sizes <= self.widest)[self.row])
+        many = np.maximum((self.start + self.sizes - c + 2)[self.row[first]] - first - 1, 0)
+        a = np.repeat(first, many)
+        return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+
+    def pair_keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64(mix64(self.token[a].view(np.uint64)) * np.uint64(3) + self.token[b].view(np.uint64))
+
+
+def pair_counts(classes: DataFrame, counts, threshold: Fraction, block: int, paired: int) -> np.ndarray:
+    """Number of classes per hash cell of the pairs of tokens that are shards: at most CELLS rows reach the driver."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                o = _Ordered(whole.slice(at, 2048), counts.value, threshold, paired)
+                cells, n = np.unique(o.pair_keys(*o.pairs(block)) % np.uint64(CELLS), return_counts=True)
+                if len(cells):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    got = classes.select("hashes", "n").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int32)
+    out[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def _shard_rows(counts, pair_counts, threshold: Fraction, block: int, paired: int):
     def emit(batches):
-        table = counts.value
-        for batch in batches:
-            sizes = batch.column("n").to_numpy().astype(np.int64)
-            if not len(sizes):
-                continue
-            ids, tokens = batch.column("class_id").to_numpy(), batch.column("hashes").flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            vectors = count_vectors(tokens, row, len(sizes))
-            seen = table[tokens % CELLS]
-            order = np.lexsort((tokens, seen, row))
-            rank = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-            # rank is the position within its row, in the order from rare to common
-            length = sizes + (-sizes * threshold.numerator // threshold.denominator) + 1  # n - ceil(t * n) + 1
-            keep = (rank < np.repeat(length, sizes)) & (seen[order] > 1)
-            picked = order[keep]
-            r, key, many = row[picked], tokens[picked], seen[picked]
-            left = (np.repeat(sizes, sizes) - rank)[keep]
-            blocks = -(-many.astype(np.int64) // block)
-            mine = (mix64(ids[r].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            copies = np.repeat(np.arange(len(picked)), blocks)
-            other = np.arange(len(copies)) - np.repeat(np.concatenate([[0], np.cumsum(blocks)[:-1]]), blocks) if len(copies) else copies
-            own, low, high = mine[copies], np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-            with np.errstate(over="ignore"):
-                shard = mix64(key[copies].view(np.uint64) + low.astype(np.uint64) * np.uint64(0x9E3779B1) + high.astype(np.uint64) * np.uint64(0x85EBCA77C2B2)).view(np.int64)
-            side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int32)
-            at = r[copies]
-            for i in range(0, len(at), 65_536):
-                s = slice(i, i + 65_536)
-                points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(at[s]), [None, pa.py_buffer(np.ascontiguousarray(vectors[at[s]]))]).cast(pa.binary())
-                columns = [pa.array(shard[s]), pa.array(side[s]), pa.array(ids[at[s]]), pa.array(sizes[at[s]].astype(np.int32)), pa.array(left[copies[s]].astype(np.int32)), points]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "side", "class_id", "n", "left", "point"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                yield from rows(whole.slice(at, 2048))
+
+    def rows(batch):
+        if not batch.num_rows:
+            return
+        o = _Ordered(batch, counts.value, threshold, paired)
+        ids = batch.column("class_id").to_numpy()
+        vectors = count_vectors(o.unordered, o.unordered_row, len(o.sizes))
+        one, (first, second) = o.singles(block), o.pairs(block)
+        pair = o.pair_keys(first, second)
+        key = np.concatenate([o.token[one].view(np.uint64), pair])
+        many = np.concatenate([o.seen[one], pair_counts.value[(pair % np.uint64(CELLS)).astype(np.int64)]]).astype(np.int64)
+        place = np.concatenate([one, first])
+        keep = many > 1
+        key, many, place = key[keep], many[keep], place[keep]
+        r, left = o.row[place], o.sizes[o.row[place]] - o.rank[place]
+        blocks = -(-many // block)
+        mine = (mix64(ids[r].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        copies = np.repeat(np.arange(len(key)), blocks)
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks) if len(copies) else copies
+        own, low, high = mine[copies], np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+        with np.errstate(over="ignore"):
+            shard = mix64(key[copies] + low.astype(np.uint64) * np.uint64(0x9E3779B1) + high.astype(np.uint64) * np.uint64(0x85EBCA77C2B2)).view(np.int64)
+        side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int32)
+        at_row = r[copies]
+        for i in range(0, len(at_row), 65_536):
+            s = slice(i, i + 65_536)
+            points = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(at_row[s]), [None, pa.py_buffer(np.ascontiguousarray(vectors[at_row[s]]))]).cast(pa.binary())
+            columns = [pa.array(shard[s]), pa.array(side[s]), pa.array(ids[at_row[s]]), pa.array(o.sizes[at_row[s]].astype(np.int32)), pa.array(left[copies[s]].astype(np.int32)), points]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "side", "class_id", "n", "left", "point"])
 
     return emit
 
@@ -240,12 +295,13 @@ def _pairs_of_shards(shard, side, ids, sizes, left, points, t: float, at_once: i
         yield pairs()
 
 
-def similar_token_classes(classes: DataFrame, threshold: float = 0.7, block: int = 4096) -> DataFrame:
+def similar_token_classes(classes: DataFrame, threshold: float = 0.7, block: int = 4096, paired: int = PAIRED) -> DataFrame:
     """(class_a, class_b, jaccard) for all pairs of different token sets at or above the threshold."""
     exact = Fraction(str(threshold))
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(cell_counts(classes))
-    sharded = classes.select("class_id", "hashes", "n").mapInArrow(_shard_rows(counts, exact, block), "shard long, side int, class_id long, n int, left int, point binary")
+    pairs_held = spark.sparkContext.broadcast(pair_counts(classes, counts, exact, block, paired))
+    sharded = classes.select("class_id", "hashes", "n").mapInArrow(_shard_rows(counts, pairs_held, exact, block, paired), "shard long, side int, class_id long, n int, left int, point binary")
     found = sharded.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(_search_shards(float(threshold)), "class_a long, class_b long").distinct()
     left = classes.select(F.col("class_id").alias("class_a"), F.col("hashes").alias("x"))
     right = classes.select(F.col("class_id").alias("class_b"), F.col("hashes").alias("y"))
@@ -254,12 +310,12 @@ def similar_token_classes(classes: DataFrame, threshold: float = 0.7, block: int
     return pairs.where(F.col("shared") * F.lit(exact.denominator) >= union * F.lit(exact.numerator)).select("class_a", "class_b", (F.col("shared") / union).alias("jaccard"))
 
 
-def near_duplicate_pairs(rows: DataFrame, id_col: str = "id", tokens_col: str = "tokens", threshold: float = 0.7, min_tokens: int = 10, block: int = 4096) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, id_col: str = "id", tokens_col: str = "tokens", threshold: float = 0.7, min_tokens: int = 10, block: int = 4096, paired: int = PAIRED) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records at or above the threshold, copies included."""
     repeated, classes = token_classes(rows, id_col, tokens_col, min_tokens)
     single = classes.where("copies = 1").select(F.col("class_id").alias("id"), "class_id")
     members = single.unionByName(repeated.select("id", "class_id"))
-    links = similar_token_classes(classes, threshold, block).select("class_a", "class_b")
+    links = similar_token_classes(classes, threshold, block, paired).select("class_a", "class_b")
     a, b = members.select(F.col("id").alias("x"), F.col("class_id").alias("class_a")), members.select(F.col("id").alias("y"), F.col("class_id").alias("class_b"))
     again = repeated.select(F.col("id").alias("x"), "class_id").join(repeated.select(F.col("id").alias("y"), "class_id"), "class_id").where("x < y").select("x", "y")
     pairs = links.join(a, "class_a").join(b, "class_b").select("x", "y").unionByName(again)

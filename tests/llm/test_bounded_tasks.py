@@ -40,3 +40,20 @@ def test_relaxed_search_reports_its_recall_and_share(spark):
     s = vptree.compared_share(tabs, asked, factor=0.5, leaf=16).first()
     assert r.queries == 40 and r.exact == 200 and r.recall >= 0.9 and 0 < s.compared < s.pairs == 40 * 800
     assert vptree.recall(tabs, asked, factor=1.0, leaf=16).first().recall == 1.0
+
+
+def test_frequent_tokens_meet_by_pairs(spark):
+    rng = np.random.default_rng(11)
+    base = [rng.choice(60, size=n, replace=False) for n in (10, 12, 14, 20, 30, 12, 11)]
+    rows = []
+    for i in range(420):
+        b = base[i % 7].copy()
+        for _ in range(rng.integers(0, 4)):
+            b[rng.integers(len(b))] = rng.integers(60)
+        rows.append((i, [f"t{x}" for x in b]))
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    sets = [set(t) for _, t in rows]
+    for threshold, least in ((0.7, 10), (0.5, 1)):
+        want = {(i, j) for i in range(420) for j in range(i + 1, 420) if min(len(sets[i]), len(sets[j])) >= least and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
+        for paired in (256, 12, 1):
+            assert {tuple(r) for r in near_dup.near_duplicate_pairs(df, threshold=threshold, min_tokens=least, block=20, paired=paired).collect()} == want
