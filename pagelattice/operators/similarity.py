@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpoint
 
 BLOCK = 4096
+# Cosines up to here are 0 but for rounding.
+ZERO = 1e-15
 # Records of one keyword that meet in one task at most (twice); more are cut into blocks that meet pairwise.
 HOT = 20_000
 
@@ -116,15 +118,25 @@ def _block_pairs(vectors: DataFrame, block_rows: int, better: Callable, schema:
     return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, schema)
 
 
+def _set_scores(p: pd.DataFrame, q: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of the keywords of pairs, 0 where the rows have none."""
+    if not len(i) or "kw" not in p.columns:
+        return np.zeros(len(i))
+    x, y = {k: set(p["kw"].iloc[k]) for k in set(i.tolist())}, {k: set(q["kw"].iloc[k]) for k in set(j.tolist())}
+    return np.array([len(x[a] & y[b]) / len(x[a] | y[b]) if x[a] and y[b] else 0.0 for a, b in zip(i.tolist(), j.tolist())])
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, score, same_domain), a < b, of vectors (id, v, domain) whose cosine and bonus reach the threshold. A cosine of exactly 0 is no score here."""
+    """(a, b, score, same_domain), a < b, of vectors (id, v, domain, kw) whose cosine and bonus reach the threshold; where the cosine is 0 the keywords score."""
 
     def better(p, m, q, n, same_block):
         s = m @ n.T
+        i, j = np.nonzero(np.abs(s) <= ZERO)
+        s[i, j] = _set_scores(p, q, i, j)
         within = (p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None]
         score = s + bonus * within
         ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
-        ok = (score >= threshold) & (s != 0)
+        ok = score >= threshold
         ok &= (ids_p[:, None] < ids_q[None, :]) if same_block else (ids_p[:, None] != ids_q[None, :])
         i, j = np.nonzero(ok)
         return pd.DataFrame({"a": np.minimum(ids_p[i], ids_q[j]), "b": np.maximum(ids_p[i], ids_q[j]), "score": score[i, j], "same_domain": within[i, j]})
@@ -136,10 +148,12 @@ def _best_of(k: int, bonus: float, threshold: float):
     def better(p, m, q, n, same_block):
         s = np.round(m @ n.T, 12)
         ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
-        zero = s == 0
+        if "kw" in p.columns:
+            i, j = np.nonzero(np.abs(s) <= ZERO)
+            s[i, j] = _set_scores(p, q, i, j)
         if "domain" in p.columns:
             s = s + bonus * ((p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None])
-        s[(ids_p[:, None] == ids_q[None, :]) | (zero & (threshold > -1)) | (s < threshold)] = -np.inf
+        s[(ids_p[:, None] == ids_q[None, :]) | (s < threshold)] = -np.inf
         take = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
         # Ties at the cut: all that reach the k-th best are looked at, the smaller id first.
         kth = -np.sort(-np.take_along_axis(s, take, axis=1), axis=1)[:, min(k, take.shape[1]) - 1]
@@ -154,7 +168,7 @@ def _best_of(k: int, bonus: float, threshold: float):
 
 
 def cosine_best(vectors: DataFrame, k: int, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, score): at least the k best of every vector (id, v, domain) at or above the threshold, by cosine and bonus; at most k of every block."""
+    """(a, b, score): at least the k best of every vector (id, v, domain, kw) at or above the threshold, by cosine and bonus; at most k of every block."""
     return _block_pairs(vectors, block_rows, _best_of(k, bonus, threshold), "a long, b long, score double", True)
 
 
@@ -243,7 +257,13 @@ def scored_pairs(tabs: DataFrame, threshold: float, bonus: float) -> DataFrame:
     found = across.unionByName(within.where(F.col("score") >= threshold))
     if "embedding" not in tabs.columns:
         return found
-    return found.unionByName(cosine_pairs(unit_vectors(tabs.withColumn("domain", F.coalesce("domain", F.lit(""))), "id", "embedding", "domain"), threshold, bonus))
+    return found.unionByName(cosine_pairs(_scoring_vectors(tabs), threshold, bonus))
+
+
+def _scoring_vectors(tabs: DataFrame) -> DataFrame:
+    """(id, v, domain, kw) of the tabs with a usable embedding."""
+    kw = F.array_distinct(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()))
+    return unit_vectors(tabs.withColumns({"domain": F.coalesce("domain", F.lit("")), "kw": kw}), "id", "embedding", "domain", "kw")
 
 
 def domain_pairs(tabs: DataFrame) -> DataFrame:
@@ -292,7 +312,7 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
     half = checkpoint(half.unionByName(within))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     if "embedding" in tabs.columns:
-        both = both.unionByName(cosine_best(unit_vectors(tabs.withColumn("domain", F.coalesce("domain", F.lit(""))), "id", "embedding", "domain"), k, threshold, bonus))
+        both = both.unionByName(cosine_best(_scoring_vectors(tabs), k, threshold, bonus))
     if bonus >= threshold:
         rows = sets.where("domain <> ''")
         head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain", "dims").orderBy("id"))).where(F.col("r") <= 2 * k + 1)

@@ -240,6 +240,13 @@ def cosine_topk(spark, d):
     return similarity.cosine_neighbors(_t(spark, d, "embeddings"), "vec_id", "embedding", 6).select("a", "b", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+@query
+def cosine_index_recall(spark, d):
+    """What the index of pivots finds of the exact neighbours of the tabs whose id is divisible by 20, against all tabs."""
+    vectors = similarity.unit_vectors(_t(spark, d, "tabs"))
+    return similarity.candidate_recall(vectors, 6, cells=32, probes=12)
+
+
 @query
 def domain_counts(spark, d):
     return grouping.domain_counts(_t(spark, d, "tabs"), 2)

@@ -83,13 +83,14 @@ _MAINS = f"mains AS (SELECT {_MAIN_COLUMNS} FROM tabs WHERE duplicate_of IS NULL
 # Scores from their definition: the cosine, the keywords where there is none, and the bonus; then the pairs of a domain that have neither.
 _SCORES = """
 cosines AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS s, x.domain AS da, y.domain AS db FROM mains x JOIN mains y ON x.dims = y.dims AND x.id < y.id WHERE x.dims > 0),
+zeros AS (SELECT a, b FROM cosines WHERE s = 0),
 kws AS (SELECT id, domain, dims, unnest(kw) AS k, len(kw) AS n FROM mains),
 sh AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS s, any_value(a.domain) AS da, any_value(b.domain) AS db FROM kws a JOIN kws b ON a.k = b.k AND a.id < b.id
-  WHERE a.dims = 0 OR a.dims <> b.dims GROUP BY 1, 2),
-sc AS (SELECT a, b, s + CASE WHEN da = db AND da <> '' THEN 0.25 ELSE 0 END AS score, da = db AS same FROM (FROM cosines UNION ALL FROM sh))"""
+  WHERE a.dims = 0 OR a.dims <> b.dims OR EXISTS (SELECT 1 FROM zeros z WHERE z.a = a.id AND z.b = b.id) GROUP BY 1, 2),
+sc AS (SELECT a, b, s + CASE WHEN da = db AND da <> '' THEN 0.25 ELSE 0 END AS score, da = db AS same FROM (FROM cosines WHERE s <> 0 UNION ALL FROM sh))"""
 _SCORED = f"{_MAINS},{_SCORES}"
 _PLAINS = """
-plain AS (SELECT x.id AS a, y.id AS b FROM mains x JOIN mains y ON x.domain = y.domain AND x.id < y.id AND x.domain <> '' WHERE (x.dims = 0 OR x.dims <> y.dims) AND NOT list_has_any(x.kw, y.kw)),
+plain AS (SELECT x.id AS a, y.id AS b FROM mains x JOIN mains y ON x.domain = y.domain AND x.id < y.id AND x.domain <> '' WHERE (x.dims = 0 OR x.dims <> y.dims OR EXISTS (SELECT 1 FROM zeros z WHERE z.a = x.id AND z.b = y.id)) AND NOT list_has_any(x.kw, y.kw)),
 allp AS (SELECT a, b, score, same FROM sc UNION ALL SELECT a, b, 0.25, TRUE FROM plain)"""
 _PLAIN = f"{_SCORED},{_PLAINS}"
 _NEAREST = """

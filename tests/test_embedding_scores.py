@@ -98,3 +98,17 @@ def test_hot_keywords_are_cut_into_blocks(spark, monkeypatch):
     got = {(r.a, r.b) for r in similarity.jaccard_pairs(df, 0.5).collect()}
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(set(rows[i][2]) & set(rows[j][2])) >= 0.5 * len(set(rows[i][2]) | set(rows[j][2]))}
     assert got == want and similarity.jaccard_pairs(df, 0.5).count() == len(want)
+
+
+def test_a_cosine_of_zero_leaves_it_to_the_keywords(spark):
+    axis = lambda k: [1.0 if j == k else 0.0 for j in range(4)]
+    rows = [(i, "a.test" if i % 5 == 0 else None, [f"k{i % 3}", f"m{i % 4}"] if i % 6 else [], axis(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(x[0], y[0]): score(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if score(x, y) >= 0.2}
+    got = {(r.source, r.target): r.weight for r in similarity.similarity_edges(df).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 0.00051 for k in want)
+    near = {x[0]: [b for _, b in sorted((-round(score(x, y), 12), y[0]) for y in rows if y[0] != x[0] and score(x, y) >= 0.25)[:6]] for x in rows}
+    found: dict[int, list] = {i: [] for i in near}
+    for r in similarity.nearest(df).orderBy("a", "rank").collect():
+        found[r.a].append(r.b)
+    assert found == near
