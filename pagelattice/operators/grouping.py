@@ -46,7 +46,7 @@ def group_links(tabs: DataFrame, options: Options = BATCH) -> DataFrame:
     elif options.knn_k <= 0:
         links = tabs.sparkSession.createDataFrame([], "a long, b long")
     else:
-        links = similarity.mutual(checkpoint(similarity.nearest(tabs, options.group_threshold, options.domain_bonus, options.knn_k)))
+        links = similarity.mutual(checkpoint(similarity.nearest(tabs, options.group_threshold, options.domain_bonus, options.knn_k, options.index)))
     return links.unionByName(domain_stars(tabs, options.domain_group_least)) if options.domain_group else links
 
 

@@ -197,9 +197,9 @@ def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4
     return centres
 
 
-def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 8, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, cosine, rank): the k best cosines among the vectors of the ``probes`` cells nearest to each. Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample,
-    all vectors are indexed, and a large cell is cut into blocks, so no task holds more than ``block_rows`` vectors and as many questions."""
+def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 6, block_rows: int = BLOCK, bonus: float = 0.0, threshold: float = -2.0) -> DataFrame:
+    """(a, b, cosine, rank): the k best cosines (with domain and kw columns: scores as in ``cosine_best``, at or above the threshold) among the vectors of the ``probes`` cells nearest to each. Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample,
+    all vectors of the commonest length are indexed, and a large cell is cut into blocks, so no task holds more than ``block_rows`` vectors and as many questions."""
     centres = pivots(vectors, cells)
     sizes_held = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions: bounded by its parameter
 
@@ -220,18 +220,19 @@ def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int =
     homes = placed.where("home").groupBy("cell").agg(F.count("*").alias("n"))
     asks = placed.groupBy("cell").agg(F.count("*").alias("m"))
     cut = homes.join(asks, "cell").select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("bn"), F.ceil(F.col("m") / block_rows).cast("int").alias("bm"))
-    rows = placed.join(F.broadcast(cut), "cell").join(vectors.select("id", "v"), "id")  # a row per cell
+    held_columns = [c for c in ("id", "v", "domain", "kw") if c in vectors.columns]
+    rows = placed.join(F.broadcast(cut), "cell").join(vectors.select(*held_columns), "id")  # cut has a row per cell
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    ask = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select("id", "v", "cell", block("bm").alias("x"), "y")
+    ask = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select(*held_columns, "cell", block("bm").alias("x"), "y")
     mine = rows.where("home").select(*[F.col(c).alias(c) for c in rows.columns])
-    held = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).select("id", "v", "cell", "x", block("bn").alias("y"))
-    better = _best_of(k, 0.0, -2.0)
+    held = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).select(*held_columns, "cell", "x", block("bn").alias("y"))
+    better = _best_of(k, bonus, threshold)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         m, n = _matrix(a), _matrix(b)
-        return pd.concat([better(a.iloc[i : i + 1024][["id", "v"]], m[i : i + 1024], b[["id", "v"]], n, False) for i in range(0, len(m), 1024)])
+        return pd.concat([better(a.iloc[i : i + 1024].reset_index(drop=True), m[i : i + 1024], b, n, False) for i in range(0, len(m), 1024)])
 
     met = ask.groupBy("cell", "x", "y").cogroup(held.groupBy("cell", "x", "y")).applyInPandas(run, "a long, b long, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
@@ -300,8 +301,8 @@ def domain_cliques(tabs: DataFrame, bonus: float = 0.25) -> DataFrame:
     return tabs.where("id is not null and domain <> ''").groupBy("domain").agg(F.count("*").alias("members")).where("members > 1").select("domain", "members", (F.col("members") * (F.col("members") - 1) / 2).cast("long").alias("pairs"), F.lit(bonus).alias("weight"))
 
 
-def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: int = 6) -> DataFrame:
-    """(a, b, score, rank): the k best scores of each tab at or above the threshold, ties by the smaller id.
+def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: int = 6, index: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b, score, rank): the k best scores of each tab at or above the threshold, ties by the smaller id. ``index`` (cells, probes) takes cosines from ``cosine_candidates`` instead of all pairs of blocks.
 
     A pair of one domain with neither a cosine nor a common keyword scores just the bonus. Such pairs are looked for among the first tabs of the domain by kind of embedding (its length, 0 without one): of each kind
     a tab has pairs with all tabs or, if it has that kind itself, with none, but for those that share a keyword, so of each kind 2k + 1 tabs are enough unless more than k + 1 of them share one; then those rank before.
@@ -312,7 +313,9 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
     half = checkpoint(half.unionByName(within))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     if "embedding" in tabs.columns:
-        both = both.unionByName(cosine_best(_scoring_vectors(tabs), k, threshold, bonus))
+        by_index = lambda v: cosine_candidates(v, k, *index, bonus=bonus, threshold=threshold).select("a", "b", F.col("cosine").alias("score"))
+        vectors = _scoring_vectors(tabs)
+        both = both.unionByName(cosine_best(vectors, k, threshold, bonus) if index is None else by_index(checkpoint(vectors)))
     if bonus >= threshold:
         rows = sets.where("domain <> ''")
         head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain", "dims").orderBy("id"))).where(F.col("r") <= 2 * k + 1)

@@ -23,6 +23,7 @@ class Options:
     domain_group_min: int = 2
     knn_k: int = 6
     mutual_knn: bool = True
+    index: tuple[int, int] | None = None  # (cells, probes) of the vector index for neighbours; None compares all vectors
     dedupe_hamming: int = 3
     keyword_count: int = 8
     summary_sentences: int = 3

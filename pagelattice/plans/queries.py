@@ -244,7 +244,7 @@ def cosine_topk(spark, d):
 def cosine_index_recall(spark, d):
     """What the index of pivots finds of the exact neighbours of the tabs whose id is divisible by 20, against all tabs."""
     vectors = similarity.unit_vectors(_t(spark, d, "tabs"))
-    return similarity.candidate_recall(vectors, 6, cells=32, probes=12)
+    return similarity.candidate_recall(vectors, 6, cells=64, probes=6)
 
 
 @query

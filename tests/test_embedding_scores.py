@@ -112,3 +112,13 @@ def test_a_cosine_of_zero_leaves_it_to_the_keywords(spark):
     for r in similarity.nearest(df).orderBy("a", "rank").collect():
         found[r.a].append(r.b)
     assert found == near
+
+
+def test_neighbours_by_the_index(spark):
+    _, df = tabs_of(spark, seed=6)
+    df = df.where("embedding is null or size(embedding) <> 5")  # one length of vectors
+    key = lambda d: {(r.a, r.b, r.rank) for r in d.collect()}
+    exact = key(similarity.nearest(df))
+    assert key(similarity.nearest(df, index=(1, 1))) == exact
+    some = {(a, b) for a, b, _ in key(similarity.nearest(df, index=(9, 3)))}
+    assert len(some & {(a, b) for a, b, _ in exact}) >= 0.8 * len(exact)
