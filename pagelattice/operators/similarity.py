@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
+from .blocks import ZERO, best_scores
 
 BLOCK = 4096
-# Cosines up to here are 0 but for rounding.
-ZERO = 1e-15
 # Records of one keyword that meet in one task at most (twice); more are cut into blocks that meet pairwise.
 HOT = 20_000
 
@@ -167,16 +166,16 @@ def _best_of(k: int, bonus: float, threshold: float):
     return better
 
 
-def cosine_best(vectors: DataFrame, k: int, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, score): at least the k best of every vector (id, v, domain, kw) at or above the threshold, by cosine and bonus; at most k of every block."""
-    return _block_pairs(vectors, block_rows, _best_of(k, bonus, threshold), "a long, b long, score double", True)
+def cosine_best(rows: DataFrame, k: int, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b, score, rank): the k best scores at or above the threshold of every row (id, v, domain, kw), or of those with ``ask``, by cosine (without one by keywords) and bonus."""
+    return best_scores(rows, k, threshold, bonus, block_rows)
 
 
-def cosine_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, cosine, rank): exact k best cosines of every vector."""
-    met = _block_pairs(unit_vectors(vectors, id_col, vector_col), block_rows, _best_of(k, 0.0, -2.0), "a long, b long, score double", True)
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("score", "cosine")
+def cosine_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = BLOCK, asked=None) -> DataFrame:
+    """(a, b, cosine, rank): exact k best cosines of every vector, or of those whose ``asked`` (of the column id) is true."""
+    rows = unit_vectors(vectors, id_col, vector_col).select("id", F.lit("").alias("domain"), F.array().cast("array<string>").alias("kw"), "v")
+    rows = rows if asked is None else rows.withColumn("ask", asked)
+    return best_scores(rows, k, -2.0, 0.0, block_rows).withColumnRenamed("score", "cosine")
 
 
 def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4, seed: int = 3) -> np.ndarray:
@@ -197,7 +196,7 @@ def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4
     return centres
 
 
-def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 6, block_rows: int = BLOCK, bonus: float = 0.0, threshold: float = -2.0) -> DataFrame:
+def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 6, block_rows: int = BLOCK, bonus: float = 0.0, threshold: float = -2.0, asked=None) -> DataFrame:
     """(a, b, cosine, rank): the k best cosines (with domain and kw columns: scores as in ``cosine_best``, at or above the threshold) among the vectors of the ``probes`` cells nearest to each. Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample,
     all vectors of the commonest length are indexed, and a large cell is cut into blocks, so no task holds more than ``block_rows`` vectors and as many questions."""
     centres = pivots(vectors, cells)
@@ -217,13 +216,17 @@ def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int =
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(near.ravel().astype(np.int32)), pa.array(first)], names=["id", "cell", "home"])
 
     placed = vectors.select("id", "v").mapInArrow(place, "id long, cell int, home boolean")
+    if asked is not None:  # only these ask; all are found
+        placed = placed.where(F.col("home") | asked).withColumn("asks", asked)
+    else:
+        placed = placed.withColumn("asks", F.lit(True))
     homes = placed.where("home").groupBy("cell").agg(F.count("*").alias("n"))
-    asks = placed.groupBy("cell").agg(F.count("*").alias("m"))
+    asks = placed.where("asks").groupBy("cell").agg(F.count("*").alias("m"))
     cut = homes.join(asks, "cell").select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("bn"), F.ceil(F.col("m") / block_rows).cast("int").alias("bm"))
     held_columns = [c for c in ("id", "v", "domain", "kw") if c in vectors.columns]
     rows = placed.join(F.broadcast(cut), "cell").join(vectors.select(*held_columns), "id")  # cut has a row per cell
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    ask = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select(*held_columns, "cell", block("bm").alias("x"), "y")
+    ask = rows.where("asks").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select(*held_columns, "cell", block("bm").alias("x"), "y")
     mine = rows.where("home").select(*[F.col(c).alias(c) for c in rows.columns])
     held = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).select(*held_columns, "cell", "x", block("bn").alias("y"))
     better = _best_of(k, bonus, threshold)
@@ -241,9 +244,9 @@ def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int =
 
 def candidate_recall(vectors: DataFrame, k: int, queries_every: int = 20, **options) -> DataFrame:
     """(queries, exact, found, recall) of ``cosine_candidates`` for the vectors whose id is divisible by ``queries_every``, against all vectors."""
-    asked = F.col("a") % queries_every == 0
-    exact = cosine_neighbors(vectors.withColumnRenamed("v", "embedding"), "id", "embedding", k).where(asked).select("a", "b")
-    some = cosine_candidates(vectors, k, **options).where(asked).select("a", "b", F.lit(1).alias("hit"))
+    asked = F.col("id") % queries_every == 0
+    exact = cosine_neighbors(vectors.withColumnRenamed("v", "embedding"), "id", "embedding", k, asked=asked).select("a", "b")
+    some = cosine_candidates(vectors, k, asked=asked, **options).select("a", "b", F.lit(1).alias("hit"))
     return exact.join(some, ["a", "b"], "left").agg(F.count_distinct("a").alias("queries"), F.count("*").alias("exact"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
@@ -267,6 +270,13 @@ def _scoring_vectors(tabs: DataFrame) -> DataFrame:
     return unit_vectors(tabs.withColumns({"domain": F.coalesce("domain", F.lit("")), "kw": kw}), "id", "embedding", "domain", "kw")
 
 
+def _scoring_rows(tabs: DataFrame) -> DataFrame:
+    """(id, domain, kw, v) of all tabs; v is null where there is no usable embedding."""
+    v = F.when(usable_dims(tabs) > 0, F.col("embedding").cast("array<double>")) if "embedding" in tabs.columns else F.lit(None).cast("array<double>")
+    kw = F.array_distinct(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull()))
+    return tabs.where("id is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("domain", F.lit("")).alias("domain"), kw.alias("kw"), v.alias("v"))
+
+
 def domain_pairs(tabs: DataFrame) -> DataFrame:
     """(a, b) of all pairs within a domain (the empty one included): quadratic in the largest domain, for results that ask for every pair."""
     rows = keyword_sets(tabs).select("id", "domain")
@@ -307,15 +317,16 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
     A pair of one domain with neither a cosine nor a common keyword scores just the bonus. Such pairs are looked for among the first tabs of the domain by kind of embedding (its length, 0 without one): of each kind
     a tab has pairs with all tabs or, if it has that kind itself, with none, but for those that share a keyword, so of each kind 2k + 1 tabs are enough unless more than k + 1 of them share one; then those rank before.
     """
+    if index is None:
+        return cosine_best(_scoring_rows(tabs), k, threshold, bonus)
     sets = checkpoint(keyword_sets(tabs))
     half = _jaccard(sets, max(threshold, 0.0), False, True).select("a", "b", F.col("jaccard").alias("score"))
     within = _jaccard(sets, max(threshold - bonus, 0.0), True, True).select("a", "b", (F.col("jaccard") + bonus).alias("score")).where(F.col("score") >= threshold)
     half = checkpoint(half.unionByName(within))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     if "embedding" in tabs.columns:
-        by_index = lambda v: cosine_candidates(v, k, *index, bonus=bonus, threshold=threshold).select("a", "b", F.col("cosine").alias("score"))
-        vectors = _scoring_vectors(tabs)
-        both = both.unionByName(cosine_best(vectors, k, threshold, bonus) if index is None else by_index(checkpoint(vectors)))
+        found = cosine_candidates(checkpoint(_scoring_vectors(tabs)), k, *index, bonus=bonus, threshold=threshold)
+        both = both.unionByName(found.select("a", "b", F.col("cosine").alias("score")))
     if bonus >= threshold:
         rows = sets.where("domain <> ''")
         head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain", "dims").orderBy("id"))).where(F.col("r") <= 2 * k + 1)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.operators import grouping, similarity
 from pagelattice.options import BATCH, Options
@@ -122,3 +123,30 @@ def test_neighbours_by_the_index(spark):
     assert key(similarity.nearest(df, index=(1, 1))) == exact
     some = {(a, b) for a, b, _ in key(similarity.nearest(df, index=(9, 3)))}
     assert len(some & {(a, b) for a, b, _ in exact}) >= 0.8 * len(exact)
+
+
+def shuffled_rows(spark, work):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        seen = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(seen.apply(i).shuffleWriteRecords() for i in range(seen.size()))
+
+    before = written()
+    work()
+    return written() - before
+
+
+def test_neighbours_are_found_without_copying_rows(spark):
+    _, df = tabs_of(spark, 600)
+    rows = similarity.unit_vectors(df.withColumn("domain", F.coalesce("domain", F.lit(""))).withColumn("kw", F.array().cast("array<string>")), "id", "embedding", "domain", "kw")
+    few, many = (shuffled_rows(spark, lambda: similarity.cosine_best(rows, 6, 0.25, 0.25, b).count()) for b in (300, 20))
+    assert many <= 1.2 * few  # however many blocks meet
+
+
+def test_only_asked_vectors_ask_in_the_index(spark):
+    _, df = tabs_of(spark, 600)
+    vectors = similarity.unit_vectors(df)
+    every, some = (shuffled_rows(spark, lambda: similarity.candidate_recall(vectors, 6, queries_every=e, cells=8, probes=8).collect()) for e in (1, 20))
+    assert some <= 0.5 * every
