@@ -10,8 +10,6 @@ so no pair below it is ever a row. Keyword scores come from a prefix-filtered eq
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
-from .blocks import ZERO, best_scores
+from .blocks import ZERO, best_scores, every_score
 
 BLOCK = 4096
 # Records of one keyword that meet in one task at most (twice); more are cut into blocks that meet pairwise.
@@ -90,33 +88,6 @@ def _matrix(part: pd.DataFrame) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _block_pairs(vectors: DataFrame, block_rows: int, better: Callable, schema: str, both_ways: bool) -> DataFrame:
-    """What ``better(ids_p, m, ids_q, n, part_p, part_q)`` keeps of every pair of blocks of equally long vectors; half of the pairs of blocks where either way round will do."""
-    blocks = max(1, -(-vectors.count() // block_rows))
-    unit = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    own, other = F.col("block"), F.col("p")
-    spread = unit.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kept = [c for c in unit.columns if c != "block"]
-    left = spread.where(other >= own) if not both_ways else spread
-    right = spread.where(other <= own) if not both_ways else spread
-    again = [F.col(c).alias(c) for c in kept]  # new columns, so that the sides aren't taken for one
-    left, right = left.select(*kept, own.alias("x"), other.alias("y")), right.select(*again, other.alias("x"), own.alias("y"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            sizes_a, sizes_b = a["v"].map(len), b["v"].map(len)
-            for size in sorted(set(sizes_a) & set(sizes_b)):
-                p, q = a[sizes_a == size].reset_index(drop=True), b[sizes_b == size].reset_index(drop=True)
-                m, n = _matrix(p), _matrix(q)
-                for at in range(0, len(m), 1024):
-                    out.append(better(p.iloc[at : at + 1024], m[at : at + 1024], q, n, bool(a["x"].iloc[0] == a["y"].iloc[0])))
-        out = [x for x in out if len(x)]
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="object") for c in schema.split(", ")})
-
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, schema)
-
-
 def _set_scores(p: pd.DataFrame, q: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Jaccard similarities of the keywords of pairs, 0 where the rows have none."""
     if not len(i) or "kw" not in p.columns:
@@ -125,22 +96,9 @@ def _set_scores(p: pd.DataFrame, q: pd.DataFrame, i: np.ndarray, j: np.ndarray)
     return np.array([len(x[a] & y[b]) / len(x[a] | y[b]) if x[a] and y[b] else 0.0 for a, b in zip(i.tolist(), j.tolist())])
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b, score, same_domain), a < b, of vectors (id, v, domain, kw) whose cosine and bonus reach the threshold; where the cosine is 0 the keywords score."""
-
-    def better(p, m, q, n, same_block):
-        s = m @ n.T
-        i, j = np.nonzero(np.abs(s) <= ZERO)
-        s[i, j] = _set_scores(p, q, i, j)
-        within = (p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None]
-        score = s + bonus * within
-        ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
-        ok = score >= threshold
-        ok &= (ids_p[:, None] < ids_q[None, :]) if same_block else (ids_p[:, None] != ids_q[None, :])
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(ids_p[i], ids_q[j]), "b": np.maximum(ids_p[i], ids_q[j]), "score": score[i, j], "same_domain": within[i, j]})
-
-    return _block_pairs(vectors, block_rows, better, "a long, b long, score double, same_domain boolean", False)
+def cosine_pairs(rows: DataFrame, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK // 2, *, plain: bool = False) -> DataFrame:
+    """(a, b, score, same_domain), a < b, of rows (id, v, domain, kw) whose cosine (without one the similarity of keywords) and bonus reach the threshold; ``plain``: also those of a domain with neither."""
+    return every_score(rows, threshold, bonus, block_rows, plain)
 
 
 def _best_of(k: int, bonus: float, threshold: float):
@@ -255,13 +213,7 @@ def candidate_recall(vectors: DataFrame, k: int, queries_every: int = 20, **opti
 
 def scored_pairs(tabs: DataFrame, threshold: float, bonus: float) -> DataFrame:
     """(a, b, score, same_domain) of all pairs that have a cosine or share a keyword and score at least the threshold."""
-    sets = checkpoint(keyword_sets(tabs))  # read several times
-    across = _jaccard(sets, max(threshold, 0.0), False, True).select("a", "b", F.col("jaccard").alias("score"), F.lit(False).alias("same_domain"))
-    within = _jaccard(sets, max(threshold - bonus, 0.0), True, True).select("a", "b", (F.col("jaccard") + bonus).alias("score"), F.lit(True).alias("same_domain"))
-    found = across.unionByName(within.where(F.col("score") >= threshold))
-    if "embedding" not in tabs.columns:
-        return found
-    return found.unionByName(cosine_pairs(_scoring_vectors(tabs), threshold, bonus))
+    return cosine_pairs(_scoring_rows(tabs), threshold, bonus)
 
 
 def _scoring_vectors(tabs: DataFrame) -> DataFrame:
@@ -294,16 +246,9 @@ def _plain_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 def similarity_edges(tabs: DataFrame, threshold: float = 0.2, bonus: float = 0.25, every_pair: bool = True, dialect: str = "batch") -> DataFrame:
     """(source, target, weight, reason). Where the bonus alone reaches the threshold every pair of a domain without a cosine is an edge; every_pair=False leaves out those that share no
     keyword: ``domain_cliques`` holds them as one row per domain instead of a quadratic number."""
-    edges = scored_pairs(tabs, threshold, bonus)
-    names = tabs.where("id is not null").select("id", F.coalesce("domain", F.lit("")).alias("d"))
-    blank = names.where("d = ''").select("id", F.lit(True).alias("blank"))
-    x, y = blank.select(F.col("id").alias("a"), F.col("blank").alias("blank_a")), blank.select(F.col("id").alias("b"), F.col("blank").alias("blank_b"))
-    edges = edges.join(x, "a", "left").join(y, "b", "left").select("a", "b", "score", (F.col("same_domain") | (F.col("blank_a").isNotNull() & F.col("blank_b").isNotNull())).alias("dom"))
-    if every_pair and bonus >= threshold:
-        sets = keyword_sets(tabs).where("domain <> ''")
-        edges = edges.unionByName(_plain_pairs(sets, sets).where("a < b").select("a", "b", F.lit(bonus).alias("score"), F.lit(True).alias("dom")))
+    edges = cosine_pairs(_scoring_rows(tabs), threshold, bonus, plain=every_pair and bonus >= threshold)
     rounded = F.bround("score", 3) if dialect == "batch" else F.round("score", 3)
-    return edges.select(F.col("a").alias("source"), F.col("b").alias("target"), rounded.alias("weight"), F.when(F.col("dom"), "similarity+domain").otherwise("similarity").alias("reason"))
+    return edges.select(F.col("a").alias("source"), F.col("b").alias("target"), rounded.alias("weight"), F.when(F.col("same_domain"), "similarity+domain").otherwise("similarity").alias("reason"))
 
 
 def domain_cliques(tabs: DataFrame, bonus: float = 0.25) -> DataFrame:

@@ -150,3 +150,9 @@ def test_only_asked_vectors_ask_in_the_index(spark):
     vectors = similarity.unit_vectors(df)
     every, some = (shuffled_rows(spark, lambda: similarity.candidate_recall(vectors, 6, queries_every=e, cells=8, probes=8).collect()) for e in (1, 20))
     assert some <= 0.5 * every
+
+
+def test_edges_are_found_without_a_shuffle_of_pairs(spark):
+    _, df = tabs_of(spark, 600)
+    edges = similarity.similarity_edges(df)
+    assert shuffled_rows(spark, lambda: edges.foreach(lambda _: None)) < edges.count()
