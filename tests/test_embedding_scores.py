@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.operators import grouping, similarity
+from pagelattice.operators import grouping, navigation, similarity
 from pagelattice.options import BATCH, Options
 
 SCHEMA = "id long, domain string, keywords array<string>, embedding array<double>"
@@ -156,3 +156,14 @@ def test_edges_are_found_without_a_shuffle_of_pairs(spark):
     _, df = tabs_of(spark, 600)
     edges = similarity.similarity_edges(df)
     assert shuffled_rows(spark, lambda: edges.foreach(lambda _: None)) < edges.count()
+
+
+def test_navigations_take_their_place_without_a_shuffle_of_edges(spark):
+    _, df = tabs_of(spark, 300)
+    edges = similarity.similarity_edges(df).withColumn("ts", F.lit(None).cast("timestamp"))
+    ends = edges.select("source", "target").limit(20).collect()
+    rows = [(t, s, 1.0, "navigation") if i % 2 else (s, t, 1.0, "navigation") for i, (s, t) in enumerate(ends)] + [(0, 0, 1.0, "navigation"), (None, 1, 1.0, "navigation")]
+    moves = spark.createDataFrame(rows, "source long, target long, weight double, reason string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    merged = navigation.merge_into(edges, moves)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, navigation.merge_edges(edges.unionByName(moves)).collect()))
+    assert shuffled_rows(spark, lambda: merged.foreach(lambda _: None)) == 0
