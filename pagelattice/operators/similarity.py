@@ -11,13 +11,13 @@ so no pair below it is ever a row. Keyword scores come from a prefix-filtered eq
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint
-from .blocks import ZERO, best_scores, every_score
+from ..checkpoints import checkpoint, release, stored
+from .blocks import best_scores, cell_scores, every_score
 
 BLOCK = 4096
 # Records of one keyword that meet in one task at most (twice); more are cut into blocks that meet pairwise.
@@ -76,24 +76,25 @@ def _jaccard(sets: DataFrame, threshold: float, same_domain: bool | None, withou
 # ---- cosines
 
 
+def usable_vectors(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", *keep: str) -> DataFrame:
+    """(id, v, *keep): usable embeddings."""
+    some = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), *keep).where("id is not null")
+    return some.where(usable_dims(some) > 0).select("id", F.col("embedding").alias("v"), *keep)
+
+
 def unit_vectors(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", *keep: str) -> DataFrame:
     """(id, v, *keep): usable embeddings; of a repeated id one counts."""
-    some = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), *keep).where("id is not null")
-    return some.where(usable_dims(some) > 0).select("id", F.col("embedding").alias("v"), *keep).dropDuplicates(["id"])
+    return usable_vectors(rows, id_col, vector_col, *keep).dropDuplicates(["id"])
 
 
-def _matrix(part: pd.DataFrame) -> np.ndarray:
-    m = np.stack(part["v"].to_numpy())
+def _units(m: np.ndarray) -> np.ndarray:
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _set_scores(p: pd.DataFrame, q: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of the keywords of pairs, 0 where the rows have none."""
-    if not len(i) or "kw" not in p.columns:
-        return np.zeros(len(i))
-    x, y = {k: set(p["kw"].iloc[k]) for k in set(i.tolist())}, {k: set(q["kw"].iloc[k]) for k in set(j.tolist())}
-    return np.array([len(x[a] & y[b]) / len(x[a] | y[b]) if x[a] and y[b] else 0.0 for a, b in zip(i.tolist(), j.tolist())])
+def _stacked(v: pa.Array, dims: int) -> np.ndarray:
+    """A matrix of lists of one length."""
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), dims)
 
 
 def cosine_pairs(rows: DataFrame, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK // 2, *, plain: bool = False) -> DataFrame:
@@ -101,29 +102,6 @@ def cosine_pairs(rows: DataFrame, threshold: float, bonus: float = 0.0, block_ro
     return every_score(rows, threshold, bonus, block_rows, plain)
 
 
-def _best_of(k: int, bonus: float, threshold: float):
-    def better(p, m, q, n, same_block):
-        s = np.round(m @ n.T, 12)
-        ids_p, ids_q = p["id"].to_numpy(), q["id"].to_numpy()
-        if "kw" in p.columns:
-            i, j = np.nonzero(np.abs(s) <= ZERO)
-            s[i, j] = _set_scores(p, q, i, j)
-        if "domain" in p.columns:
-            s = s + bonus * ((p["domain"].to_numpy()[:, None] == q["domain"].to_numpy()[None, :]) & (p["domain"].to_numpy() != "")[:, None])
-        s[(ids_p[:, None] == ids_q[None, :]) | (s < threshold)] = -np.inf
-        take = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-        # Ties at the cut: all that reach the k-th best are looked at, the smaller id first.
-        kth = -np.sort(-np.take_along_axis(s, take, axis=1), axis=1)[:, min(k, take.shape[1]) - 1]
-        i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-        order = np.lexsort((ids_q[j], -s[i, j], i))
-        i, j = i[order], j[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[rank < k], j[rank < k]
-        return pd.DataFrame({"a": ids_p[i], "b": ids_q[j], "score": s[i, j]})
-
-    return better
-
-
 def cosine_best(rows: DataFrame, k: int, threshold: float, bonus: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
     """(a, b, score, rank): the k best scores at or above the threshold of every row (id, v, domain, kw), or of those with ``ask``, by cosine (without one by keywords) and bonus."""
     return best_scores(rows, k, threshold, bonus, block_rows)
@@ -131,7 +109,7 @@ def cosine_best(rows: DataFrame, k: int, threshold: float, bonus: float = 0.0, b
 
 def cosine_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = BLOCK, asked=None) -> DataFrame:
     """(a, b, cosine, rank): exact k best cosines of every vector, or of those whose ``asked`` (of the column id) is true."""
-    rows = unit_vectors(vectors, id_col, vector_col).select("id", F.lit("").alias("domain"), F.array().cast("array<string>").alias("kw"), "v")
+    rows = usable_vectors(vectors, id_col, vector_col).select("id", F.lit("").alias("domain"), F.array().cast("array<string>").alias("kw"), "v")  # of a repeated id one counts there
     rows = rows if asked is None else rows.withColumn("ask", asked)
     return best_scores(rows, k, -2.0, 0.0, block_rows).withColumnRenamed("score", "cosine")
 
@@ -141,8 +119,10 @@ def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4
     longest = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if longest is None:
         return np.empty((0, 0))
-    rows = vectors.where(F.size("v") == longest.d).orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("v").toArrow()
-    m = _matrix(pd.DataFrame({"v": [np.array(x) for x in rows.column("v").to_pylist()]}))
+    rows = vectors.where(F.size("v") == longest.d).select(F.xxhash64(F.lit(seed), "id").alias("h"), "id", "v")
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes are sorted, not vectors
+    taken = rows.where(F.col("h") <= last).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).slice(0, sample)
+    m = _units(_stacked(taken["v"].combine_chunks(), longest.d))
     centres = m[np.random.default_rng(seed).permutation(len(m))[:count]]
     for _ in range(rounds):
         near = (m @ centres.T).argmax(axis=1)
@@ -155,57 +135,38 @@ def pivots(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 4
 
 
 def cosine_candidates(vectors: DataFrame, k: int, cells: int = 64, probes: int = 6, block_rows: int = BLOCK, bonus: float = 0.0, threshold: float = -2.0, asked=None) -> DataFrame:
-    """(a, b, cosine, rank): the k best cosines (with domain and kw columns: scores as in ``cosine_best``, at or above the threshold) among the vectors of the ``probes`` cells nearest to each. Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample,
-    all vectors of the commonest length are indexed, and a large cell is cut into blocks, so no task holds more than ``block_rows`` vectors and as many questions."""
+    """(a, b, cosine, rank): the k best cosines (with domain and kw columns: scores as in ``cosine_best``, at or above the threshold) among the vectors of the ``probes`` cells nearest to each, or to those whose ``asked`` (of the column id) is true.
+    Every vector lies in one cell and asks in several; the pivots are fitted on a bounded sample, and all vectors of the commonest length are indexed. Vectors are written once, sorted by cell, however many cells and blocks they ask in. ``vectors`` is read several times."""
     centres = pivots(vectors, cells)
-    sizes_held = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions: bounded by its parameter
+    if not centres.size:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, cosine double, rank int")
+    held = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x dimensions: bounded by its parameter
 
     def place(batches):
-        c = sizes_held.value
+        c = held.value
         for batch in batches:
-            ids, lists = batch.column("id").to_numpy(), batch.column("v").to_pylist()
-            good = [i for i, v in enumerate(lists) if len(v) == c.shape[1]]
-            if not good:
-                continue
-            s = _matrix(pd.DataFrame({"v": [np.array(lists[i]) for i in good]})) @ c.T
-            near = np.argsort(-s, axis=1)[:, : max(1, probes)]
-            who = np.repeat(ids[good], near.shape[1])
-            first = np.tile(np.arange(near.shape[1]) == 0, len(good))
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(near.ravel().astype(np.int32)), pa.array(first)], names=["id", "cell", "home"])
-
-    placed = vectors.select("id", "v").mapInArrow(place, "id long, cell int, home boolean")
-    if asked is not None:  # only these ask; all are found
-        placed = placed.where(F.col("home") | asked).withColumn("asks", asked)
-    else:
-        placed = placed.withColumn("asks", F.lit(True))
-    homes = placed.where("home").groupBy("cell").agg(F.count("*").alias("n"))
-    asks = placed.where("asks").groupBy("cell").agg(F.count("*").alias("m"))
-    cut = homes.join(asks, "cell").select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("bn"), F.ceil(F.col("m") / block_rows).cast("int").alias("bm"))
-    held_columns = [c for c in ("id", "v", "domain", "kw") if c in vectors.columns]
-    rows = placed.join(F.broadcast(cut), "cell").join(vectors.select(*held_columns), "id")  # cut has a row per cell
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    ask = rows.where("asks").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bn") - 1))).select(*held_columns, "cell", block("bm").alias("x"), "y")
-    mine = rows.where("home").select(*[F.col(c).alias(c) for c in rows.columns])
-    held = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).select(*held_columns, "cell", "x", block("bn").alias("y"))
-    better = _best_of(k, bonus, threshold)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        m, n = _matrix(a), _matrix(b)
-        return pd.concat([better(a.iloc[i : i + 1024].reset_index(drop=True), m[i : i + 1024], b, n, False) for i in range(0, len(m), 1024)])
-
-    met = ask.groupBy("cell", "x", "y").cogroup(held.groupBy("cell", "x", "y")).applyInPandas(run, "a long, b long, score double")
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("score", "cosine")
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), c.shape[1]))
+            if batch.num_rows:
+                s = _units(_stacked(batch.column("v"), c.shape[1])) @ c.T
+                near = np.argsort(-s, axis=1)[:, : max(1, probes)].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(near[:, 0])), lists], names=[*batch.schema.names, "cell", "probes"])
+
+    domain = F.col("domain") if "domain" in vectors.columns else F.lit("")
+    kw = F.col("kw") if "kw" in vectors.columns else F.array().cast("array<string>")
+    rows = vectors.select("id", domain.alias("domain"), kw.alias("kw"), "v", (F.lit(True) if asked is None else asked).alias("ask"))
+    placed = rows.mapInArrow(place, "id long, domain string, kw array<string>, v array<double>, ask boolean, cell int, probes array<int>")
+    return cell_scores(placed, k, threshold, bonus, block_rows).withColumnRenamed("score", "cosine")
 
 
 def candidate_recall(vectors: DataFrame, k: int, queries_every: int = 20, **options) -> DataFrame:
     """(queries, exact, found, recall) of ``cosine_candidates`` for the vectors whose id is divisible by ``queries_every``, against all vectors."""
+    vectors = stored(vectors.select("id", "v"))  # read several times
+    release(vectors.sparkSession)
     asked = F.col("id") % queries_every == 0
     exact = cosine_neighbors(vectors.withColumnRenamed("v", "embedding"), "id", "embedding", k, asked=asked).select("a", "b")
     some = cosine_candidates(vectors, k, asked=asked, **options).select("a", "b", F.lit(1).alias("hit"))
-    return exact.join(some, ["a", "b"], "left").agg(F.count_distinct("a").alias("queries"), F.count("*").alias("exact"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+    return exact.join(some.hint("merge"), ["a", "b"], "left").agg(F.count_distinct("a").alias("queries"), F.count("*").alias("exact"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
 # ---- scores
@@ -270,7 +231,7 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
     half = checkpoint(half.unionByName(within))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     if "embedding" in tabs.columns:
-        found = cosine_candidates(checkpoint(_scoring_vectors(tabs)), k, *index, bonus=bonus, threshold=threshold)
+        found = cosine_candidates(stored(_scoring_vectors(tabs)), k, *index, bonus=bonus, threshold=threshold)
         both = both.unionByName(found.select("a", "b", F.col("cosine").alias("score")))
     if bonus >= threshold:
         rows = sets.where("domain <> ''")

@@ -167,3 +167,13 @@ def test_navigations_take_their_place_without_a_shuffle_of_edges(spark):
     merged = navigation.merge_into(edges, moves)
     assert sorted(map(str, merged.collect())) == sorted(map(str, navigation.merge_edges(edges.unionByName(moves)).collect()))
     assert shuffled_rows(spark, lambda: merged.foreach(lambda _: None)) == 0
+
+
+def test_the_index_writes_vectors_once(spark):
+    _, df = tabs_of(spark, 600)
+    vectors = similarity.unit_vectors(df)
+    few, many = (shuffled_rows(spark, lambda: similarity.candidate_recall(vectors, 6, queries_every=1, cells=4, probes=4, block_rows=b).collect()) for b in (600, 20))
+    assert many <= 1.2 * few  # however many blocks a cell has
+    n = vectors.count()
+    asked_once = shuffled_rows(spark, lambda: similarity.cosine_candidates(vectors.localCheckpoint(), 6, cells=8, probes=8).count())
+    assert asked_once <= 5 * n  # not a copy for each of the eight cells
