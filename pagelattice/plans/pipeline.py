@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint
+from ..checkpoints import checkpoint, release, stored
 from ..functions import text, urls
 from ..operators import dedupe, grouping, navigation, plugins, similarity, store
 from ..options import BATCH, LIVE, Options
@@ -17,7 +19,12 @@ from ..options import BATCH, LIVE, Options
 class Graph:
     tabs: DataFrame
     groups: DataFrame
-    edges: DataFrame
+    find_edges: Callable[[], DataFrame]
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Found when they are asked for: the rows that meet are written for them once more."""
+        return self.find_edges()
 
 
 def enrich(tabs: DataFrame, options: Options = BATCH, pages_text: DataFrame | None = None, summarizer=None) -> DataFrame:
@@ -73,11 +80,15 @@ def build(tabs: DataFrame, options: Options = BATCH, navigations: DataFrame | No
     ``every_pair`` also writes the edges that only a common domain makes, which are quadratic in a domain's tabs; without it they are implied by ``similarity.domain_cliques``."""
     rows = dedupe.with_canonical(tabs, options.dialect)
     primary = checkpoint(dedupe.dedupe(rows, options.dedupe_hamming))
-    rows = checkpoint(rows.drop("duplicate_of", "aliases", "group_id").join(primary, "id").withColumn("duplicate_of", F.when(F.col("primary") != F.col("id"), F.col("primary"))))
+    release(rows.sparkSession)
+    rows = stored(rows.drop("duplicate_of", "aliases", "group_id").join(primary, "id").withColumn("duplicate_of", F.when(F.col("primary") != F.col("id"), F.col("primary"))))
+    release(rows.sparkSession)  # whole rows were shuffled
     mains = rows.where("duplicate_of is null")
-    edges = similarity.similarity_edges(mains, options.edge_threshold, options.domain_bonus, every_pair, options.dialect).withColumn("ts", F.lit(None).cast("timestamp"))
-    if navigations is not None:
-        edges = navigation.merge_into(edges, navigation.navigation_edges(navigations, rows))
+
+    def find_edges() -> DataFrame:
+        edges = similarity.similarity_edges(mains, options.edge_threshold, options.domain_bonus, every_pair, options.dialect).withColumn("ts", F.lit(None).cast("timestamp"))
+        return edges if navigations is None else navigation.merge_into(edges, navigation.navigation_edges(navigations, rows))
+
     assigned = checkpoint(grouping.assign_groups(mains, options))
     numbers = checkpoint(grouping.numbered(assigned))
     members = checkpoint(grouping.group_members(assigned, numbers, primary))
@@ -91,7 +102,7 @@ def build(tabs: DataFrame, options: Options = BATCH, navigations: DataFrame | No
     named = dedupe.aliases(rows, primary).select(F.col("primary").alias("id"), "aliases")
     out = rows.drop("primary", "tokens").join(members, "id", "left")
     out = out.join(named, "id", "left") if options.dialect == "batch" else out
-    return Graph(out if options.store_embeddings else out.drop("embedding"), groups, edges)
+    return Graph(out if options.store_embeddings else out.drop("embedding"), groups, find_edges)
 
 
 def from_cache(tabs: DataFrame, cache: DataFrame, options: Options = BATCH) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,15 @@ def test_live_groups_hold_primaries_only(spark):
 def test_numbering_is_dense(spark):
     roots = spark.createDataFrame([(x, x) for x in (5, 900, 7, 10**12, 11)], "id long, root long")
     assert {r.root: r.group_id for r in grouping.numbered(roots).collect()} == {5: 0, 7: 1, 11: 2, 900: 3, 10**12: 4}
+
+
+def test_a_build_writes_its_rows_once_and_compact(spark):
+    rows = [(i, f"http://s{i % 40}.test/p{i}", f"page {i}", f"s{i % 40}.test", "", [f"k{i % 30}"], [f"k{i % 30}", "page"], i * 7919, [float((i * j) % 11) for j in range(64)]) for i in range(600)]
+    tabs = spark.createDataFrame(rows, "id long, url string, title string, domain string, canonical_url string, keywords array<string>, tokens array<string>, simhash long, embedding array<double>")
+    similarity.nearest(tabs.limit(1))  # there is a folder
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert pipeline.build(tabs).groups.count() > 0
+    new = set(folder.iterdir()) - before
+    assert not [p for p in new if p.name.startswith("blocks-")]  # nobody asked for edges
+    assert sum(f.stat().st_size for p in new if p.name.startswith("rdd-") for f in p.rglob("part-*")) < 600 * 64 * 8  # and no checkpoint holds the embeddings
