@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint
 from ..options import BATCH, Options
 from . import similarity
 from .components import connected_components
@@ -46,7 +45,7 @@ def group_links(tabs: DataFrame, options: Options = BATCH) -> DataFrame:
     elif options.knn_k <= 0:
         links = tabs.sparkSession.createDataFrame([], "a long, b long")
     else:
-        links = similarity.mutual(checkpoint(similarity.nearest(tabs, options.group_threshold, options.domain_bonus, options.knn_k, options.index)))
+        links = similarity.mutual(similarity.nearest(tabs, options.group_threshold, options.domain_bonus, options.knn_k, options.index))
     return links.unionByName(domain_stars(tabs, options.domain_group_least)) if options.domain_group else links
 
 

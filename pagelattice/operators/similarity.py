@@ -218,7 +218,7 @@ def domain_cliques(tabs: DataFrame, bonus: float = 0.25) -> DataFrame:
 
 
 def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: int = 6, index: tuple[int, int] | None = None) -> DataFrame:
-    """(a, b, score, rank): the k best scores of each tab at or above the threshold, ties by the smaller id. ``index`` (cells, probes) takes cosines from ``cosine_candidates`` instead of all pairs of blocks.
+    """(a, b, score, rank), stored: the k best scores of each tab at or above the threshold, ties by the smaller id. ``index`` (cells, probes) takes cosines from ``cosine_candidates`` instead of all pairs of blocks.
 
     A pair of one domain with neither a cosine nor a common keyword scores just the bonus. Such pairs are looked for among the first tabs of the domain by kind of embedding (its length, 0 without one): of each kind
     a tab has pairs with all tabs or, if it has that kind itself, with none, but for those that share a keyword, so of each kind 2k + 1 tabs are enough unless more than k + 1 of them share one; then those rank before.
@@ -238,7 +238,7 @@ def nearest(tabs: DataFrame, threshold: float = 0.25, bonus: float = 0.25, k: in
         head = rows.withColumn("r", F.row_number().over(Window.partitionBy("domain", "dims").orderBy("id"))).where(F.col("r") <= 2 * k + 1)
         both = both.unionByName(_plain_pairs(rows, head).select("a", "b", F.lit(bonus).alias("score")))
     order = Window.partitionBy("a").orderBy(F.desc(F.round("score", 12)), "b")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def mutual(neighbors: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.operators import grouping, navigation, similarity
 from pagelattice.options import BATCH, Options
+from pagelattice.plans import queries
 
 SCHEMA = "id long, domain string, keywords array<string>, embedding array<double>"
 
@@ -177,3 +179,31 @@ def test_the_index_writes_vectors_once(spark):
     n = vectors.count()
     asked_once = shuffled_rows(spark, lambda: similarity.cosine_candidates(vectors.localCheckpoint(), 6, cells=8, probes=8).count())
     assert asked_once <= 5 * n  # not a copy for each of the eight cells
+
+
+def held_in_folder(spark):
+    at = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return {p for p in at.iterdir() if p.name.startswith(("rdd-", "table-", "blocks-"))}
+
+
+def test_mutual_neighbours_are_written_once(spark, tmp_path):
+    _, df = tabs_of(spark, 300)
+    similarity.nearest(df.limit(1))  # there is a folder
+    df.withColumn("duplicate_of", F.lit(None).cast("long")).write.parquet(f"{tmp_path}/tabs.parquet")
+    before = held_in_folder(spark)
+    assert queries.queries()["mutual_knn"](spark, str(tmp_path)).count() > 0
+    assert len(held_in_folder(spark) - before) == 1
+
+
+def test_links_of_groups_write_neighbours_once(spark):
+    _, df = tabs_of(spark, 300)
+    similarity.nearest(df.limit(1))
+    before = held_in_folder(spark)
+    assert grouping.group_links(df, Options(domain_group=False, group_threshold=0.5)).count() > 0
+    assert len(held_in_folder(spark) - before) == 1
+
+
+def test_joins_know_the_size_of_neighbours(spark):
+    _, df = tabs_of(spark, 600)
+    found = similarity.nearest(df)  # else they would be broadcast, however many there are
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 4 * found.count()
