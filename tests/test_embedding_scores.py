@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.operators import grouping, navigation, similarity
+from pagelattice.operators import blocks, grouping, navigation, similarity
 from pagelattice.options import BATCH, Options
 from pagelattice.plans import queries
 
@@ -207,3 +207,44 @@ def test_joins_know_the_size_of_neighbours(spark):
     _, df = tabs_of(spark, 600)
     found = similarity.nearest(df)  # else they would be broadcast, however many there are
     assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 4 * found.count()
+
+
+def test_both_sides_of_a_product_find_what_each_finds_alone(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r, g = random.Random(5), np.random.default_rng(5)
+    rows = [{"id": i, "domain": r.choice(["", "a.test", "b.test"]), "kw": r.sample([f"k{x}" for x in range(12)], r.randrange(5)), "v": [0.0, *g.normal(size=6)] if i % 7 else [1.0] + [0.0] * 6} for i in range(400)]  # some cosines are 0
+    kind = pa.schema([("id", pa.int64()), ("domain", pa.string()), ("kw", pa.list_(pa.string())), ("v", pa.list_(pa.float64()))])
+    files = [f"{tmp_path}/{n}.parquet" for n in "xy"]
+    for n, f in enumerate(files):
+        pq.write_table(pa.Table.from_pylist(sorted(rows[n::2], key=lambda t: (t["domain"], t["id"])), kind), f)
+    x, y = blocks.Side(files[:1]), blocks.Side(files[1:])
+    alone = []
+    for p, q in ((x, blocks.Side(files[1:], x)), (y, blocks.Side(files[:1], y))):
+        best = blocks.Best(len(p.ids), 4, 0.3)
+        blocks._by_cosine(p, q, 7, 0.25, best)
+        alone.append(sorted(zip(*best.rows(p.ids).to_pydict().values())))
+    best, other = blocks.Best(len(x.ids), 4, 0.3), blocks.Side(files[1:], x)
+    both = blocks.Both(best, x, np.full(len(other.ids), 0.3))
+    blocks._by_cosine(x, other, 7, 0.25, both)
+    assert sorted(zip(*best.rows(x.ids).to_pydict().values())) == alone[0]
+    found = {}
+    for a, b, s, _ in (row for batch in both.found for row in zip(*batch.to_pydict().values())):
+        found.setdefault(a, []).append((-round(s, 12), b))
+    ranked = sorted((a, b, n) for a, some in found.items() for n, (_, b) in enumerate(sorted(some)[:4], 1))
+    assert ranked == sorted((a, b, n) for a, b, _, n in alone[1])
+
+
+@pytest.mark.parametrize("options", [BATCH, Options(domain_group=False, group_threshold=0.5)])
+def test_groups_of_products_made_once_equal_those_made_from_both_sides(spark, monkeypatch, options):
+    _, df = tabs_of(spark, 500, seed=4)
+    exact = lambda rows, k, threshold, bonus: blocks.best_scores(rows, k, threshold, bonus, 40)
+    monkeypatch.setattr(similarity, "cosine_best", exact)
+    results = []
+    for kept in (1e9, -1):  # always, never
+        monkeypatch.setattr(blocks, "KEPT", kept)
+        results.append(sorted(map(tuple, grouping.assign_groups(df, options).collect())))
+    monkeypatch.setattr(similarity, "cosine_best", lambda rows, k, threshold, bonus: blocks.best_scores(rows, k, threshold, bonus, 1000))  # one block
+    results.append(sorted(map(tuple, grouping.assign_groups(df, options).collect())))
+    assert results[0] == results[1] == results[2] and len({root for _, root in results[0]}) < 500
